@@ -240,7 +240,7 @@ def minute_bars(spark: SparkSession, sf: str) -> DataFrame:
 cte(
     "evt",
     """
-  SELECT event_id, user_id AS instrument_id, date_trunc('second', ts) AS at, event_type, value,
+  SELECT event_id, user_id AS instrument_id, date_trunc('second', ts) AS seen_at, event_type, value,
          least(1.0, greatest(-1.0, (value - 50) / 500)) AS sentiment, (event_id % 10) / 10.0 AS intensity,
          ((event_id * 7) % 10) / 10.0 AS confidence FROM events""",
 )
@@ -250,7 +250,7 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select(
         "event_id",
         F.col("user_id").alias("instrument_id"),
-        F.date_trunc("second", "ts").alias("at"),
+        F.date_trunc("second", "ts").alias("seen_at"),
         "event_type",
         "value",
         F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (F.col("value") - 50) / 500)).alias("sentiment"),
