@@ -312,7 +312,7 @@ cte(
     "cand",
     """
   SELECT CAST(p_size AS BIGINT) % 10 AS session_no, p_partkey AS instrument_id, p_partkey % 3 = 0 AS tracked,
-         CASE WHEN p_partkey % 4 <> 0 THEN (p_retailprice - 1400) / 100 END AS overlay_points,
+         CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey * 31 % 101 - 50) / 20.0 END AS overlay_points,
          p_partkey % 7 = 0 AS has_disclosure_event, CASE WHEN p_partkey % 5 = 0 THEN p_size / 10.0 END AS search_surge,
          CASE WHEN p_partkey % 6 = 0 THEN p_retailprice / 300 END AS discovery_score,
          CASE WHEN p_partkey % 7 = 0 THEN (p_partkey % 10) / 10.0 END AS disclosure_intensity,
@@ -329,7 +329,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("p_size").cast("long") % 10).alias("session_no"),
         key.alias("instrument_id"),
         (key % 3 == 0).alias("tracked"),
-        F.when(key % 4 != 0, (price - 1400) / 100).alias("overlay_points"),
+        F.when(key % 4 != 0, (key * 31 % 101 - 50) / 20.0).alias("overlay_points"),
         (key % 7 == 0).alias("has_disclosure_event"),
         F.when(key % 5 == 0, F.col("p_size") / 10.0).alias("search_surge"),
         F.when(key % 6 == 0, price / 300).alias("discovery_score"),
