@@ -207,7 +207,7 @@ cte(
     """
   SELECT instrument_id, day, minute, arg_min(price, event_id) AS open, max(price) AS high, min(price) AS low,
          arg_max(price, event_id) AS close, CAST(sum(floor(value)) + count(*) AS DOUBLE) AS volume
-  FROM (SELECT CAST(user_id % 10 AS BIGINT) AS instrument_id, CAST(ts AS DATE) AS day, event_id, value, 100 + value / 50 AS price,
+  FROM (SELECT CAST(user_id % 10 AS BIGINT) AS instrument_id, CAST(ts AS DATE) AS day, event_id, value, 10000 + value * 2 AS price,
                CAST(CASE WHEN hour(ts) < 12 THEN least(59, greatest(minute(ts) - 10, 0) * 60 // 49)
                     ELSE 60 + ((hour(ts) - 12) * 60 + minute(ts)) * 331 // 720 END AS BIGINT) AS minute FROM events)
   GROUP BY 1, 2, 3""",
@@ -223,7 +223,7 @@ def minute_bars(spark: SparkSession, sf: str) -> DataFrame:
             "cast(CASE WHEN hour(ts) < 12 THEN least(59, greatest(minute(ts) - 10, 0) * 60 div 49) "
             "ELSE 60 + ((hour(ts) - 12) * 60 + minute(ts)) * 331 div 720 END as bigint)"
         ).alias("minute"),
-        (F.lit(100) + F.col("value") / 50).alias("price"),
+        (F.lit(10000) + F.col("value") * 2).alias("price"),
         "value",
         "event_id",
     )
