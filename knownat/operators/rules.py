@@ -46,27 +46,32 @@ def _last_close() -> Column:
     return F.max_by("close", "minute")
 
 
-def rule_name(take: float, stop: float | None) -> str:
-    return f"t{take * 1000:.0f}_s{'none' if stop is None else format(stop * 1000, '.0f')}"
-
-
-def trigger(take: float, stop: float | None) -> Column:
-    """Return booked by this bar, or null if neither side is touched.
+def exits(hour: DataFrame, rules: Sequence[tuple[float, float | None]]) -> DataFrame:
+    """Return of every take/stop rule per name-day, long: ``take, stop, ret`` (null stop: none).
 
-    Within a bar the order is: gap through the stop, gap through the take, stop, take; a take needs the
-    price to trade through it, a stop sells one tick below.
+    Within a bar the order is: gap through the stop, gap through the take, stop, take.  A take needs the
+    price to trade through it, a stop sells one tick below.  Rules are exploded inside the partition that
+    already holds the name-day, so the grid adds no shuffle.
     """
+    table = F.array(*[F.struct(F.lit(t).alias("take"), F.lit(s).cast("double").alias("stop")) for t, s in rules])
     e = F.col("entry")
-    target = num.round_up(e * (1 + take))
-    booked = target / e - 1
-    chain = F.when(F.col("minute") == 0, F.lit(None).cast("double"))
-    if stop is not None:
-        floor = e * (1 - stop)
-        chain = chain.when(F.col("open") <= floor, num.sell_below(F.col("open")) / e - 1)
-    chain = chain.when(F.col("open") >= target, booked)
-    if stop is not None:
-        chain = chain.when(F.col("low") <= floor, num.sell_below(floor) / e - 1)
-    return chain.when(F.col("high") > target, booked)
+    staged = hour.where("entry > 0").select("*", F.explode(table).alias("_rule")).select("*", "_rule.*").drop("_rule")
+    staged = staged.withColumns({"_target": num.round_up(e * (1 + F.col("take"))), "_floor": e * (1 - F.col("stop"))})
+    staged = staged.withColumns({"_at_open": num.sell_below("open"), "_at_floor": num.sell_below("_floor")})
+    booked = F.col("_target") / e - 1
+    chain = (
+        F.when(F.col("minute") == 0, F.lit(None).cast("double"))
+        .when(F.col("open") <= F.col("_floor"), F.col("_at_open") / e - 1)
+        .when(F.col("open") >= F.col("_target"), booked)
+        .when(F.col("low") <= F.col("_floor"), F.col("_at_floor") / e - 1)
+        .when(F.col("high") > F.col("_target"), booked)
+    )
+    staged = staged.withColumn("_booked", chain)
+    agg = staged.groupBy(*DAY, "take", "stop").agg(
+        F.min_by("_booked", F.when(F.col("_booked").isNotNull(), F.col("minute"))).alias("_first"),
+        F.first("entry").alias("_e"), _last_close().alias("_last"),
+    )
+    return agg.select(*DAY, "take", "stop", F.coalesce("_first", F.col("_last") / F.col("_e") - 1).alias("ret"))
 
 
 def reach(take: float, stop: float | None = None) -> Column:
@@ -82,17 +87,6 @@ def reach(take: float, stop: float | None = None) -> Column:
     return chain.when(F.col("high") > target, F.lit(1))
 
 
-def exits(hour: DataFrame, rules: Sequence[tuple[float, float | None]]) -> DataFrame:
-    """Return of every take/stop rule per name-day, one column each."""
-    staged = hour.where("entry > 0").withColumns({f"_{rule_name(t, s)}": trigger(t, s) for t, s in rules})
-    aggs = []
-    for t, s in rules:
-        c = f"_{rule_name(t, s)}"
-        aggs.append(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("minute"))).alias(c))
-    agg = staged.groupBy(*DAY).agg(*aggs, F.first("entry").alias("_e"), _last_close().alias("_last"))
-    return agg.select(*DAY, *[F.coalesce(F.col(f"_{rule_name(t, s)}"), F.col("_last") / F.col("_e") - 1).alias(rule_name(t, s)) for t, s in rules])
-
-
 def reached_at(hour: DataFrame, takes: Sequence[float], *, stop: float | None = None) -> DataFrame:
     """Minute at which each take is reached (null when stopped first or never)."""
     staged = hour.where("entry > 0").withColumns({f"_r{t * 1000:.0f}": reach(t, stop) for t in takes})
@@ -134,8 +128,8 @@ def entries(hour: DataFrame, *, confirm: int = CONFIRM, after: int = AFTER_CONFI
 
 def study_values(entry_rows: DataFrame, exit_rows: DataFrame, *, cost: float = COST) -> DataFrame:
     """Day values of the five registered questions."""
-    r3 = rule_name(TAKE, STOP)
-    rows = entry_rows.join(exit_rows.select(*DAY, F.col(r3).alias("r3")), list(DAY))
+    r3 = exit_rows.where((F.col("take") == TAKE) & (F.col("stop") == STOP)).select(*DAY, F.col("ret").alias("r3"))
+    rows = entry_rows.join(r3, list(DAY))
     by_day = rows.groupBy("day").agg(
         F.avg(F.col("r1") - cost).alias("E1"),
         (F.avg("r1") - F.avg("r_0905")).alias("D1'"),
@@ -210,12 +204,18 @@ def rule_stats(rows: DataFrame, keys: Sequence[str], value: str = "value") -> Da
     )
 
 
+def one_of(rules: Sequence[tuple[float, float | None]]) -> Column:
+    """Rows of one of these (take, stop) rules."""
+    test = F.lit(False)
+    for t, stop in rules:
+        test = test | ((F.col("take") == t) & (F.col("stop").isNull() if stop is None else F.col("stop") == stop))
+    return F.coalesce(test, F.lit(False))
+
+
 def rule_long(samples: DataFrame, exit_rows: DataFrame, rules: Sequence[tuple[float, float | None]], *, cost: float = COST) -> DataFrame:
     """Samples with one row per rule: return in percent after cost."""
-    parts = [F.struct(F.lit(t).alias("take"), F.lit(s).cast("double").alias("stop"), ((F.col(rule_name(t, s)) - cost) * 100).alias("value")) for t, s in rules]
-    joined = samples.join(exit_rows, list(DAY))
-    keep = [c for c in samples.columns]
-    return joined.select(*keep, F.explode(F.array(*parts)).alias("_r")).select(*keep, "_r.*")
+    chosen = exit_rows.where(one_of(rules)).select(*DAY, "take", "stop", ((F.col("ret") - cost) * 100).alias("value"))
+    return samples.join(chosen, list(DAY))
 
 
 def grid(samples: DataFrame, exit_rows: DataFrame) -> DataFrame:
@@ -228,7 +228,10 @@ def grid(samples: DataFrame, exit_rows: DataFrame) -> DataFrame:
 
 def labels(samples: DataFrame, features: dict[str, Column]) -> DataFrame:
     """(feature, label) membership: array features give one row per element."""
-    parts = [F.transform(v, lambda x, k=k: F.struct(F.lit(k).alias("feature"), x.alias("label"))) for k, v in features.items()]
+    def tagged(name: str, values: Column) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(name).alias("feature"), x.alias("label")))
+
+    parts = [tagged(k, v) for k, v in features.items()]
     return samples.select(*samples.columns, F.explode(F.flatten(F.array(*parts))).alias("_f")).select(
         *samples.columns, "_f.*").where("label IS NOT NULL")
 
@@ -313,3 +316,44 @@ def usual_reaction(asked: DataFrame, detail: DataFrame, group: DataFrame, *, min
     out = asked.join(d, "detail", "left").join(g, "kind", "left")
     scope = F.when(F.col("_d").isNotNull(), "same filing").when(F.col("_g").isNotNull(), "similar filings")
     return out.withColumn("scope", scope).withColumn("_s", F.coalesce("_d", "_g")).select(*asked.columns, "scope", "_s.*")
+
+
+# ------------------------------------------------------------------ list review
+
+def review_groups(rows: DataFrame) -> DataFrame:
+    """Membership of every name-day in the review's groups, long: heavyweights are reported apart."""
+    rest = ~F.col("heavyweight")
+    gap = num.cut("gap", (-2.0, 0.0, 2.0), ("gap under -2%", "gap -2..0%", "gap 0..+2%", "gap +2% and up"))
+    one = F.array_compact(F.array(
+        F.when(rest, "list"),
+        F.when(~rest, "heavyweights"),
+        F.when(rest & F.col("excluded").isNull(), "kept"),
+        F.when(rest & F.col("excluded").isNotNull(), F.concat(F.lit("out: "), "excluded")),
+        F.when(rest, F.concat(F.lit("action "), F.coalesce("action", F.lit("NONE")))),
+        F.when(rest & (F.col("reports") > 0), "broker reports").when(rest & (F.col("reports") == 0), "no broker reports"),
+        F.when(rest & F.col("prev_limit").isNotNull(), F.concat(F.lit("limit "), "prev_limit")),
+        F.when(rest & F.col("gap").isNotNull(), gap),
+        F.when(rest & (F.col("market") > 0), "market up").when(rest & (F.col("market") <= 0), "market down or flat"),
+    ))
+    reasons = F.transform(F.when(rest, F.col("reasons")).otherwise(F.array().cast("array<string>")), lambda r: F.concat(F.lit("reason "), r))
+    kinds = F.transform(F.when(rest, F.col("kinds")).otherwise(F.array().cast("array<string>")), lambda r: F.concat(F.lit("filing "), r))
+    tops = F.transform(F.col("tops"), lambda r: F.concat(F.lit("top3 "), r))
+    return rows.withColumn("grp", F.explode(F.concat(one, reasons, kinds, tops)))
+
+
+def review_stats(members: DataFrame, keys: Sequence[str] = ("grp",)) -> DataFrame:
+    """Counts, mean moves, medians and +2.5 % reach of each review group."""
+    from knownat.functions.scale import exact_quantile
+
+    hit = F.col("hit_25")
+    has_path = F.col("at_10").isNotNull()
+    base = members.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("first_hour").alias("first_hour"), F.avg("open_close").alias("open_close"),
+        F.avg(F.col("open_close") - F.col("market")).alias("vs_market"), F.count(F.when(F.col("open_close") > 0, 1)).alias("up_close"),
+        F.avg("peak_930").alias("peak_930"), F.count(F.when(F.col("peak_930") >= 2, 1)).alias("peak_930_2pct"),
+        F.avg(F.when(has_path, F.when(hit < 10, 1.0).otherwise(0.0))).alias("hit25_10"),
+        F.avg(F.when(has_path, F.when(hit.isNotNull(), 1.0).otherwise(0.0))).alias("hit25_60"),
+        F.avg(F.when(has_path & hit.isNull(), F.col("at_10"))).alias("miss_at10"),
+    )
+    median = exact_quantile(members.select(*keys, "mfe"), list(keys), "mfe", name="mfe_median").drop("n")
+    return base.join(median, list(keys), "left")

@@ -229,3 +229,81 @@ def ols_cluster(rows: DataFrame, y: str, regressors: Sequence[str], clusters: st
     cov = clusters_n / (clusters_n - 1) * (n - 1) / (n - k) * inverse @ m @ inverse
     se = math.sqrt(cov[at, at]) if cov[at, at] > 0 else 0.0
     return {"b": b, "t": b / se if se else None, "n": n, "clusters": clusters_n, "dropped": ",".join(dropped)}
+
+
+# ------------------------------------------------------------------ the overlay decision
+
+MIN_DAYS_PER_SIDE, MIN_DAYS_PER_SPLIT, OVERLAY_MIN_T = 20, 5, 2.0
+DECISION_DAYS, EXTENDED_DAYS = 60, 120
+GOOD_NEWS, BAD_NEWS = 1.0, -1.0
+
+
+def overlay_review(records: DataFrame) -> DataFrame:
+    """Decide once: on the first 60 entry days, or the first 120 when news was thin in the first 60.
+
+    ``records``: day, excess, overlay_points, regime.  One row: sample, good-minus-bad spread, its halves and
+    regimes, and whether the question passed.
+    """
+    good, bad = F.col("overlay_points") >= GOOD_NEWS, F.col("overlay_points") <= BAD_NEWS
+    days = records.select("day").distinct().withColumn("_k", F.row_number().over(W.orderBy("day")))
+    ranked = records.join(days, "day")
+    trial = ranked.select(
+        "excess", "overlay_points", "day",
+        F.explode(F.array_compact(F.array(
+            F.when(F.col("_k") <= DECISION_DAYS, F.lit(DECISION_DAYS)), F.when(F.col("_k") <= EXTENDED_DAYS, F.lit(EXTENDED_DAYS)),
+        ))).alias("gate"),
+    )
+    sides = spread(trial, ["gate"], good=good, bad=bad, value="excess")
+    enough = (F.col("good_days") >= MIN_DAYS_PER_SIDE) & (F.col("bad_days") >= MIN_DAYS_PER_SIDE)
+    thick = sides.agg(F.max(F.when((F.col("gate") == DECISION_DAYS) & enough, 1)).alias("_ok60"))
+    total = days.agg(F.max("_k").alias("entry_days"))
+    sample = total.join(thick, F.col("entry_days").isNotNull(), "left").select(
+        "entry_days",
+        F.when(F.col("entry_days") < DECISION_DAYS, F.lit(None))
+        .when(F.col("_ok60") == 1, DECISION_DAYS).when(F.col("entry_days") >= EXTENDED_DAYS, EXTENDED_DAYS).cast("int").alias("sample_days"),
+    )
+    chosen = ranked.join(sample, F.col("_k") <= F.coalesce("sample_days", "entry_days"))
+    middle = F.floor(F.least(F.coalesce("sample_days", "entry_days"), F.col("entry_days")) / 2)
+    slices = F.array_compact(F.array(
+        F.lit("whole"), F.when(F.col("_k") <= middle, "first_half").otherwise("second_half"),
+        F.when(F.col("regime") == "RISK_ON", "risk_on").when(F.col("regime") != "UNKNOWN", "other_regimes"),
+    ))
+    per = spread(chosen.select("day", "excess", "overlay_points", F.explode(slices).alias("slice")), ["slice"], good=good, bad=bad, value="excess")
+    tested = (F.col("good_days") >= MIN_DAYS_PER_SPLIT) & (F.col("bad_days") >= MIN_DAYS_PER_SPLIT)
+    held = F.when(tested, F.coalesce(F.col("difference") > 0, F.lit(False)))
+
+    def of(name: str, value: Column) -> Column:
+        return F.max(F.when(F.col("slice") == name, value))
+
+    row = per.agg(
+        of("whole", F.col("good_days")).alias("good_days"), of("whole", F.col("bad_days")).alias("bad_days"),
+        of("whole", F.col("difference")).alias("difference"), of("whole", F.col("t")).alias("t"),
+        *[of(n, held).alias(n) for n in ("first_half", "second_half", "risk_on", "other_regimes")],
+    )
+    strong = (F.col("difference") > 0) & (F.col("t") >= OVERLAY_MIN_T)
+    passed = (
+        (F.col("good_days") >= MIN_DAYS_PER_SIDE) & (F.col("bad_days") >= MIN_DAYS_PER_SIDE) & strong
+        & F.coalesce("first_half", F.lit(False)) & F.coalesce("second_half", F.lit(False))
+        & F.coalesce("risk_on", F.lit(True)) & F.coalesce("other_regimes", F.lit(True))
+    )
+    ready = F.col("sample_days").isNotNull()
+    return sample.join(row, F.col("entry_days").isNotNull(), "left").withColumns({
+        "ready": ready, "passed": F.coalesce(ready & passed, F.lit(False)),
+    })
+
+
+def by_age(observations: DataFrame) -> DataFrame:
+    """Signed excess by the age of the event: ``age_days, day, value``; negative ages are dropped."""
+    rows = observations.where("age_days >= 0").withColumn("bucket", age_bucket("age_days"))
+    return mean_t(day_means(rows, ["bucket"], "value"), ["bucket"])
+
+
+def gate_dates(asks: DataFrame, spine: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Earliest close at which a gate of ``need`` days can be met given ``have`` of them on ``day``."""
+    last = sessions.agg(F.max("ordinal").alias("_last"), F.max("day").alias("_last_day"))
+    on_or_after = spine.select("day", (F.col("ordinal_upto") + F.when(F.col("is_session"), 0).otherwise(1)).alias("_from"))
+    joined = asks.join(on_or_after, "day").join(last, F.col("day").isNotNull())
+    at = F.least(F.col("_from") + F.col("need") - F.col("have") + F.col("horizon") - 1, F.col("_last"))
+    open_gate = (F.col("have") < F.col("need")) & (F.col("day") < F.col("_last_day"))
+    wanted = joined.withColumn("ordinal", F.when(open_gate, at))
+    return wanted.join(sessions.select("ordinal", F.col("close_at").alias("earliest")), "ordinal", "left").select(*asks.columns, "earliest")
