@@ -34,7 +34,7 @@ def with_ctes(needs: str, body: str) -> str:
     if not ordered:
         return body
     head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered)
-    recursive = "RECURSIVE " if "RECURSIVE_" in needs else ""
+    recursive = "RECURSIVE "
     body = body.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {recursive}{head},\n{body[5:]}"
