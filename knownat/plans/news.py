@@ -35,7 +35,7 @@ def spelled(name):
 def swallowed(name):
     """The text with every longer registered name around ``name`` blanked out."""
     longer = [spelled(o) for o in NAMES if name in o and o != name]
-    return f"regexp_replace(text, '(?i){'|'.join(longer)}', ' | ', 'g')" if longer else "text"
+    return f"regexp_replace(text, '(?i){'|'.join(longer)}', 'X', 'g')" if longer else "text"
 
 
 VERDICT_SQL = " UNION ALL ".join(
