@@ -39,7 +39,7 @@ def swallowed(name):
 
 
 VERDICT_SQL = " UNION ALL ".join(
-    f"SELECT doc_id AS news_item_id, {i} AS instrument_id FROM documents WHERE regexp_matches({swallowed(n)}, '(?i)(^|[^A-Za-z0-9]){spelled(n)}([^A-Za-z0-9]|$)')" for i, n in enumerate(NAMES))
+    f"SELECT doc_id AS news_item_id, {i} AS instrument_id FROM documents WHERE regexp_matches({swallowed(n)}, '{"" if len(n) <= 3 else "(?i)"}(^|[^A-Za-z0-9]){spelled(n)}([^A-Za-z0-9]|$)')" for i, n in enumerate(NAMES))
 
 
 @query("n1_name_matches", "", f"SELECT news_item_id, CAST(instrument_id AS BIGINT) AS instrument_id FROM ({VERDICT_SQL})")
