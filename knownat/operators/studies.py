@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from knownat.functions.numeric import sign
 from knownat.functions.scale import newest
 from knownat.operators import stats
+from knownat.session import cut_lineage
 
 # Fixed values of the registered studies.
 PRICE_LIMIT, LIMIT_SLACK, LIMIT_UP, COST = 0.3, 0.001, 0.295, 0.003
@@ -351,8 +352,9 @@ def post_window_verdicts(days: DataFrame, *, cost: float = COST, holdout: int =
     held out.  Each fit is a set of Spark sums with a small solve; the verdict rows are the only output.
     """
     spark = days.sparkSession
-    tagged = days.join(stats.split_days(days, holdout), "day").withColumns({
-        "month": F.date_format("day", "yyyy-MM"), "week": F.date_trunc("week", "day"), "net": F.col("f") - cost})
+    # one row per session, read by every fit: written once
+    tagged = cut_lineage(days.join(stats.split_days(days, holdout), "day").withColumns({
+        "month": F.date_format("day", "yyyy-MM"), "week": F.date_trunc("week", "day"), "net": F.col("f") - cost}))
     study, held = tagged.where("NOT held"), tagged.where("held")
     w = W.orderBy("day")
     n = F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))

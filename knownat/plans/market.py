@@ -179,10 +179,10 @@ def m12(spark, sf):
 
 
 @query("m13_ask_targets", "", """
-SELECT DISTINCT instrument_id FROM (SELECT p_partkey AS instrument_id FROM part WHERE p_size > 45 UNION ALL SELECT p_partkey FROM part WHERE p_brand = 'Brand#7') WHERE instrument_id NOT IN (SELECT unnest([l_partkey, l_partkey + 1]) FROM lineitem WHERE l_shipdate > TIMESTAMP '2000-09-01')""")
+SELECT DISTINCT instrument_id FROM (SELECT p_partkey AS instrument_id FROM part WHERE p_size > 45 UNION ALL SELECT p_partkey FROM part WHERE p_brand = 'Brand#7') WHERE instrument_id NOT IN (SELECT unnest([l_partkey, l_partkey + 1]) FROM lineitem WHERE l_shipdate > TIMESTAMP '2001-09-01')""")
 def m13(spark, sf):
     part = load(spark, sf, "part").withColumnRenamed("p_partkey", "instrument_id")
-    asked = load(spark, sf, "lineitem").where("l_shipdate > TIMESTAMP '2000-09-01'").select(F.explode(F.array("l_partkey", F.col("l_partkey") + 1)).alias("instrument_id"))
+    asked = load(spark, sf, "lineitem").where("l_shipdate > TIMESTAMP '2001-09-01'").select(F.explode(F.array("l_partkey", F.col("l_partkey") + 1)).alias("instrument_id"))
     return mk.ask_targets(part.where("p_size > 45"), part.where("p_brand = 'Brand#7'"), asked)
 
 

@@ -92,9 +92,9 @@ def n5(spark, sf):
     return nw.reject_report(rows, ["query"]).withColumn("reject_floor", rounded("reject_floor"))
 
 
-@query("n6_theme_mentions", "", f"SELECT instrument_id, count(*) AS articles FROM ({VERDICT_SQL}) WHERE instrument_id <> 4 GROUP BY 1 ORDER BY articles DESC, instrument_id LIMIT 8")
+@query("n6_theme_mentions", "", f"SELECT instrument_id, count(*) AS articles FROM ({VERDICT_SQL}) WHERE instrument_id NOT IN (4, 8) GROUP BY 1 ORDER BY articles DESC, instrument_id LIMIT 8")
 def n6(spark, sf):
-    return nw.mention_counts(nw.judge_articles(articles(spark, sf), registry(spark)).where("match_method = 'NAME'"), generic=[4])
+    return nw.mention_counts(nw.judge_articles(articles(spark, sf), registry(spark)).where("match_method = 'NAME'"), generic=[4, 8])
 
 
 @query("n7_rule_model_agreement", "hit_now", """

@@ -13,6 +13,7 @@ from knownat.plans import fixtures as fx
 from knownat.plans.news import PHRASES, TITLES, _list, _pick
 from knownat.plans.registry import cte, query
 from knownat.plans.rules import judge_out, judge_sql, members
+from knownat.session import cut_lineage
 from knownat.sources.tables import load
 
 K = ["instrument_id", day_text("day").alias("day")]
@@ -107,9 +108,9 @@ def e7(spark, sf):
 
 
 @query("e8_liquid_universe", "bars", """
-SELECT instrument_id, count(*) AS days, round(avg(close * volume), 4) AS traded_value FROM bars WHERE day < DATE '1996-01-01' GROUP BY 1 HAVING count(*) >= 200 AND avg(close * volume) >= 10000""")
+SELECT instrument_id, count(*) AS days, round(avg(close * volume), 4) AS traded_value FROM bars WHERE day < DATE '1996-01-01' GROUP BY 1 HAVING count(*) >= 200 AND avg(close * volume) >= 1000""")
 def e8(spark, sf):
-    out = st.liquid(fx.bars(spark, sf).where(F.col("day") < F.lit("1996-01-01").cast("date")), min_value=10000)
+    out = st.liquid(fx.bars(spark, sf).where(F.col("day") < F.lit("1996-01-01").cast("date")), min_value=1000)
     return out.select("instrument_id", "days", rounded("traded_value", 4).alias("traded_value"))
 
 
@@ -196,9 +197,9 @@ WITH td AS (SELECT day, row_number() OVER (ORDER BY day) <= count(*) OVER () //
  q AS (SELECT code, corr(e, g) AS rho, count(*) AS n FROM bk GROUP BY 1)
 SELECT c.code, coalesce(s.k, 0) AS front_list, round(CASE WHEN s.k >= 3 THEN rho END, 6) AS back_rho, round(CASE WHEN s.k >= 3 THEN rho * sqrt(n - 2) / sqrt(1 - rho * rho) END, 5) AS back_t FROM (SELECT DISTINCT code FROM resid) c LEFT JOIN (SELECT code, count(*) AS k FROM ch GROUP BY 1) s USING (code) LEFT JOIN q USING (code)""")
 def e14(spark, sf):
-    r = resid(spark, sf)
+    r = cut_lineage(resid(spark, sf))
     days = r.where(F.col("day") < F.lit(TRAIN_END).cast("date")).select("day").distinct()
-    out = st.quality(r, rel_gap(spark, sf), days, top=4, t_min=-1.0, min_list=3)
+    out = st.quality(r, cut_lineage(rel_gap(spark, sf)), days, top=4, t_min=-1.0, min_list=3)
     return out.select("code", "front_list", rounded("back_rho").alias("back_rho"), rounded("back_t", 5).alias("back_t"))
 
 
@@ -224,8 +225,14 @@ cte("ew", """SELECT dropped, question, day, avg(v) AS value FROM (SELECT code, d
 
 
 def observed(spark, sf):
-    signals = sigma(spark, sf).where(F.col("big") & (F.col("day") >= F.lit(TRAIN_END).cast("date")))
-    obs = st.observations(signals, lists(spark, sf), based(spark, sf))
+    """Residuals and relative gaps (a row per code or name and session) feed several branches: written once."""
+    r, g = cut_lineage(resid(spark, sf)), cut_lineage(rel_gap(spark, sf))
+    s = st.trailing_sigma(r)
+    signals = s.where(F.col("big") & (F.col("day") >= F.lit(TRAIN_END).cast("date")))
+    calm = s.where("code = 'I3'").select("day", "calm")
+    rows = g.join(calm, "day", "left").withColumn("calm", F.coalesce("calm", F.lit(False)))
+    names = st.select_names(r.where(F.col("day") < F.lit(TRAIN_END).cast("date")), g, top=4, t_min=-1.0)
+    obs = st.observations(signals, names, st.own_baseline(rows, fx.sessions(spark, sf)))
     return st.equal_weight(obs, ["O1", "O2", "O3", "O4"], ["I3", "I4", "I5"])
 
 
