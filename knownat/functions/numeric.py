@@ -97,3 +97,8 @@ def stamp_text(ts: Column | str) -> Column:
 def rounded(value: Column | str, places: int = 6) -> Column:
     """Round for comparison, with negative zero folded into zero."""
     return F.round(col(value).cast("double"), places) + F.lit(0.0)
+
+
+def key_day() -> list[Column]:
+    """The usual output key: instrument and day as text."""
+    return [F.col("instrument_id"), day_text("day").alias("day")]

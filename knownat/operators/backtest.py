@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from knownat.functions.scale import exact_quantile
 from knownat.operators import indicators as ind
+from knownat.operators.calendar import session_grid
 
 HORIZONS = (1, 5, 20)
 TRADING_DAYS, MIN_OBSERVATIONS = 252, 20
@@ -153,22 +154,18 @@ def ledger_inputs(signals: DataFrame, sessions: DataFrame, windows: DataFrame, k
     Built by joins for all keys at once; the mark is the last known close, and a session without its own bar
     carries no decision.
     """
-    inside = sessions.join(windows, (F.col("day") >= F.col("start_day")) & (F.col("day") <= F.col("end_day")))
-    spans = signals.select(*keys).distinct()
-    grid = inside.select("day", "next_day", "window_index", "sample", "end_day").join(spans, F.col("day").isNotNull())
+    grid = session_grid(signals.select(*keys).distinct(), sessions.select("ordinal", "day", "next_day"))
     bars = signals.select(*keys, "day", "open", "close", "signal")
-    w = W.partitionBy(*keys, "window_index", "sample").orderBy("day")
-    opens = bars.select(*keys, F.col("day").alias("next_day"), F.col("open").alias("next_open"))
-    rows = grid.join(bars, [*keys, "day"], "left").join(opens, [*keys, "next_day"], "left")
-    back = w.rowsBetween(W.unboundedPreceding, 0)
-    # a mark may predate the window: take the last close on or before the window's first day as the seed
-    seed = bars.select(*keys, F.col("day").alias("_bd"), F.col("close").alias("_bc")).join(
-        windows.select("window_index", "sample", "start_day"), F.col("_bd") < F.col("start_day")).groupBy(*keys, "window_index", "sample").agg(F.max_by("_bc", "_bd").alias("_seed"))
-    rows = rows.join(seed, [*keys, "window_index", "sample"], "left")
-    return rows.select(
-        *keys, "window_index", "sample", "day", F.coalesce(F.last("close", ignorenulls=True).over(back), "_seed").alias("mark"),
-        F.col("close").isNotNull().alias("own_bar"), "signal", "next_day", F.when(F.col("next_day") <= F.col("end_day"), F.col("next_open")).alias("fill_open"),
-        (F.col("next_day").isNull() | (F.col("next_day") > F.col("end_day"))).alias("past_end"))
+    w = W.partitionBy(*keys).orderBy("day")
+    marked = grid.join(bars, [*keys, "day"], "left").select(
+        *keys, "day", "next_day", F.last("close", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("mark"),
+        F.col("close").isNotNull().alias("own_bar"), "signal", F.lead("open").over(w).alias("_next_open"))
+    # windows as (window, session) rows: bounded by windows x sessions, met by equality on the day
+    spans = windows.select("window_index", "sample", "start_day", "end_day", F.explode(F.sequence("start_day", "end_day")).alias("day"))
+    rows = marked.join(spans, "day")
+    inside = F.col("next_day") <= F.col("end_day")
+    return rows.select(*keys, "window_index", "sample", "day", "mark", "own_bar", "signal", "next_day",
+                       F.when(inside, F.col("_next_open")).alias("fill_open"), (~F.coalesce(inside, F.lit(False))).alias("past_end"))
 
 
 def run_ledger(inputs: DataFrame, keys: Sequence[str], *, cash: float = 10_000_000.0) -> DataFrame:
@@ -285,7 +282,7 @@ def data_gates(span: DataFrame, bars: DataFrame, sessions: DataFrame, facts: Dat
     have = bars.join(inside, "day", "left_semi").groupBy("instrument_id").agg(F.count(F.lit(1)).alias("_have"))
     ends = facts.where(F.col("period_start").isNotNull()).groupBy("instrument_id").agg(F.min("filed_at").alias("_first_filed"), F.max(F.when(F.col("filed_at") <= hi, F.col("filed_at"))).alias("_last_filed"))
     middle = gaps.where(F.col("is_gap") & (F.col("period_end") < hi) & (F.col("next_end") > lo)).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("_gaps"))
-    rows = span.join(have, "instrument_id", "left").join(expected, F.lit(True)).join(ends, "instrument_id", "left").join(middle, "instrument_id", "left").join(versions, "instrument_id", "left")
+    rows = span.join(have, "instrument_id", "left").join(expected, F.col("instrument_id").isNotNull()).join(ends, "instrument_id", "left").join(middle, "instrument_id", "left").join(versions, "instrument_id", "left")
     checks = F.array_compact(F.array(
         F.when(F.col("first_bar").isNull() | (F.col("first_bar") > lo) | (F.col("last_bar") < hi), "prices do not span the period"),
         F.when(F.coalesce("_have", F.lit(0)) < F.col("_want"), "sessions without a bar"),

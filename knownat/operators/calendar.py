@@ -138,3 +138,11 @@ def bar_boundary(at: Column | str, open_at: Column | str, minutes: int) -> Colum
     elapsed = (F.unix_micros(at) - F.unix_micros(open_at)) / F.lit(60e6)
     steps = F.ceil(elapsed / minutes)
     return F.timestamp_add("MINUTE", (steps * minutes).cast("int"), open_at)
+
+
+def session_grid(keys: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Every session of every key row: ordinals are generated per key and looked up by equality."""
+    span = sessions.agg(F.min("ordinal").alias("_lo"), F.max("ordinal").alias("_hi"))
+    # the span is a single row
+    spread = keys.join(span, F.col("_lo").isNotNull()).withColumn("ordinal", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+    return spread.join(sessions, "ordinal")

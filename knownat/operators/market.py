@@ -50,18 +50,14 @@ def index_for(market: Column, listing: Column) -> Column:
     return F.when(market == "US", "^GSPC").when(listing == "KOSDAQ", "^KQ11").otherwise("^KS11")
 
 
-def signal_regimes(signals: DataFrame, regimes: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Regime of the last session closed by each decision; none if the index bar of that session is not in."""
-    closed = sessions.select("day", "close_at")
-    asked = signals.select("signal_id", "index_code", "decision_at").withColumn("_d", F.to_date("decision_at"))
-    by_day = closed.select(F.col("day").alias("_d"), "close_at")
-    last = asked.join(by_day, "_d", "left").withColumn("_today", F.col("close_at") <= F.col("decision_at"))
-    prev = sessions.select(F.col("day").alias("_p"), F.lead("day").over(W.orderBy("day")).alias("_until"))
-    at = last.join(sessions.select(F.col("day").alias("_d"), "prev_day"), "_d", "left").withColumn(
-        "day", F.when(F.coalesce("_today", F.lit(False)), F.col("_d")).otherwise(F.col("prev_day")))
-    # decisions on a day without a session read the session before it
-    off = at.where(F.col("day").isNull()).drop("day").join(prev, (F.col("_d") > F.col("_p")) & (F.col("_d") < F.coalesce("_until", F.lit("9999-01-01").cast("date"))), "left")
-    resolved = at.where(F.col("day").isNotNull()).select("signal_id", "index_code", "day").unionByName(off.select("signal_id", "index_code", F.col("_p").alias("day")))
+def signal_regimes(signals: DataFrame, regimes: DataFrame, sessions: DataFrame, spine: DataFrame) -> DataFrame:
+    """Regime of the last session closed by each decision; UNKNOWN if the index bar of that session is not in."""
+    place = spine.select(F.col("day").alias("_d"), F.col("on_or_before").alias("_s"))
+    hours = sessions.select(F.col("day").alias("_s"), "close_at", "prev_day")
+    asked = signals.select("signal_id", "index_code", "decision_at", F.to_date("decision_at").alias("_d"))
+    at = asked.join(place, "_d", "left").join(hours, "_s", "left")
+    closed = (F.col("_d") > F.col("_s")) | (F.col("close_at") <= F.col("decision_at"))
+    resolved = at.select("signal_id", "index_code", F.when(closed, F.col("_s")).otherwise(F.col("prev_day")).alias("day"))
     return resolved.join(regimes, ["index_code", "day"], "left").withColumn("label", F.coalesce("label", F.lit("UNKNOWN")))
 
 

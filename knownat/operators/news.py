@@ -442,23 +442,22 @@ def _clip_each(coverage: DataFrame, base: Column, start: Column, asof: Column) -
 RECENT_SESSIONS, BASELINE_SESSIONS = 3, 20
 
 
-def attention(series: DataFrame, fetches: DataFrame, sessions: DataFrame) -> DataFrame:
+def attention(series: DataFrame, fetches: DataFrame, sessions: DataFrame, spine: DataFrame) -> DataFrame:
     """Search interest of the last 3 sessions over the 20 before, a missing day counting as 0.
 
     ``fetches``: instrument_id, start_date, end_date, yesterday (one newest fetch each, or null dates);
-    ``series``: instrument_id, day, ratio.
+    ``series``: instrument_id, day, ratio.  Dates are placed on the calendar by equality with its day spine.
     """
     need = RECENT_SESSIONS + BASELINE_SESSIONS
     last = F.least("end_date", "yesterday")
-    # a fetch looks at its own newest 23 sessions: found by ordinal, so each fetch meets at most 23 of them
-    spine_last = fetches.select("instrument_id", "start_date", "end_date", "yesterday", last.alias("_last"))
     sess = sessions.select("day", "ordinal")
-    upto = spine_last.join(sess, (F.col("day") <= F.col("_last")) & (F.col("day") > F.date_sub("_last", 60)), "left").groupBy(
-        "instrument_id", "start_date", "end_date", "yesterday", "_last"
-    ).agg(F.max("ordinal").alias("_hi"), F.min(F.when(F.col("day") >= F.col("start_date"), F.col("ordinal"))).alias("_lo"), F.max("day").alias("_newest"))
-    market = spine_last.join(sess, (F.col("day") <= F.col("yesterday")) & (F.col("day") >= F.date_sub("yesterday", 14)), "left").groupBy(
-        "instrument_id").agg(F.max("day").alias("_market"))
-    state = upto.join(market, "instrument_id", "left")
+    at_last = spine.select(F.col("day").alias("_last"), F.col("ordinal_upto").alias("_hi"), F.col("on_or_before").alias("_newest"))
+    at_start = spine.select(F.col("day").alias("start_date"), (F.col("ordinal_upto") + F.when(F.col("is_session"), 0).otherwise(1)).alias("_lo"))
+    today = spine.select(F.col("day").alias("yesterday"), F.col("on_or_before").alias("_m"))
+    state = (
+        fetches.withColumn("_last", F.when(F.col("end_date").isNotNull(), last)).join(at_last, "_last", "left").join(at_start, "start_date", "left").join(today, "yesterday", "left")
+        .withColumn("_market", F.when(F.datediff("yesterday", "_m") <= 14, F.col("_m")))
+    )
     status = (
         F.when(F.col("end_date").isNull(), "NO_FETCH").when(F.col("_last") < F.col("start_date"), "UNMEASURED")
         .when(F.col("_market").isNotNull() & (F.col("_newest").isNull() | (F.col("_newest") < F.col("_market"))), "STALE")

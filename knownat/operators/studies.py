@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from knownat.functions.numeric import sign
 from knownat.functions.scale import newest
 from knownat.operators import stats
+from knownat.operators.calendar import session_grid
 from knownat.session import cut_lineage
 
 # Fixed values of the registered studies.
@@ -127,12 +128,11 @@ def align(sessions: DataFrame, series: DataFrame) -> DataFrame:
 
     As-of by union and carry-forward: one row per session and foreign day, no range join.
     """
-    prev = sessions.select("day", "open_at", F.lag("close_at").over(W.orderBy("day")).alias("prev_close_at")).where("prev_close_at IS NOT NULL")
-    asks = prev.select("day", F.explode(F.array(F.struct(F.lit("open").alias("ask"), F.col("open_at").alias("t")),
-                                                F.struct(F.lit("prev").alias("ask"), F.col("prev_close_at").alias("t")))).alias("_a")).select("day", "_a.*")
-    codes = series.select("code").distinct()
-    # every indicator answers every session: the indicators are a short registered list
-    asked = asks.join(codes, F.col("code").isNotNull()).withColumns({"_k": F.lit(0), "_s": F.lit(None).cast("struct<t:timestamp,price:double>")})
+    prev = sessions.withColumn("prev_close_at", F.lag("close_at").over(W.orderBy("day"))).select("ordinal", "day", "open_at", "prev_close_at")
+    grid = session_grid(series.select("code").distinct(), prev).where("prev_close_at IS NOT NULL")
+    asks = F.array(F.struct(F.lit("open").alias("ask"), F.col("open_at").alias("t")), F.struct(F.lit("prev").alias("ask"), F.col("prev_close_at").alias("t")))
+    asked = grid.select("code", "day", F.explode(asks).alias("_a")).select(
+        "code", "day", "_a.*", F.lit(0).alias("_k"), F.lit(None).cast("struct<t:timestamp,price:double>").alias("_s"))
     known = series.select("code", "t", F.lit(1).alias("_k"), F.struct("t", F.col("price").cast("double").alias("price")).alias("_s"),
                           F.lit(None).cast("date").alias("day"), F.lit(None).cast("string").alias("ask"))
     merged = asked.select("code", "t", "_k", "_s", "day", "ask").unionByName(known)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from knownat.functions.numeric import day_text, rounded, stamp_text
+from knownat.functions.numeric import day_text, key_day, rounded, stamp_text
 from knownat.operators import backtest as bt
 from knownat.operators import calendar as cal
 from knownat.operators import factors as fac
@@ -17,7 +17,6 @@ from knownat.plans.registry import cte, query
 from knownat.session import cut_lineage
 
 FMT = "'%Y-%m-%d %H:%M:%S'"
-K = ["instrument_id", day_text("day").alias("day")]
 NOW = "1999-12-31 23:00:00"
 cte("fsig", """SELECT b.instrument_id * 100000 + s.ordinal AS signal_id, b.instrument_id, s.close_at AS decision_at, s.next_day AS entry_day, 'M' || (b.instrument_id % 2) AS market,
   ['BUY_INTEREST', 'WATCH', 'CAUTION', 'ABSTAINED'][(b.instrument_id * 31 + s.ordinal) % 4 + 1] AS action, 'v' || (s.ordinal % 3) AS version FROM bars b JOIN sess s USING (day) WHERE s.next_day IS NOT NULL""", "bars", "sess")
@@ -101,7 +100,7 @@ def k1(spark, sf):
     parts = {"ma": bt.moving_average_cross(bars), "hold": bt.buy_and_hold(bars), "scored": bt.scored_rule(scored)}
     out = None
     for name, df in parts.items():
-        part = df.select(*K, F.lit(name).alias("strategy"), "signal")
+        part = df.select(*key_day(), F.lit(name).alias("strategy"), "signal")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knownat.functions.numeric import day_text, stamp_text
+from knownat.functions.numeric import day_text, key_day, stamp_text
 from knownat.operators import calendar as cal
 from knownat.plans import fixtures as fx
 from knownat.plans.registry import cte, query

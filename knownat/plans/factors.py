@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from knownat.functions.numeric import day_text, rounded, stamp_text
+from knownat.functions.numeric import day_text, key_day, rounded, stamp_text
 from knownat.functions.scale import newest
 from knownat.operators import calendar as cal
 from knownat.operators import factors as fac
@@ -210,12 +210,9 @@ def signals(spark, sf):
     """Every (instrument, session) with both factors as known at that session's close."""
     sess = fx.sessions(spark, sf).select("day", "open_at", "close_at", "next_day")
     snaps = fac.ratios(fac.snapshots_over_time(fx.facts(spark, sf)))
-    members = fx.facts(spark, sf).select("instrument_id").distinct()
     # one row per listed instrument and session: the population each session is ranked in
-    grid = members.select("instrument_id", F.explode(F.array(F.lit(0))).alias("_")).drop("_")
-    first = snaps.groupBy("instrument_id").agg(F.to_date(F.min("available_at")).alias("since"))
-    points = grid.join(first, "instrument_id").join(sess, F.col("day") >= F.col("since")).select("instrument_id", "day", "close_at")
-    then = fac.as_of_snapshots(points, snaps, "close_at").withColumn("market", F.when(F.col("instrument_id") % 2 == 0, "US").otherwise("KR"))
+    points = cal.session_grid(snaps.select("instrument_id").distinct(), fx.sessions(spark, sf)).select("instrument_id", "day", "close_at")
+    then = fac.as_of_snapshots(points, snaps, "close_at").where("anchor_end IS NOT NULL").withColumn("market", F.when(F.col("instrument_id") % 2 == 0, "US").otherwise("KR"))
     ranks = fac.peer_positions(then, ["market", "day"])
     priced = technical(spark, sf).withColumn("price", F.col("close"))
     rows = priced.join(then.drop("close_at"), ["instrument_id", "day"], "left").join(ranks.drop("market"), ["instrument_id", "day"], "left")

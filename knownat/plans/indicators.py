@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from knownat.functions import numeric as num
-from knownat.functions.numeric import day_text, rounded
+from knownat.functions.numeric import day_text, key_day, rounded
 from knownat.operators import indicators as ind
 from knownat.plans import fixtures as fx
 from knownat.plans.registry import cte, query
 
-KEY = [F.col("instrument_id"), day_text("day").alias("day")]
 W20 = "(PARTITION BY instrument_id ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 W60 = W20.replace("19", "59")
 W250 = W20.replace("19", "249")
@@ -20,7 +19,7 @@ W250 = W20.replace("19", "249")
 SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(CASE WHEN count(*) OVER {W20} = 20 THEN avg(close) OVER {W20} END, 6) AS sma20,
   round(CASE WHEN count(*) OVER {W60} = 60 THEN avg(close) OVER {W60} END, 6) AS sma60 FROM bars""")
 def i1(spark, sf):
-    return fx.bars(spark, sf).select(*KEY, rounded(ind.sma("close", 20)).alias("sma20"), rounded(ind.sma("close", 60)).alias("sma60"))
+    return fx.bars(spark, sf).select(*key_day(), rounded(ind.sma("close", 20)).alias("sma20"), rounded(ind.sma("close", 60)).alias("sma60"))
 
 
 cte("hist", f"""SELECT instrument_id, day, close, volume, list(close) OVER {W250} AS c FROM bars""", "bars")
@@ -31,7 +30,7 @@ SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(CASE WHEN len(c) = 20 T
   list_reduce(c[21:], lambda a, x: (x - a) * (2.0 / 21) + a, list_avg(c[1:20])) END, 6) AS ema20 FROM hist""")
 def i2(spark, sf):
     out = fx.bars(spark, sf).select("instrument_id", "day", ind.history("close").alias("c"))
-    return out.select(*KEY, rounded(ind.ema(F.col("c"), 20)).alias("ema20"))
+    return out.select(*key_day(), rounded(ind.ema(F.col("c"), 20)).alias("ema20"))
 
 
 cte("moves", """SELECT *, list_transform(range(2, len(c) + 1), lambda i: greatest(c[i] - c[i - 1], 0.0)) AS g,
@@ -44,7 +43,7 @@ cte("rsi", f"""SELECT instrument_id, day, CASE WHEN len(c) >= 15 THEN CASE WHEN
 @query("i3_rsi", "rsi", "SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(rsi, 6) AS rsi FROM rsi")
 def i3(spark, sf):
     out = fx.bars(spark, sf).select("instrument_id", "day", ind.history("close").alias("c"))
-    return out.select(*KEY, rounded(ind.rsi(F.col("c"))).alias("rsi"))
+    return out.select(*key_day(), rounded(ind.rsi(F.col("c"))).alias("rsi"))
 
 
 # the same recurrences as list folds: state [fast, slow, k, line, seed, signal]
@@ -64,7 +63,7 @@ cte("macd", """SELECT instrument_id, day, CASE WHEN len(c) >= 35 THEN s[4] END A
 @query("i4_macd", "macd", """SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(macd, 6) AS macd, round(signal, 6) AS signal, round(histogram, 6) AS histogram FROM macd""")
 def i4(spark, sf):
     out = fx.bars(spark, sf).select("instrument_id", "day", ind.history("close").alias("c")).withColumn("m", ind.macd(F.col("c")))
-    return out.select(*KEY, rounded("m.macd").alias("macd"), rounded("m.signal").alias("signal"), rounded("m.histogram").alias("histogram"))
+    return out.select(*key_day(), rounded("m.macd").alias("macd"), rounded("m.signal").alias("signal"), rounded("m.histogram").alias("histogram"))
 
 
 @query("i5_bollinger", "bars", f"""
@@ -74,20 +73,20 @@ FROM (SELECT *, avg(close) OVER {W20} AS m, stddev_pop(close) OVER {W20} AS s, c
 def i5(spark, sf):
     upper, _, lower = ind.bollinger("close")
     out = fx.bars(spark, sf).select("instrument_id", "day", "close", upper.alias("u"), lower.alias("l"))
-    return out.select(*KEY, rounded("u").alias("upper"), rounded("l").alias("lower"), rounded(ind.band_position("close", F.col("u"), F.col("l"))).alias("position"))
+    return out.select(*key_day(), rounded("u").alias("upper"), rounded("l").alias("lower"), rounded(ind.band_position("close", F.col("u"), F.col("l"))).alias("position"))
 
 
 @query("i6_zscore", "bars", f"""
 SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(CASE WHEN n = 20 THEN CASE WHEN s = 0 THEN 0.0 ELSE (volume - m) / s END END, 6) AS z
 FROM (SELECT *, avg(volume) OVER {W20} AS m, stddev_pop(volume) OVER {W20} AS s, count(*) OVER {W20} AS n FROM bars)""")
 def i6(spark, sf):
-    return fx.bars(spark, sf).select(*KEY, rounded(ind.zscore("volume", 20)).alias("z"))
+    return fx.bars(spark, sf).select(*key_day(), rounded(ind.zscore("volume", 20)).alias("z"))
 
 
 @query("i7_percent_distance", "bars", """
 SELECT instrument_id, CAST(day AS VARCHAR) AS day, round((close - open) / open * 100, 6) AS from_open, CASE WHEN close - close <> 0 THEN 1.0 END AS from_zero FROM bars""")
 def i7(spark, sf):
-    return fx.bars(spark, sf).select(*KEY, rounded(num.percent_distance("close", "open")).alias("from_open"),
+    return fx.bars(spark, sf).select(*key_day(), rounded(num.percent_distance("close", "open")).alias("from_open"),
                                      num.percent_distance("close", F.lit(0.0)).alias("from_zero"))
 
 
@@ -104,5 +103,5 @@ def i8(spark, sf):
 SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(least(1, greatest(0, (close - 105) / 20)) * 100, 6) AS b, round((1 - least(1, greatest(0, (close - 105) / 20))) * 100, 6) AS inv,
   round(greatest(0, 1 - abs(close - 130) / 25) * 100, 6) AS peak, round(greatest(0, least(100, close - 50)), 6) AS clamped FROM bars""")
 def i9(spark, sf):
-    return fx.bars(spark, sf).select(*KEY, rounded(num.bounded("close", 105, 125)).alias("b"), rounded(num.bounded("close", 105, 125, invert=True)).alias("inv"),
+    return fx.bars(spark, sf).select(*key_day(), rounded(num.bounded("close", 105, 125)).alias("b"), rounded(num.bounded("close", 105, 125, invert=True)).alias("inv"),
                                      rounded(num.peak_at("close", 130, 25)).alias("peak"), rounded(num.clamp(F.col("close") - 50)).alias("clamped"))

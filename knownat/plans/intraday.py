@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from knownat.functions.numeric import day_text, rounded, stamp_text
+from knownat.functions.numeric import day_text, key_day, rounded, stamp_text
 from knownat.operators import intraday as intra
 from knownat.plans import fixtures as fx
 from knownat.plans.registry import cte, query
@@ -12,7 +12,6 @@ from knownat.sources.tables import load
 from knownat.streaming import ticks as live
 
 FMT = "'%Y-%m-%d %H:%M:%S'"
-DAYK = ["instrument_id", day_text("day").alias("day")]
 cte("tick", "SELECT 'C' || user_id % 20 AS code, ts, value AS price, event_id AS arrival, 1 + event_id % 50 AS volume FROM events")
 
 
@@ -78,7 +77,7 @@ SELECT instrument_id, CAST(day AS VARCHAR) AS day, minute, round(close, 6) AS cl
 WHERE n <= 20 OR i IN (SELECT round_even(k * (n - 1) / 19.0, 0) FROM range(20) t(k))""")
 def t5(spark, sf):
     out = intra.thinned(fx.minute_bars(spark, sf), ["instrument_id", "day"], "minute", 20)
-    return out.select(*DAYK, "minute", rounded("close").alias("close"))
+    return out.select(*key_day(), "minute", rounded("close").alias("close"))
 
 
 BUCKET = "greatest(least({0} // 30, 12), 0)"
@@ -105,7 +104,7 @@ SUMMARY_COLS = ["vwap", "return_pct", "mfe_pct", "mae_pct", "close_vs_vwap_pct",
 SELECT instrument_id, CAST(day AS VARCHAR) AS day, bars, high_at, low_at, minutes_to_high, peak_volume_at, {', '.join(f'round({c}, 5) AS {c}' for c in SUMMARY_COLS)} FROM summary""")
 def t7(spark, sf):
     out = intra.day_summary(fx.minute_bars(spark, sf))
-    return out.select(*DAYK, "bars", "high_at", "low_at", "minutes_to_high", "peak_volume_at", *[rounded(c, 5).alias(c) for c in SUMMARY_COLS])
+    return out.select(*key_day(), "bars", "high_at", "low_at", "minutes_to_high", "peak_volume_at", *[rounded(c, 5).alias(c) for c in SUMMARY_COLS])
 
 
 cte("bucket", f"""SELECT instrument_id, day, bucket, bars, (c / o - 1) * 100 AS return_pct, v / sum(v) OVER (PARTITION BY instrument_id, day) AS volume_share FROM (
@@ -117,7 +116,7 @@ def t7b(spark, sf):
     bars = fx.minute_bars(spark, sf)
     nested = intra.with_buckets(intra.day_summary(bars), intra.day_buckets(bars))
     return nested.select("instrument_id", "day", F.explode("buckets").alias("b")).select(
-        *DAYK, "b.bucket", "b.bars", rounded("b.return_pct").alias("return_pct"), rounded("b.volume_share").alias("volume_share"))
+        *key_day(), "b.bucket", "b.bars", rounded("b.return_pct").alias("return_pct"), rounded("b.volume_share").alias("volume_share"))
 
 
 FULL = 34
@@ -152,7 +151,7 @@ def t9(spark, sf):
     rows = load(spark, sf, "events").select(F.col("user_id").alias("instrument_id"), F.to_date("ts").alias("day"), status.alias("status"),
                                             F.col("ts").alias("fetched_at"), F.col("event_id").alias("id"))
     out = intra.to_analyse(intra.latest_status(rows), intra.latest_status(rows.where("id % 2 = 0")))
-    return out.select(*DAYK, "status", "change")
+    return out.select(*key_day(), "status", "change")
 
 
 @query("t9_fill_market", "summary, market", """
@@ -160,7 +159,7 @@ SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(s.return_pct, 6) AS ret
 def t9b(spark, sf):
     rows = intra.day_summary(fx.minute_bars(spark, sf)).withColumns({"market_return_pct": F.lit(None).cast("double"), "market_source": F.lit(None).cast("string")})
     out = intra.fill_market(rows, market(spark, sf))
-    return out.select(*DAYK, rounded("return_pct").alias("return_pct"), rounded("market_return_pct").alias("market_return_pct"), "market_source")
+    return out.select(*key_day(), rounded("return_pct").alias("return_pct"), rounded("market_return_pct").alias("market_return_pct"), "market_source")
 
 
 @query("t10_bucket_baseline", "summary, bucket", f"""
@@ -184,7 +183,7 @@ SELECT instrument_id, CAST(day AS VARCHAR) AS day, round((h / o - 1) * 100, 6) A
   SELECT instrument_id, day, arg_min(open, minute) AS o, max(high) FILTER (minute < 30) AS h, min(low) FILTER (minute < 30) AS l,
     max(greatest(open, high, low, close)) FILTER (minute < 30) AS top, min(least(open, high, low, close)) FILTER (minute < 30) AS bottom FROM mbars GROUP BY 1, 2)""")
 def t11(spark, sf):
-    return intra.half_hour_peak(fx.minute_bars(spark, sf)).select(*DAYK, rounded("peak_930").alias("peak_930"), "flat_930", "locked")
+    return intra.half_hour_peak(fx.minute_bars(spark, sf)).select(*key_day(), rounded("peak_930").alias("peak_930"), "flat_930", "locked")
 
 
 cte("path", """SELECT instrument_id, day, any_value(e) AS entry, any_value(h25) AS hit_25, any_value(h5) AS hit_5, (min(low) FILTER (h25 IS NULL OR minute <= h25) / any_value(e) - 1) * 100 AS low_before_25,
@@ -196,4 +195,4 @@ cte("path", """SELECT instrument_id, day, any_value(e) AS entry, any_value(h25)
 @query("t12_early_path", "path", """SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(entry, 6) AS entry, hit_25, hit_5, round(low_before_25, 6) AS low_before_25, round(at_10, 6) AS at_10 FROM path""")
 def t12(spark, sf):
     out = intra.early_path(fx.minute_bars(spark, sf))
-    return out.select(*DAYK, rounded("entry").alias("entry"), "hit_25", "hit_5", rounded("low_before_25").alias("low_before_25"), rounded("at_10").alias("at_10"))
+    return out.select(*key_day(), rounded("entry").alias("entry"), "hit_25", "hit_5", rounded("low_before_25").alias("low_before_25"), rounded("at_10").alias("at_10"))

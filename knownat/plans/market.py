@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from knownat.functions.numeric import day_text, rounded, stamp_text
+from knownat.functions.numeric import day_text, key_day, rounded, stamp_text
 from knownat.operators import calendar as cal
 from knownat.operators import market as mk
 from knownat.operators import news as nw
@@ -16,7 +16,6 @@ from knownat.plans.registry import cte, query
 from knownat.plans.rules import tick
 from knownat.sources.tables import load
 
-K = ["instrument_id", day_text("day").alias("day")]
 cte("vol", """SELECT *, CASE WHEN n > 20 THEN stddev_samp(r) OVER (PARTITION BY instrument_id ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * sqrt(252.0) END AS v FROM (
   SELECT instrument_id, day, close, ln(close / lag(close) OVER w) AS r, row_number() OVER w AS n, lag(close, 20) OVER w AS c20, avg(close) OVER (PARTITION BY instrument_id ORDER BY day ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS m FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY day))""", "bars")
 cte("regime", """SELECT *, CASE WHEN trend_gap IS NULL THEN 'UNKNOWN' WHEN trend_gap > 0 AND volatility_rank < 0.8 THEN 'RISK_ON' WHEN trend_gap <= 0 AND volatility_rank >= 0.8 THEN 'RISK_OFF' ELSE 'NEUTRAL' END AS label FROM (
@@ -26,7 +25,7 @@ cte("regime", """SELECT *, CASE WHEN trend_gap IS NULL THEN 'UNKNOWN' WHEN trend
 
 @query("m1_regime", "regime", """SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(trend_gap, 6) AS trend_gap, round(return_20d, 6) AS return_20d, round(volatility, 6) AS volatility, round(volatility_rank, 6) AS volatility_rank, label FROM regime""")
 def m1(spark, sf):
-    return mk.regime(fx.bars(spark, sf)).select(*K, *[rounded(c).alias(c) for c in ("trend_gap", "return_20d", "volatility", "volatility_rank")], "label")
+    return mk.regime(fx.bars(spark, sf)).select(*key_day(), *[rounded(c).alias(c) for c in ("trend_gap", "return_20d", "volatility", "volatility_rank")], "label")
 
 
 @query("m2_breadth", "bars", """
@@ -45,7 +44,8 @@ def m3(spark, sf):
     signals = load(spark, sf, "orders").select(
         F.col("o_orderkey").alias("signal_id"), F.timestamp_add("MINUTE", (F.col("o_custkey") * 37 % 1440).cast("int"), F.col("o_orderdate")).alias("decision_at"), (F.col("o_custkey") % 8).alias("index_code"))
     regimes = mk.regime(fx.bars(spark, sf)).withColumnRenamed("instrument_id", "index_code")
-    return mk.signal_regimes(signals, regimes, fx.sessions(spark, sf)).select("signal_id", day_text("day").alias("day"), "label")
+    sess = fx.sessions(spark, sf)
+    return mk.signal_regimes(signals, regimes, sess, cal.day_spine(sess)).select("signal_id", day_text("day").alias("day"), "label")
 
 
 cte("won", "SELECT instrument_id, day, round(open * 100) AS open, round(high * 100) AS high, round(low * 100) AS low, round(close * 100) AS close, volume FROM bars", "bars")
@@ -68,7 +68,7 @@ cte("limits", f"""SELECT *, CASE WHEN least(open, high, low, close) >= lim THEN
 @query("m4_price_limit", "limits", "SELECT instrument_id, CAST(day AS VARCHAR) AS day, CAST(lim AS BIGINT) AS upper_limit, state FROM limits")
 def m4(spark, sf):
     w = W.partitionBy("instrument_id").orderBy("day")
-    return won(spark, sf).withColumn("base", F.lag("close").over(w)).select(*K, mk.upper_limit("base").alias("upper_limit"), mk.limit_state().alias("state"))
+    return won(spark, sf).withColumn("base", F.lag("close").over(w)).select(*key_day(), mk.upper_limit("base").alias("upper_limit"), mk.limit_state().alias("state"))
 
 
 @query("m5_previous_limits", "limits, sess", """

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from knownat.functions.numeric import day_text, rounded, stamp_text
+from knownat.functions.numeric import day_text, key_day, rounded, stamp_text
+from knownat.operators import calendar as cal
 from knownat.operators import news as nw
 from knownat.operators import pit
 from knownat.plans import fixtures as fx
@@ -292,7 +293,8 @@ def n17(spark, sf):
     fetches = rows.select("instrument_id").distinct().select(
         "instrument_id", F.when(i % 10 != 9, F.date_sub(y, F.when(i % 6 == 5, 10).otherwise(60))).alias("start_date"),
         F.when(i % 10 != 9, F.date_sub(y, F.when(i % 7 == 6, 5).otherwise(0))).alias("end_date"), y.alias("yesterday"))
-    out = nw.attention(series, fetches, fx.sessions(spark, sf))
+    sess = fx.sessions(spark, sf)
+    out = nw.attention(series, fetches, sess, cal.day_spine(sess))
     return out.select("instrument_id", "status", rounded("recent").alias("recent"), rounded("baseline").alias("baseline"), rounded("surge").alias("surge"))
 
 

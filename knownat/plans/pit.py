@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from knownat.functions.numeric import day_text, rounded, stamp_text
+from knownat.functions.numeric import day_text, key_day, rounded, stamp_text
 from knownat.functions.scale import newest
 from knownat.operators import pit
 from knownat.plans import fixtures as fx

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from knownat.functions import numeric as num
-from knownat.functions.numeric import day_text, rounded
+from knownat.functions.numeric import day_text, key_day, rounded
 from knownat.operators import intraday as intra
 from knownat.operators import rules as rl
 from knownat.operators import stats
 from knownat.plans import fixtures as fx
-from knownat.plans.intraday import DAYK, market as market_days
+from knownat.plans.intraday import market as market_days
 from knownat.plans.registry import cte, query
 
 TICK = "CASE WHEN {0} < 2000 THEN 1 WHEN {0} < 5000 THEN 5 WHEN {0} < 20000 THEN 10 WHEN {0} < 50000 THEN 50 WHEN {0} < 200000 THEN 100 WHEN {0} < 500000 THEN 500 ELSE 1000 END"
@@ -42,14 +42,14 @@ def hour(spark, sf):
 @query("r1_ticks", "mbars", f"""
 SELECT instrument_id, CAST(day AS VARCHAR) AS day, minute, CAST({tick('close')} AS BIGINT) AS tick, CAST({up('close')} AS DOUBLE) AS up, CAST({down('close')} AS DOUBLE) AS down, CAST({below('close')} AS DOUBLE) AS sell FROM mbars""")
 def r1(spark, sf):
-    return fx.minute_bars(spark, sf).select(*DAYK, "minute", num.tick("close").alias("tick"), num.round_up("close").alias("up"),
+    return fx.minute_bars(spark, sf).select(*key_day(), "minute", num.tick("close").alias("tick"), num.round_up("close").alias("up"),
                                             num.round_down("close").alias("down"), num.sell_below("close").alias("sell"))
 
 
 @query("r2_first_trade_as_open", "hour", """
 SELECT instrument_id, CAST(day AS VARCHAR) AS day, CASE WHEN minute = min(minute) OVER (PARTITION BY instrument_id, day) THEN 0 ELSE minute END AS minute, close FROM hour""")
 def r2(spark, sf):
-    return rl.first_trade_as_open(hour(spark, sf)).select(*DAYK, "minute", "close")
+    return rl.first_trade_as_open(hour(spark, sf)).select(*key_day(), "minute", "close")
 
 
 def entry_sql(ticks):
@@ -66,12 +66,12 @@ RS = ["r0", "r_0905", "r1", "r2"]
 
 @query("r3_r5_entries", "entries", f"SELECT instrument_id, CAST(day AS VARCHAR) AS day, {', '.join(f'round({r}, 8) AS {r}' for r in RS)} FROM entries")
 def r35(spark, sf):
-    return rl.entries(hour(spark, sf)).select(*DAYK, *[rounded(r, 8).alias(r) for r in RS])
+    return rl.entries(hour(spark, sf)).select(*key_day(), *[rounded(r, 8).alias(r) for r in RS])
 
 
 @query("r4_entry_ticks", "hour", f"SELECT instrument_id, CAST(day AS VARCHAR) AS day, {', '.join(f'round({r}, 8) AS {r}' for r in RS)} FROM ({entry_sql(2)})")
 def r4(spark, sf):
-    return rl.entries(hour(spark, sf), entry_ticks=2).select(*DAYK, *[rounded(r, 8).alias(r) for r in RS])
+    return rl.entries(hour(spark, sf), entry_ticks=2).select(*key_day(), *[rounded(r, 8).alias(r) for r in RS])
 
 
 def trigger_sql(take, stop):
@@ -102,7 +102,7 @@ cte("exits", "SELECT instrument_id, day, " + ", ".join(
 @query("r6_take_stop", "exits", "SELECT instrument_id, CAST(day AS VARCHAR) AS day, r.take, r.stop, round(r.v, 8) AS ret FROM (SELECT instrument_id, day, unnest(["
        + ", ".join(f"{{'take': {t}, 'stop': {'NULL::DOUBLE' if s is None else s}, 'v': {rule_name(t, s)}}}" for t, s in MAIN) + "]) AS r FROM exits)")
 def r6(spark, sf):
-    return rl.exits(hour(spark, sf), MAIN).select(*DAYK, "take", "stop", rounded("ret", 8).alias("ret"))
+    return rl.exits(hour(spark, sf), MAIN).select(*key_day(), "take", "stop", rounded("ret", 8).alias("ret"))
 
 
 def reach_sql(take, stop=None):
@@ -117,7 +117,7 @@ SELECT instrument_id, CAST(day AS VARCHAR) AS day, CASE WHEN f25.w = 1 THEN f25.
   SELECT instrument_id, day, min(CASE WHEN a IS NOT NULL THEN {{'m': minute, 'w': a}} END) AS f25, min(CASE WHEN b IS NOT NULL THEN {{'m': minute, 'w': b}} END) AS f50
   FROM (SELECT *, {reach_sql(0.025, 0.02)} AS a, {reach_sql(0.05, 0.02)} AS b FROM hour WHERE e > 0) GROUP BY 1, 2)""")
 def r6b(spark, sf):
-    return rl.reached_at(hour(spark, sf), (0.025, 0.05), stop=0.02).select(*DAYK, "reach_25", "reach_50")
+    return rl.reached_at(hour(spark, sf), (0.025, 0.05), stop=0.02).select(*key_day(), "reach_25", "reach_50")
 
 
 R3 = rule_name(rl.TAKE, rl.STOP)
@@ -231,7 +231,7 @@ BK = ["gap_bucket", "prev_bucket", "technical_bucket", "rank_bucket", "volume_bu
 
 @query("b2_buckets", "sampled", f"SELECT instrument_id, CAST(day AS VARCHAR) AS day, {', '.join(BK)} FROM sampled")
 def b2(spark, sf):
-    return rl.buckets(members(spark, sf)).select(*DAYK, *BK)
+    return rl.buckets(members(spark, sf)).select(*key_day(), *BK)
 
 
 def stat_sql(source, keys, group=None):
@@ -333,7 +333,7 @@ PK = ["max_ten", "max_day", "low_ten", "dip_before_peak", "last"]
 
 @query("b7_peaks", "peak", f"SELECT instrument_id, CAST(day AS VARCHAR) AS day, max_ten_at, max_day_at, last_at, {', '.join(f'round({c}, 6) AS {c}' for c in PK)} FROM peak")
 def b7b(spark, sf):
-    return rl.peak(fx.minute_bars(spark, sf)).select(*DAYK, "max_ten_at", "max_day_at", "last_at", *[rounded(c).alias(c) for c in PK])
+    return rl.peak(fx.minute_bars(spark, sf)).select(*key_day(), "max_ten_at", "max_day_at", "last_at", *[rounded(c).alias(c) for c in PK])
 
 
 @query("b7_share_judgement", "picked, reached25", forward_sql("""(SELECT 'S3' AS question, day, avg(hit) - 0.5 AS value FROM picked JOIN reached25 USING (instrument_id, day) GROUP BY day)""", "1", 8, 12))
@@ -348,7 +348,7 @@ def b7c(spark, sf):
 SELECT instrument_id, CAST(day AS VARCHAR) AS day, min(minute) FILTER (r = 1) AS reached_at FROM (SELECT *, {reach_sql(0.03)} AS r FROM (
   SELECT *, max(open) FILTER (minute = 0) OVER (PARTITION BY instrument_id, day) AS e FROM mbars) WHERE e > 0) GROUP BY instrument_id, day""")
 def b7d(spark, sf):
-    return rl.reached_day(fx.minute_bars(spark, sf), 0.03).select(*DAYK, "reached_at")
+    return rl.reached_day(fx.minute_bars(spark, sf), 0.03).select(*key_day(), "reached_at")
 
 
 PKB = cut_sql("{0}", ((5, 15, 30, 60), ("09:00-09:04", "09:05-09:14", "09:15-09:29", "09:30-09:59", "after 10:00")))
@@ -393,7 +393,7 @@ def b9b(spark, sf):
     asked = members(spark, sf).select("instrument_id", "day", F.concat(F.lit("D"), (F.col("h") % 12).cast("string")).alias("detail"),
                                       F.concat(F.lit("G"), (F.col("h") % 4).cast("string")).alias("kind"))
     out = rl.usual_reaction(asked, rl.reaction_stats(paths, ["detail"]), rl.reaction_stats(paths, ["kind"]), min_n=26)
-    return out.select(*DAYK, "scope", "n", rounded("hit_60").alias("hit_60"))
+    return out.select(*key_day(), "scope", "n", rounded("hit_60").alias("hit_60"))
 
 
 cte("reviewed", """SELECT m.*, CASE m.h % 4 WHEN 0 THEN 'BUY_INTEREST' WHEN 1 THEN 'WATCH' WHEN 2 THEN 'CAUTION' END AS action, m.instrument_id = 9 AS heavyweight, k.market_return_pct AS mkt, h.peak_930, p.hit_25, p.at_10,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from knownat.functions import numeric as num
-from knownat.functions.numeric import day_text, rounded, stamp_text
+from knownat.functions.numeric import day_text, key_day, rounded, stamp_text
 from knownat.functions.scale import exact_quantile, trimmed_mean
 from knownat.operators import calendar as cal
 from knownat.operators import stats

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from knownat.functions.numeric import day_text, rounded
+from knownat.functions.numeric import day_text, key_day, rounded
 from knownat.operators import calendar as cal
 from knownat.operators import news as nw
 from knownat.operators import stats
@@ -16,7 +16,6 @@ from knownat.plans.rules import judge_out, judge_sql, members
 from knownat.session import cut_lineage
 from knownat.sources.tables import load
 
-K = ["instrument_id", day_text("day").alias("day")]
 FIRST, LAST = "1993-01-01", "2000-06-30"
 cte("otitle", "SELECT o_orderkey AS receipt, o_custkey % 10 AS corp_code, CAST(o_orderdate AS DATE) AS filed_on, [" + ", ".join(f"'{t}'" for t in TITLES) + "][o_orderkey % 16 + 1] AS report_nm FROM orders")
 cte("otitled", f"""SELECT *, {_list(1, True)}[k] AS event_type, CAST({_list(2)}[k] AS DOUBLE) AS sentiment, {_list(3)}[k] * CASE WHEN sub THEN 0.5 ELSE 1.0 END AS intensity FROM (SELECT *, {_pick} AS k,
@@ -53,7 +52,7 @@ def event_sample(spark, sf):
 
 @query("e2_event_sample", "esample", "SELECT instrument_id, CAST(day AS VARCHAR) AS day, event_type, round(intensity, 6) AS intensity, round(excess, 8) AS excess, round(excess_gap, 8) AS excess_gap, dropped FROM esample")
 def e2(spark, sf):
-    return event_sample(spark, sf).select(*K, "event_type", rounded("intensity").alias("intensity"), rounded("excess", 8).alias("excess"), rounded("excess_gap", 8).alias("excess_gap"), "dropped")
+    return event_sample(spark, sf).select(*key_day(), "event_type", rounded("intensity").alias("intensity"), rounded("excess", 8).alias("excess"), rounded("excess_gap", 8).alias("excess_gap"), "dropped")
 
 
 SG = "CASE WHEN sentiment > 0 THEN 1 WHEN sentiment < 0 THEN -1 ELSE 0 END"
@@ -81,7 +80,7 @@ cte("fh", """SELECT instrument_id, day, c / e - 1 AS ret, h / e - 1 AS mfe, l /
 
 @query("e5_first_hour_measures", "fh", "SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(ret, 8) AS ret, round(mfe, 8) AS mfe, round(mae, 8) AS mae FROM fh")
 def e5(spark, sf):
-    return st.first_hour_measures(fx.minute_bars(spark, sf)).select(*K, *[rounded(c, 8).alias(c) for c in ("ret", "mfe", "mae")])
+    return st.first_hour_measures(fx.minute_bars(spark, sf)).select(*key_day(), *[rounded(c, 8).alias(c) for c in ("ret", "mfe", "mae")])
 
 
 cte("fq", """SELECT day, q.question, q.value FROM (SELECT day, unnest([{'question': 'F1', 'value': avg(ret)}, {'question': 'F2', 'value': avg(ret) FILTER (s > 0) - avg(ret) FILTER (s < 0)}, {'question': 'F3', 'value': avg(mfe - mae) FILTER (it >= 0.5) - avg(mfe - mae) FILTER (it < 0.5)},
@@ -169,7 +168,7 @@ def rel_gap(spark, sf):
 
 @query("e13_relative_gap", "rel_gap", "SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(gap_rel, 8) AS gap_rel, round(ew_first_hour, 8) AS ew_first_hour FROM rel_gap")
 def e13(spark, sf):
-    return rel_gap(spark, sf).select(*K, rounded("gap_rel", 8).alias("gap_rel"), rounded("ew_first_hour", 8).alias("ew_first_hour"))
+    return rel_gap(spark, sf).select(*key_day(), rounded("gap_rel", 8).alias("gap_rel"), rounded("ew_first_hour", 8).alias("ew_first_hour"))
 
 
 def select_sql(where):
@@ -215,7 +214,7 @@ def based(spark, sf):
 
 @query("e15_own_baseline", "based", "SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(baseline, 8) AS baseline FROM based")
 def e15(spark, sf):
-    return based(spark, sf).select(*K, rounded("baseline", 8).alias("baseline"))
+    return based(spark, sf).select(*key_day(), rounded("baseline", 8).alias("baseline"))
 
 
 cte("obs", f"""SELECT s.code, s.day, avg(b.gap - b.ew_gap) AS O1, avg(b.first_hour - b.ew_first_hour) AS O2, avg(b.first_hour - 0.003) AS O3, avg(b.first_hour - b.baseline) AS O4
@@ -262,7 +261,7 @@ def pre(spark, sf):
 
 @query("e17_premarket_entry", "pre", "SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(CASE WHEN value >= 1e6 THEN value / v END, 6) AS entry, round(first_open, 6) AS first_open, round(pre_close, 6) AS pre_close FROM pre")
 def e17(spark, sf):
-    return pre(spark, sf).select(*K, *[rounded(c).alias(c) for c in ("entry", "first_open", "pre_close")])
+    return pre(spark, sf).select(*key_day(), *[rounded(c).alias(c) for c in ("entry", "first_open", "pre_close")])
 
 
 cte("nd", """SELECT instrument_id, day, entry / pc - 1 AS g8, open9 / pc - 1 AS g9, open9 / entry - 1 AS a, close10 / entry - 1 AS b, close10 / open9 - 1 AS krx FROM (
@@ -282,7 +281,7 @@ def name_days(spark, sf):
 
 @query("e18_name_days", "nd", f"SELECT instrument_id, CAST(day AS VARCHAR) AS day, {', '.join(f'round({c}, 8) AS {c}' for c in ND)} FROM nd")
 def e18(spark, sf):
-    return name_days(spark, sf).select(*K, *[rounded(c, 8).alias(c) for c in ND])
+    return name_days(spark, sf).select(*key_day(), *[rounded(c, 8).alias(c) for c in ND])
 
 
 @query("e19_control_sample", "", """
