@@ -7,6 +7,7 @@ over the last ``HISTORY`` bars of each day, never over the whole past.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from knownat.functions.numeric import col
@@ -67,33 +68,49 @@ def ema(values: Column, period: int) -> Column:
     return F.when(F.size(values) >= period, folded)
 
 
-def rsi(values: Column, period: int = 14) -> Column:
-    """Wilder's index: smoothed gains against smoothed losses; 100 without a loss, 50 without any move.
+def _wilder(moves: Column, period: int, up: bool) -> Column:
+    """Wilder's mean of the gains (or losses) in an array of moves."""
+    n = float(period)
 
-    One pass: the first ``period`` moves add up to plain means, later ones are smoothed in.
-    """
+    def part(x: Column) -> Column:
+        return F.greatest(x if up else -x, F.lit(0.0))
+
+    seed = F.aggregate(F.slice(moves, 1, period), F.lit(0.0), lambda a, x: a + part(x)) / n
+    tail = F.slice(moves, F.lit(period + 1), F.greatest(F.size(moves) - period, F.lit(0)))
+    return F.aggregate(tail, seed, lambda a, x: (a * (n - 1) + part(x)) / n)
+
+
+def rsi(values: Column, period: int = 14) -> Column:
+    """Wilder's index: smoothed gains against smoothed losses; 100 without a loss, 50 without any move."""
     size = F.size(values)
     later = F.slice(values, F.lit(2), F.greatest(size - 1, F.lit(0)))
     earlier = F.slice(values, F.lit(1), F.greatest(size - 1, F.lit(0)))
     moves = F.zip_with(later, earlier, lambda b, a: b - a)
-    n = float(period)
-
-    def smoothed(mean: Column, k: Column, x: Column) -> Column:
-        return F.when(k < n, mean + x / n).otherwise((mean * (n - 1) + x) / n)
 
-    def step(s: Column, x: Column) -> Column:
-        return F.struct(
-            smoothed(s["up"], s["k"], F.greatest(x, F.lit(0.0))).alias("up"),
-            smoothed(s["down"], s["k"], F.greatest(-x, F.lit(0.0))).alias("down"),
-            (s["k"] + 1.0).alias("k"),
-        )
-
-    def finish(s: Column) -> Column:
+    def index(s: Column) -> Column:
         flat = F.when(s["up"] > 0, F.lit(100.0)).otherwise(F.lit(50.0))
         return F.when(s["down"] == 0, flat).otherwise(100.0 - 100.0 / (1.0 + F.try_divide(s["up"], s["down"])))
 
-    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0.0).alias("k"))
-    return F.when(size >= period + 1, F.aggregate(moves, start, step, finish))
+    # one-element transforms bind the moves and both means, so each is evaluated once
+    means = F.transform(F.array(moves), lambda m: F.struct(_wilder(m, period, True).alias("up"), _wilder(m, period, False).alias("down")))
+    return F.when(size >= period + 1, F.element_at(F.transform(means, index), 1))
+
+
+def _macd_weights(length: int, fast: int, slow: int, signal: int) -> tuple[list[float], list[float]]:
+    """Weights that give the MACD and signal lines of a series of exactly ``length`` values.
+
+    Both lines are linear in the values, so running the recurrence once over the identity matrix yields them.
+    """
+    unit = np.eye(length)
+
+    def smooth(rows: np.ndarray, period: int) -> np.ndarray:
+        out = [rows[:period].mean(axis=0)]
+        for x in rows[period:]:
+            out.append((x - out[-1]) * (2.0 / (period + 1)) + out[-1])
+        return np.array(out)
+
+    line = smooth(unit, fast)[slow - fast:] - smooth(unit, slow)
+    return line[-1].tolist(), smooth(line, signal)[-1].tolist()
 
 
 def macd(values: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Column:
@@ -130,7 +147,16 @@ def macd(values: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Col
         line = s["f"] - s["s"]
         return F.struct(line.alias("macd"), signal_after(s).alias("signal"), (line - signal_after(s)).alias("histogram"))
 
-    return F.when(F.size(values) >= slow + signal, F.aggregate(tail, start, step, finish))
+    # nearly every day has the full history: there two dot products replace the fold
+    w_line, w_signal = (F.expr("array(" + ", ".join(f"{w!r}D" for w in ws) + ")") for ws in _macd_weights(HISTORY, fast, slow, signal))
+
+    def dot(weights: Column) -> Column:
+        return F.aggregate(F.zip_with(values, weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+
+    pair = F.transform(F.array(F.struct(dot(w_line).alias("l"), dot(w_signal).alias("s"))),
+                       lambda p: F.struct(p["l"].alias("macd"), p["s"].alias("signal"), (p["l"] - p["s"]).alias("histogram")))
+    return F.when(F.size(values) == HISTORY, F.element_at(pair, 1)).when(
+        F.size(values) >= slow + signal, F.aggregate(tail, start, step, finish))
 
 
 def percentile_rank(population: DataFrame, keys: list[str], value: str, *, name: str = "pct_rank") -> DataFrame:

@@ -14,6 +14,8 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # the series folds cost far more CPU than bytes, so small stages are not squeezed into one task
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
 }
 
