@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from knownat.functions import names as nm
 from knownat.functions.numeric import sign
+from knownat.session import spread_small
 
 # ------------------------------------------------------------------ names in text
 
@@ -45,6 +46,7 @@ def judge_articles(articles: DataFrame, registry: DataFrame, *, chunk: int = REG
     total = full.count()
     passes = max(1, -(-total // chunk))
     schema = "news_item_id long, instrument_id long, decision string, match_method string, decision_reason string"
+    texts = spread_small(articles.select("news_item_id", "title", "summary"))
     out = None
     for k in range(passes):
         rows = full.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == k).collect()
@@ -62,7 +64,7 @@ def judge_articles(articles: DataFrame, registry: DataFrame, *, chunk: int = REG
                 ]
                 yield pd.DataFrame(found, columns=["news_item_id", "instrument_id", "decision", "match_method", "decision_reason"])
 
-        part = articles.select("news_item_id", "title", "summary").mapInPandas(run, schema)
+        part = texts.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -85,7 +85,7 @@ SELECT CAST(horizon AS BIGINT) AS horizon, l.grouping AS "grouping", l.label AS
 FROM (SELECT *, unnest([{'grouping': 'action', 'label': action}, {'grouping': 'overlay', 'label': CASE WHEN points IS NULL THEN 'no overlay' WHEN points >= 1 THEN 'good news' WHEN points <= -1 THEN 'bad news' ELSE 'neutral' END},
   {'grouping': 'regime', 'label': coalesce(regime, 'no regime')}, {'grouping': 'attention', 'label': coalesce(attention, 'not recorded')}]) AS l FROM frec) GROUP BY 1, 2, 3""")
 def w5(spark, sf):
-    out = bt.forward_report(frecords(spark, sf))
+    out = bt.forward_report(cut_lineage(frecords(spark, sf)))
     return out.select(F.col("horizon").cast("long").alias("horizon"), "grouping", "label", "n", "days", *[rounded(c).alias(c) for c in ("mean", "median", "hit_rate", "mean_excess")])
 
 

@@ -13,6 +13,7 @@ from knownat.plans import fixtures as fx
 from knownat.plans.indicators import W20, W60, W250
 from knownat.plans.pit import snapshots
 from knownat.plans.registry import cte, query
+from knownat.session import cut_lineage
 from knownat.sources.tables import load
 
 B = "least(1, greatest(0, ({0} - ({1})) / ({2} - ({1})))) * 100"
@@ -213,6 +214,8 @@ def signals(spark, sf):
     # one row per listed instrument and session: the population each session is ranked in
     points = cal.session_grid(snaps.select("instrument_id").distinct(), fx.sessions(spark, sf)).select("instrument_id", "day", "close_at")
     then = fac.as_of_snapshots(points, snaps, "close_at").where("anchor_end IS NOT NULL").withColumn("market", F.when(F.col("instrument_id") % 2 == 0, "US").otherwise("KR"))
+    # read by the ranks and by the signals: written once
+    then = cut_lineage(then)
     ranks = fac.peer_positions(then, ["market", "day"])
     priced = technical(spark, sf).withColumn("price", F.col("close"))
     rows = priced.join(then.drop("close_at"), ["instrument_id", "day"], "left").join(ranks.drop("market"), ["instrument_id", "day"], "left")

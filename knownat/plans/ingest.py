@@ -12,6 +12,7 @@ from knownat.plans import fixtures as fx
 from knownat.plans.pit import ASOF, TIES
 from knownat.plans.registry import cte, query
 from knownat.plans.rules import pathed, reaction_sql, RX
+from knownat.session import cut_lineage
 from knownat.sources import ingest as ing
 from knownat.sources.tables import load
 
@@ -267,7 +268,7 @@ def s25(spark, sf):
 @query("s26_reference_tables", "pathed", f"SELECT 'detail' AS scope, detail AS key, * EXCLUDE (detail) FROM ({reaction_sql('detail')}) UNION ALL SELECT 'group', kind, * EXCLUDE (kind) FROM ({reaction_sql('kind')})")
 def s26(spark, sf):
     """The reaction tables as one stored batch; ``sources.tables.append`` writes it."""
-    paths = pathed(spark, sf)
+    paths = cut_lineage(pathed(spark, sf))
     out = None
     for scope, key in (("detail", "detail"), ("group", "kind")):
         part = rl.reaction_stats(paths, [key]).select(F.lit(scope).alias("scope"), F.col(key).alias("key"), *[F.col(c) if c == "n" else rounded(c).alias(c) for c in RX])

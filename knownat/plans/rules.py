@@ -12,6 +12,7 @@ from knownat.operators import stats
 from knownat.plans import fixtures as fx
 from knownat.plans.intraday import market as market_days
 from knownat.plans.registry import cte, query
+from knownat.session import cut_lineage
 
 TICK = "CASE WHEN {0} < 2000 THEN 1 WHEN {0} < 5000 THEN 5 WHEN {0} < 20000 THEN 10 WHEN {0} < 50000 THEN 50 WHEN {0} < 200000 THEN 100 WHEN {0} < 500000 THEN 500 ELSE 1000 END"
 
@@ -380,7 +381,7 @@ def pathed(spark, sf):
 
 @query("b9_reaction_stats", "pathed", reaction_sql("detail"))
 def b9(spark, sf):
-    out = rl.reaction_stats(pathed(spark, sf), ["detail"])
+    out = rl.reaction_stats(cut_lineage(pathed(spark, sf)), ["detail"])
     return out.select("detail", *[F.col(c) if c == "n" else rounded(c).alias(c) for c in RX])
 
 
@@ -389,7 +390,7 @@ WITH d AS ({reaction_sql('detail')}), g AS ({reaction_sql('kind')})
 SELECT a.instrument_id, CAST(a.day AS VARCHAR) AS day, CASE WHEN d.n >= 26 THEN 'same filing' WHEN g.n >= 26 THEN 'similar filings' END AS scope, CASE WHEN d.n >= 26 THEN d.n WHEN g.n >= 26 THEN g.n END AS n,
   CASE WHEN d.n >= 26 THEN d.hit_60 WHEN g.n >= 26 THEN g.hit_60 END AS hit_60 FROM (SELECT instrument_id, day, 'D' || (h % 12) AS detail, 'G' || (h % 4) AS kind FROM member) a LEFT JOIN d USING (detail) LEFT JOIN g USING (kind)""")
 def b9b(spark, sf):
-    paths = pathed(spark, sf)
+    paths = cut_lineage(pathed(spark, sf))
     asked = members(spark, sf).select("instrument_id", "day", F.concat(F.lit("D"), (F.col("h") % 12).cast("string")).alias("detail"),
                                       F.concat(F.lit("G"), (F.col("h") % 4).cast("string")).alias("kind"))
     out = rl.usual_reaction(asked, rl.reaction_stats(paths, ["detail"]), rl.reaction_stats(paths, ["kind"]), min_n=26)
@@ -427,7 +428,7 @@ FROM (SELECT *, unnest(list_filter(list_concat([CASE WHEN heavyweight THEN 'heav
     CASE WHEN NOT heavyweight THEN {cut_sql('gap', GAPS)} END, CASE WHEN heavyweight THEN NULL WHEN mkt > 0 THEN 'market up' WHEN mkt <= 0 THEN 'market down or flat' END],
     list_concat(CASE WHEN heavyweight THEN [] ELSE list_transform(reasons, lambda r: 'reason ' || r) END, list_concat(CASE WHEN heavyweight THEN [] ELSE list_transform(kinds, lambda r: 'filing ' || r) END, list_transform(tops, lambda r: 'top3 ' || r)))), lambda x: x IS NOT NULL)) AS grp FROM reviewed) GROUP BY 1""")
 def b10(spark, sf):
-    out = rl.review_stats(rl.review_groups(review_rows(spark, sf)))
+    out = rl.review_stats(cut_lineage(rl.review_groups(review_rows(spark, sf))))
     return out.select("grp", "n", "up_close", "peak_930_2pct", *[rounded(c).alias(c) for c in RV])
 
 

@@ -57,3 +57,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="knownat-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a CPU-heavy Python stage at least one task per core.
+
+    Only inputs with fewer partitions than cores are redistributed (one small file is one partition); larger
+    inputs keep the partitioning of their scan and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
