@@ -101,7 +101,7 @@ def i8(spark, sf):
 
 @query("i9_scales", "bars", """
 SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(least(1, greatest(0, (close - 105) / 20)) * 100, 6) AS b, round((1 - least(1, greatest(0, (close - 105) / 20))) * 100, 6) AS inv,
-  round(greatest(0, 1 - abs(close - 130) / 25) * 100, 6) AS peak, round(greatest(0, least(100, close - 50)), 6) AS clamped FROM bars""")
+  round(greatest(0, 1 - abs(close - 130) / 25) * 100, 6) AS peak, round(greatest(0, least(100, close - 50)), 10) AS clamped FROM bars""")
 def i9(spark, sf):
     return fx.bars(spark, sf).select(*key_day(), rounded(num.bounded("close", 105, 125)).alias("b"), rounded(num.bounded("close", 105, 125, invert=True)).alias("inv"),
-                                     rounded(num.peak_at("close", 130, 25)).alias("peak"), rounded(num.clamp(F.col("close") - 50)).alias("clamped"))
+                                     rounded(num.peak_at("close", 130, 25)).alias("peak"), rounded(num.clamp(F.col("close") - 50), 10).alias("clamped"))

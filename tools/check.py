@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from knownat import plans  # noqa: E402
 from knownat.session import build_session  # noqa: E402
 
+STRICT = "--strict" in sys.argv
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -24,7 +25,7 @@ def norm(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+        return None if math.isnan(v) else (v if STRICT else round(v, 5)) + 0.0
     if isinstance(v, int):
         return float(v)
     if hasattr(v, "as_tuple"):
@@ -65,6 +66,7 @@ def main(argv):
         at = argv.index("--sf")
         sf = argv[at + 1]
         argv = argv[:at] + argv[at + 2:]
+    argv = [a for a in argv if a != "--strict"]
     spark = build_session("local[8]")
     con = duckdb.connect()
     for t in TABLES:
