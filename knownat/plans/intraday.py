@@ -120,9 +120,10 @@ def t7b(spark, sf):
 
 
 FULL = 34
-cte("market", f"""SELECT day, CASE WHEN n = {FULL} THEN (c / o - 1) * 100 ELSE (dc / dopen - 1) * 100 END AS market_return_pct, CASE WHEN n = {FULL} THEN 'INDEX_MINUTE' ELSE 'DAILY' END AS market_source FROM
-  (SELECT day, count(*) AS n, arg_min(open, minute) AS o, arg_max(close, minute) AS c FROM mbars WHERE instrument_id = 0 GROUP BY 1)
-  JOIN (SELECT day, arg_min(open, minute) AS dopen, arg_max(close, minute) AS dc FROM mbars WHERE instrument_id = 1 GROUP BY 1) USING (day)""", "mbars")
+cte("market", f"""SELECT coalesce(a.day, b.day) AS day, CASE WHEN n = {FULL} THEN (c / o - 1) * 100 WHEN dopen > 0 THEN (dc / dopen - 1) * 100 END AS market_return_pct,
+  CASE WHEN n = {FULL} THEN 'INDEX_MINUTE' WHEN dopen > 0 THEN 'DAILY' END AS market_source FROM
+  (SELECT day, count(*) AS n, arg_min(open, minute) AS o, arg_max(close, minute) AS c FROM mbars WHERE instrument_id = 0 GROUP BY 1) a
+  FULL JOIN (SELECT day, arg_min(open, minute) AS dopen, arg_max(close, minute) AS dc FROM mbars WHERE instrument_id = 1 GROUP BY 1) b ON a.day = b.day""", "mbars")
 
 
 def market(spark, sf):

@@ -265,7 +265,7 @@ POOL = """
 WITH d AS (SELECT instrument_id, score FROM (SELECT instrument_id, (recent + 1.0) / (expected + 1.0) AS score, row_number() OVER (ORDER BY (recent + 1.0) / (expected + 1.0) DESC, recent DESC, instrument_id) AS rk FROM disc WHERE status = 'RANKED') WHERE rk <= 20),
  f AS (SELECT instrument_id, max(intensity) AS intensity FROM titled WHERE event_type IS NOT NULL GROUP BY 1), o AS (SELECT DISTINCT instrument_id FROM evt WHERE event_type = 'purchase' AND seen_at > TIMESTAMP '{0}' - INTERVAL 1 DAY AND seen_at <= TIMESTAMP '{0}')
 SELECT i AS instrument_id, array_to_string(list_filter([CASE WHEN d.score IS NOT NULL THEN 'DISCOVERY' END, CASE WHEN f.intensity IS NOT NULL THEN 'DISCLOSURE' END, CASE WHEN o.instrument_id IS NOT NULL THEN 'FOCUS' END], lambda x: x IS NOT NULL), '+') AS sources,
-  i % 5 = 0 AS tracked, round(d.score, 6) AS discovery_score, f.intensity IS NOT NULL AS has_disclosure_event, round(f.intensity, 6) AS disclosure_intensity
+  i IN (SELECT instrument_id FROM evt WHERE instrument_id % 5 = 0) AS tracked, round(d.score, 6) AS discovery_score, f.intensity IS NOT NULL AS has_disclosure_event, round(f.intensity, 6) AS disclosure_intensity
 FROM (SELECT instrument_id AS i FROM d UNION SELECT instrument_id FROM f UNION SELECT instrument_id FROM o) LEFT JOIN d ON d.instrument_id = i LEFT JOIN f ON f.instrument_id = i LEFT JOIN o ON o.instrument_id = i"""
 
 

@@ -173,7 +173,7 @@ def e13(spark, sf):
 
 def select_sql(where):
     return f"""SELECT *, row_number() OVER (PARTITION BY code ORDER BY rho DESC, instrument_id) AS place FROM (SELECT *, rho * sqrt(n - 2) / sqrt(1 - rho * rho) AS t FROM (
-  SELECT code, instrument_id, corr(e, gap_rel) AS rho, count(*) AS n FROM resid JOIN rel_gap USING (day) WHERE e IS NOT NULL AND {where} GROUP BY 1, 2)) WHERE t >= -1"""
+  SELECT code, instrument_id, corr(e, gap_rel) AS rho, count(*) AS n FROM resid JOIN rel_gap USING (day) WHERE e IS NOT NULL AND {where} GROUP BY 1, 2) WHERE n >= 3) WHERE t >= -1"""
 
 
 cte("lists", f"SELECT * FROM ({select_sql(f'''day < DATE '{TRAIN_END}' ''')}) WHERE place <= 4", "resid", "rel_gap")
@@ -194,7 +194,7 @@ WITH td AS (SELECT day, row_number() OVER (ORDER BY day) <= count(*) OVER () //
  ch AS (SELECT code, instrument_id FROM ({select_sql('day IN (SELECT day FROM td WHERE front)')}) WHERE place <= 4),
  bk AS (SELECT code, day, any_value(e) AS e, avg(gap_rel) AS g FROM resid JOIN ch USING (code) JOIN rel_gap USING (instrument_id, day) WHERE e IS NOT NULL AND day IN (SELECT day FROM td WHERE NOT front) GROUP BY 1, 2),
  q AS (SELECT code, corr(e, g) AS rho, count(*) AS n FROM bk GROUP BY 1)
-SELECT c.code, coalesce(s.k, 0) AS front_list, round(CASE WHEN s.k >= 3 THEN rho END, 6) AS back_rho, round(CASE WHEN s.k >= 3 THEN rho * sqrt(n - 2) / sqrt(1 - rho * rho) END, 5) AS back_t FROM (SELECT DISTINCT code FROM resid) c LEFT JOIN (SELECT code, count(*) AS k FROM ch GROUP BY 1) s USING (code) LEFT JOIN q USING (code)""")
+SELECT c.code, coalesce(s.k, 0) AS front_list, round(CASE WHEN s.k >= 3 AND n >= 3 THEN rho END, 6) AS back_rho, round(CASE WHEN s.k >= 3 AND n >= 3 THEN rho * sqrt(n - 2) / sqrt(1 - rho * rho) END, 5) AS back_t FROM (SELECT DISTINCT code FROM resid) c LEFT JOIN (SELECT code, count(*) AS k FROM ch GROUP BY 1) s USING (code) LEFT JOIN q USING (code)""")
 def e14(spark, sf):
     r = cut_lineage(resid(spark, sf))
     days = r.where(F.col("day") < F.lit(TRAIN_END).cast("date")).select("day").distinct()
