@@ -56,7 +56,7 @@ def _sketch(width: int):
 def _order(docs: DataFrame, width: int) -> np.ndarray:
     """One byte per sketch bucket: the order of magnitude of its count over all documents."""
     counts = docs.select("text").mapInArrow(_sketch(width), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = counts.select("bucket", F.floor(F.log2("n")).cast("int").alias("rank")).toPandas()  # at most SKETCH rows
+    rows = counts.select("bucket", F.floor(F.log2("n")).cast("int").alias("rank")).toArrow()  # at most SKETCH rows
     order = np.zeros(SKETCH, np.uint8)
     order[rows["bucket"].to_numpy()] = rows["rank"].to_numpy()
     return order
@@ -105,7 +105,7 @@ def _filter_bits(ids: DataFrame) -> bytes:
     """A bitmap of hashed ids, built by or-ing bytes in Spark; its size is fixed."""
     spots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("spot")).distinct()
     spots = spots.groupBy(F.expr("spot div 8").cast("int").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(spot as int) % 8))").alias("bits"))
-    rows = spots.toPandas()  # at most FILTER_BITS / 8 rows
+    rows = spots.toArrow()  # at most FILTER_BITS / 8 rows
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     out[rows["byte"].to_numpy()] = rows["bits"].to_numpy()
     return out.tobytes()
