@@ -12,7 +12,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,12 @@ from knownat.llm.text import slices
 
 LENGTH = 2048
 END = 1
+END_BYTES = END.to_bytes(4, "little")
 #: Pieces expected in a group.
 GROUP = 4096
+#: Chunks whose ids a task remembers.
+REMEMBERED = 300_000
+_CHUNK = regex.compile(public_tokenizers.PATTERN)
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -69,20 +75,28 @@ def _encoder(vocabulary: str):
     return coder
 
 
-def token_ids(coder, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Ids of each text and the end id."""
-    for one in coder.encode_batch_fast([t or "" for t in texts], add_special_tokens=False):
-        yield np.array([*one.ids, END], "<u4")
+def token_ids(coder, texts: list[str | None], known: dict[str, bytes]) -> Iterator[np.ndarray]:
+    """Ids of each text and the end id.
+
+    The vocabulary merges inside the chunks of its own pre-tokenizer only, so each different chunk is encoded once and remembered in ``known``.
+    """
+    cut = [_CHUNK.findall(t or "") for t in texts]
+    if len(known) > REMEMBERED:
+        known.clear()
+    fresh = list(set().union(*cut).difference(known))
+    known.update(zip(fresh, (np.array(one.ids, "<u4").tobytes() for one in coder.encode_batch_fast(fresh, add_special_tokens=False))))
+    for chunks in cut:
+        yield np.frombuffer(b"".join([*map(known.__getitem__, chunks), END_BYTES]), "<u4")
 
 
 def _pieces(vocabulary: str, length: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(vocabulary)
+        coder, known = _encoder(vocabulary), {}
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
         for batch in batches:
             for part in slices(batch, "text"):
                 columns: list[list] = [[] for _ in names]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), token_ids(coder, part.column("text").to_pylist())):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), token_ids(coder, part.column("text").to_pylist(), known)):
                     for start in range(0, len(ids), length):
                         piece = ids[start : start + length]
                         row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), *((piece.astype(np.int64),) if with_ids else ()))

@@ -14,6 +14,7 @@ from knownat.llm.chat import chat_formatted, read_back, unescape
 from knownat.llm.decontamination import contamination
 from knownat.llm.jaccard_join import JaccardJoin
 from knownat.llm.language_id import language, learn
+from knownat.llm.line_dedup import line_dedup
 from knownat.llm.oracles import DECONTAMINATION
 from knownat.llm.packing import packed
 from knownat.llm.suffix_dedup import suffix_dedup
@@ -111,3 +112,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity(docs, fit(docs, table(spark, sf_dir, "labels"), fold(4) != 2))
     return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup(table(spark, sf_dir, "documents"))
+    return cut.select(
+        F.col("row.doc_id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
+    )
