@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knownat.llm import suffix_tree
 from knownat.llm.chat import chat_formatted, read_back, unescape
 from knownat.llm.decontamination import contamination
 from knownat.llm.jaccard_join import JaccardJoin
@@ -120,3 +121,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         F.col("row.doc_id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query("op8_lm_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scores = suffix_tree.scored(docs, suffix_tree.learn(docs.where(fold(7) != 2)))
+    return scores.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
