@@ -16,6 +16,7 @@ from knownat.llm.decontamination import contamination
 from knownat.llm.jaccard_join import JaccardJoin
 from knownat.llm.language_id import language, learn
 from knownat.llm.line_dedup import line_dedup
+from knownat.llm.neighbours import nearest
 from knownat.llm.oracles import DECONTAMINATION
 from knownat.llm.packing import packed
 from knownat.llm.suffix_dedup import suffix_dedup
@@ -128,3 +129,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scores = suffix_tree.scored(docs, suffix_tree.learn(docs.where(fold(7) != 2)))
     return scores.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op3_neighbours")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
