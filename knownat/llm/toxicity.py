@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from knownat.llm.text import slices
 
 #: Labelled texts, chosen by a hash of their id, that a model is fitted on at most.
-SAMPLE = 6000
+SAMPLE = 4000
 BUCKETS = 1 << 15
 DIM = 8
 PASSAGE = 12
@@ -45,9 +45,10 @@ def subwords(word: str) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (*grams, marked)]
 
 
-def _bags(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(i) for i in ids], np.int64)
-    return np.array([x for i in ids for x in i], np.int64), np.concatenate([[0], np.cumsum(sizes)])
+def _bags(words: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words end to end, and the n + 1 places where words begin and end."""
+    each = [np.array(subwords(w), np.uint16) for w in words]  # BUCKETS fits 16 bits
+    return np.concatenate(each).astype(np.int32), np.concatenate([[0], np.cumsum([len(e) for e in each])])
 
 
 def _means(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -80,16 +81,16 @@ class ToxicityModel:
 def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicityModel:
     """Fits embeddings and softmax on texts with labels 0 or 1; with one class only, every score is that class's share."""
     rng = np.random.default_rng(seed)
-    words = [_WORD.findall((t or "").lower()) for t in texts]
-    kept = [i for i, w in enumerate(words) if w]
+    number: dict[str, int] = {}
+    coded = [np.fromiter((number.setdefault(w, len(number)) for w in _WORD.findall((t or "").lower())), np.int32) for t in texts]
+    kept = [i for i, c in enumerate(coded) if len(c)]
     y = np.array([labels[i] for i in kept], np.float64)
     prior = (sum(labels) + 0.5) / (len(labels) + 1)
     bias = float(np.log(prior / (1 - prior)))
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(BUCKETS, np.float32), bias)
-    number: dict[str, int] = {}
-    coded = [np.array([number.setdefault(w, len(number)) for w in words[i]]) for i in kept]
-    flat, at = _bags([subwords(w) for w in number])
+    coded = [coded[i] for i in kept]
+    flat, at = _bags(number)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM))
     soft = rng.normal(0, 0.1, (2, DIM))
     shift = np.array([-bias / 2, bias / 2])
