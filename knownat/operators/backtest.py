@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import ROUND_DOWN, Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from knownat.functions.scale import exact_quantile
@@ -141,14 +139,12 @@ def walk_forward_windows(sessions: DataFrame, *, train: int, evaluate: int, hold
     return spans.join(a, "first").join(b, "last").select("window_index", "sample", "start_day", "end_day", "window_end", (F.col("last") - F.col("first") + 1).alias("sessions"))
 
 
-# ------------------------------------------------------------------ ledger
+# ------------------------------------------------------------------ fills
 
-BPS = Decimal("0.0001")
-COMMISSION_BPS, SLIPPAGE_BPS = Decimal("5"), Decimal("5")
-LEDGER = ("day date, equity double, fill string, quantity long, price double, pnl double, event string")
+COMMISSION, SLIPPAGE = 0.0005, 0.0005
 
 
-def ledger_inputs(signals: DataFrame, sessions: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def decisions(signals: DataFrame, sessions: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per (key, window, session): own bar, mark, signal and the next session's open.
 
     Built by joins for all keys at once; the mark is the last known close, and a session without its own bar
@@ -168,62 +164,31 @@ def ledger_inputs(signals: DataFrame, sessions: DataFrame, windows: DataFrame, k
                        F.when(inside, F.col("_next_open")).alias("fill_open"), (~F.coalesce(inside, F.lit(False))).alias("past_end"))
 
 
-def run_ledger(inputs: DataFrame, keys: Sequence[str], *, cash: float = 10_000_000.0) -> DataFrame:
-    """Equity curve, fills and closed trades of every (key, window).
+def filled(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Fills at the next open, closed trades and the value of one unit invested, per (key, window) of ``decisions``.
 
-    Positions depend on what earlier fills cost, so a group is folded in order; its rows are one window's
-    sessions of one name and strategy, and all groups run in parallel.
+    A decision is usable if its session has a bar and the next open lies in the window.  What is held before a session
+    is the newest usable decision before it, so a fill is a usable decision that differs from that: windows alone,
+    without a running account.  ``event`` says why a session did nothing; ``trade_return`` is net of slippage and
+    commission on both sides; ``equity`` reinvests everything, marked at the last known close.
     """
-    group = [*keys, "window_index", "sample"]
-    kinds = {f.name: f.dataType.simpleString() for f in inputs.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in group) + ", " + LEDGER
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        money, held, basis = Decimal(str(cash)), 0, Decimal(0)
-        out = []
-        for row in pdf.itertuples(index=False):
-            mark = row.mark
-            equity = None if pd.isna(mark) else float(money) + float(mark) * held
-            line = [row.day, equity, None, None, None, None, None]
-            out.append(line)
-            if not row.own_bar:
-                line[6] = "NO_DATA"
-                continue
-            if row.signal == "ABSTAIN":
-                line[6] = "ABSTAIN"
-                continue
-            side = "BUY" if row.signal == "ENTER" and not held else "SELL" if row.signal == "EXIT" and held else None
-            if side is None:
-                continue
-            if row.past_end or pd.isna(row.fill_open) or row.fill_open <= 0:
-                line[6] = "UNFILLED"
-                continue
-            quoted = Decimal(str(row.fill_open))
-            drift = quoted * SLIPPAGE_BPS * BPS
-            if side == "BUY":
-                price = quoted + drift
-                rate = COMMISSION_BPS * BPS
-                shares = int((money / (price * (1 + rate))).to_integral_value(rounding=ROUND_DOWN))
-                while shares > 0 and price * shares * (1 + rate) > money:
-                    shares -= 1
-                if shares == 0:
-                    line[6] = "UNFILLED"
-                    continue
-                basis = price * shares * (1 + rate)
-                money, held = money - basis, shares
-                line[2:5] = ["BUY", shares, float(price)]
-            else:
-                price = quoted - drift
-                proceeds = price * held * (1 - COMMISSION_BPS * BPS)
-                line[2:6] = ["SELL", held, float(price), float(proceeds - basis)]
-                money, held, basis = money + proceeds, 0, Decimal(0)
-        frame = pd.DataFrame(out, columns=["day", "equity", "fill", "quantity", "price", "pnl", "event"])
-        for k in reversed(group):
-            frame.insert(0, k, pdf[k].iloc[0])
-        return frame
-
-    return inputs.groupBy(*group).applyInPandas(fold, schema)
+    w = W.partitionBy(*keys, "window_index", "sample").orderBy("day")
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    wanted = F.col("own_bar") & F.coalesce(F.col("signal").isin("ENTER", "EXIT"), F.lit(False))
+    usable = wanted & ~F.col("past_end") & F.coalesce(F.col("fill_open") > 0, F.lit(False))
+    staged = rows.withColumn("_held", F.coalesce(F.last(F.when(usable, F.col("signal") == "ENTER"), ignorenulls=True).over(before), F.lit(False)))
+    turns = wanted & ((F.col("signal") == "ENTER") != F.col("_held"))
+    fill = F.when(turns & usable, F.when(F.col("_held"), "SELL").otherwise("BUY"))
+    staged = staged.withColumns({
+        "fill": fill,
+        "price": F.when(fill == "BUY", F.col("fill_open") * (1 + SLIPPAGE)).when(fill == "SELL", F.col("fill_open") * (1 - SLIPPAGE)),
+        "event": F.when(~F.col("own_bar"), "NO_DATA").when(F.col("signal") == "ABSTAIN", "ABSTAIN").when(turns & ~usable, "UNFILLED"),
+    })
+    staged = staged.withColumn("_paid", F.last(F.when(F.col("fill") == "BUY", F.col("price") * (1 + COMMISSION)), ignorenulls=True).over(before))
+    staged = staged.withColumn("trade_return", F.when(F.col("fill") == "SELL", F.col("price") * (1 - COMMISSION) / F.col("_paid") - 1))
+    grown = F.exp(F.coalesce(F.sum(F.ln(F.col("trade_return") + 1)).over(before), F.lit(0.0)))
+    equity = grown * F.when(F.col("_held"), F.col("mark") / F.col("_paid")).otherwise(1.0)
+    return staged.withColumn("equity", equity).select(*keys, "window_index", "sample", "day", "equity", "fill", "price", "trade_return", "event")
 
 
 # ------------------------------------------------------------------ metrics
@@ -255,13 +220,13 @@ def trade_stats(trades: DataFrame, keys: Sequence[str], *, pnl: str = "pnl") ->
         F.count(F.lit(1)).alias("trades"), F.avg(F.when(p > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.when(losses > 0, gains / losses).alias("profit_factor"))
 
 
-def window_results(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
+def window_results(fills: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Everything stored per window: performance, trades, and how many sessions abstained, lacked data or failed to fill."""
     group = [*keys, "window_index", "sample"]
-    perf = performance(ledger, group)
-    trades = trade_stats(ledger, group)
+    perf = performance(fills, group)
+    trades = trade_stats(fills, group, pnl="trade_return")
     count = lambda e: F.count(F.when(F.col("event") == e, 1))
-    notes = ledger.groupBy(*group).agg(F.count(F.lit(1)).alias("sessions"), count("ABSTAIN").alias("abstained"), count("NO_DATA").alias("without_data"), count("UNFILLED").alias("unfilled"))
+    notes = fills.groupBy(*group).agg(F.count(F.lit(1)).alias("sessions"), count("ABSTAIN").alias("abstained"), count("NO_DATA").alias("without_data"), count("UNFILLED").alias("unfilled"))
     return notes.join(perf, group, "left").join(trades, group, "left").fillna(0, ["trades"])
 
 

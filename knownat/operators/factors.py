@@ -154,8 +154,8 @@ def _placed(name: str, fixed: Column, *, invert: bool = False) -> Column:
 def fundamental_factor(rows: DataFrame) -> DataFrame:
     """Score of a snapshot with its ``price``, ratios and peer ranks.
 
-    P/E keeps an absolute scale (a loss scores 0); the other four are ranked among at least five peers,
-    else mapped onto fixed scales.  At least three metrics, one of them a profitability metric, are needed.
+    P/E keeps an absolute scale (a loss scores 0); each of the other four is ranked among at least
+    five peers of its own, else mapped onto a fixed scale; ``*_scale`` says which, null without the ratio.  At least three metrics, one of them a profitability metric, are needed.
     """
     c = F.col
     eps = c("EarningsPerShareBasic")
@@ -163,14 +163,17 @@ def fundamental_factor(rows: DataFrame) -> DataFrame:
     per_score = F.when(c("price").isNotNull() & eps.isNotNull(), F.when(eps <= 0, F.lit(0.0)).otherwise(num.peak_at(per, 15.0, 25.0)))
     equity, income = c("StockholdersEquity"), c("NetIncomeLoss")
     roe_score = F.when(income.isNotNull() & (equity < 0), F.lit(0.0)).otherwise(_placed("roe", num.bounded("roe", 0.0, 0.30)))
-    staged = rows.withColumns({
+    scales = {
+        f"{n}_scale": F.when(c(ratio).isNotNull(), F.when(F.coalesce(c(f"{ratio}_peers"), F.lit(0)) >= MIN_PEERS, "ranked").otherwise("fixed"))
+        for n, ratio in (("roe", "roe"), ("debt", "debt_ratio"), ("margin", "op_margin"), ("growth", "growth"))
+    }
+    staged = rows.withColumns(scales | {
         "per": per,
         "per_score": per_score,
         "roe_score": roe_score,
         "debt_score": _placed("debt_ratio", num.bounded("debt_ratio", 0.2, 0.8, invert=True), invert=True),
         "margin_score": _placed("op_margin", num.bounded("op_margin", 0.0, 0.30)),
         "growth_score": _placed("growth", num.bounded("growth", -0.20, 0.40)),
-        "scale": F.when(F.coalesce(c("roe_peers"), F.lit(0)) >= MIN_PEERS, "ranked").otherwise("fixed"),
     })
     metrics = F.array_compact(F.array(
         metric("P/E", F.coalesce(per, F.lit(0.0)), c("per_score")),

@@ -221,7 +221,7 @@ def mover_alerts(ranking: DataFrame, symbols: DataFrame, relations: DataFrame, *
     traded = rows.groupBy("day", "minute").agg(F.max("volume").alias("_v")).where("_v > 0")
     live = rows.join(traded.drop("_v"), ["day", "minute"], "left_semi")
     w = W.partitionBy("day", "minute", "market").orderBy(F.col("change_pct").desc(), "code")
-    ranked = live.withColumn("market_rank", F.row_number().over(w)).where(F.col("market_rank") <= 30)
+    ranked = live.withColumn("market_rank", F.row_number().over(w))
     mapped = ranked.join(symbols, "code")
     return companions(mapped, relations, ["day", "minute"]).join(
         mapped.select("day", "minute", "instrument_id", "market_rank"), ["day", "minute", "instrument_id"])

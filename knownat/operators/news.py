@@ -295,6 +295,10 @@ def cluster_anchors(instants: DataFrame, keys: Sequence[str], *, window_hours: i
     return instants.groupBy(*keys).agg(fold.alias("anchors"))
 
 
+#: Sums of this type do not depend on the order of their rows.
+EXACT = "decimal(24,12)"
+
+
 def clusters(readings: DataFrame, asof: Column, *, keys: Sequence[str] = ("instrument_id", "event_type")) -> DataFrame:
     """Event clusters usable at ``asof`` with direction, strength, decay, contribution and lead article.
 
@@ -311,8 +315,8 @@ def clusters(readings: DataFrame, asof: Column, *, keys: Sequence[str] = ("instr
     lead = F.struct(weight.alias("w"), (-F.col("item_id")).alias("i"), F.col("source").alias("s"))
     by_second = usable.groupBy(*keys, "_t").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(pointed, F.col("sentiment") * F.col("confidence"))).alias("sc"),
-        F.sum(F.when(pointed, F.col("confidence"))).alias("c"),
+        F.sum(F.when(pointed, (F.col("sentiment") * F.col("confidence")).cast(EXACT))).alias("sc"),
+        F.sum(F.when(pointed, F.col("confidence").cast(EXACT))).alias("c"),
         F.max("intensity").alias("intensity"),
         F.max(F.when(pointed, F.col("confidence"))).alias("confidence"),
         F.max(F.when(F.col("source") == "NEWS", lead)).alias("news"),
@@ -327,7 +331,7 @@ def clusters(readings: DataFrame, asof: Column, *, keys: Sequence[str] = ("instr
     age = (now - F.col("_a")) / 3600.0
     hl = half_life("event_type")
     kept = grouped.where(age <= hl * HORIZON)
-    sentiment = F.when(F.col("_c") > 0, F.col("_sc") / F.col("_c")).otherwise(0.0)
+    sentiment = F.when(F.col("_c") > 0, F.col("_sc").cast("double") / F.col("_c").cast("double")).otherwise(0.0)
     decay = F.pow(F.lit(0.5), age / hl)
     return kept.select(
         *keys, F.timestamp_seconds("_a").alias("first_at"), "articles", sentiment.alias("sentiment"), "intensity", "confidence",

@@ -139,13 +139,8 @@ def strategies(spark, sf):
 KEYS = ["instrument_id", "strategy"]
 
 
-def ledger(spark, sf):
-    return bt.run_ledger(bt.ledger_inputs(strategies(spark, sf), fx.sessions(spark, sf), windows(spark, sf), KEYS), KEYS)
-
-
-@query("k3_ledger")
-def k3(spark, sf):
-    return ledger(spark, sf).where("fill IS NOT NULL").select("instrument_id", "strategy", "window_index", "sample", day_text("day").alias("day"), "fill", "quantity", rounded("price", 4).alias("price"), rounded("pnl", 2).alias("pnl"))
+def fills(spark, sf):
+    return bt.filled(bt.decisions(strategies(spark, sf), fx.sessions(spark, sf), windows(spark, sf), KEYS), KEYS)
 
 
 @query("k4_performance", "bars", """
@@ -183,13 +178,31 @@ def k5b(spark, sf):
     return window_out(windows(spark, sf, anchored=True))
 
 
+W5 = W20.replace("19", "4")
+cte("fills", f"""WITH sig AS (SELECT instrument_id, 'ma-20-60' AS strategy, day, open, close, CASE WHEN count(*) OVER {W60} < 60 THEN 'ABSTAIN' WHEN avg(close) OVER {W20} > avg(close) OVER {W60} THEN 'ENTER' ELSE 'EXIT' END AS signal FROM bars
+  UNION ALL SELECT instrument_id, 'ma-5-20', day, open, close, CASE WHEN count(*) OVER {W20} < 20 THEN 'ABSTAIN' WHEN avg(close) OVER {W5} > avg(close) OVER {W20} THEN 'ENTER' ELSE 'EXIT' END FROM bars UNION ALL SELECT instrument_id, 'hold', day, open, close, 'ENTER' FROM bars),
+ win AS (SELECT window_index, sample, CAST(start_day AS DATE) AS a, CAST(end_day AS DATE) AS z FROM ({window_sql(False)})),
+ grid AS (SELECT k.*, s.day, s.next_day FROM (SELECT DISTINCT instrument_id, strategy FROM sig) k CROSS JOIN sess s),
+ m AS (SELECT g.*, b.close IS NOT NULL AS own_bar, b.signal, lead(b.open) OVER (PARTITION BY g.instrument_id, g.strategy ORDER BY g.day) AS next_open FROM grid g LEFT JOIN sig b USING (instrument_id, strategy, day)),
+ u AS (SELECT m.*, win.window_index, win.sample, own_bar AND signal IN ('ENTER', 'EXIT') AND coalesce(next_day <= z AND next_open > 0, false) AS usable FROM m JOIN win ON m.day BETWEEN a AND z),
+ p AS (SELECT *, coalesce(last_value(CASE WHEN usable THEN signal END IGNORE NULLS) OVER (PARTITION BY instrument_id, strategy, window_index, sample ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'EXIT') AS was FROM u),
+ f AS (SELECT *, CASE signal WHEN 'ENTER' THEN 'BUY' ELSE 'SELL' END AS fill, next_open * CASE signal WHEN 'ENTER' THEN 1.0005 ELSE 0.9995 END AS price FROM p WHERE usable AND signal <> was)
+ SELECT *, CASE WHEN fill = 'SELL' THEN price * 0.9995 / (lag(price) OVER (PARTITION BY instrument_id, strategy, window_index, sample ORDER BY day) * 1.0005) - 1 END AS trade_return FROM f""", "bars", "sess")
+
+
+@query("k3_fills", "fills", """
+SELECT instrument_id, strategy, CAST(window_index AS BIGINT) AS window_index, sample, CAST(day AS VARCHAR) AS day, fill, round(price, 4) AS price, round(trade_return, 6) AS trade_return FROM fills""")
+def k3(spark, sf):
+    return fills(spark, sf).where("fill IS NOT NULL").select("instrument_id", "strategy", "window_index", "sample", day_text("day").alias("day"), "fill", rounded("price", 4).alias("price"), rounded("trade_return").alias("trade_return"))
+
+
 RES = ["total_return", "max_drawdown", "sharpe", "win_rate", "profit_factor"]
 
 
 @query("k6_walk_forward")
 def k6(spark, sf):
     """Every strategy in and out of sample per window, and the one fitted on each training window."""
-    results = cut_lineage(bt.window_results(ledger(spark, sf), KEYS))
+    results = bt.window_results(fills(spark, sf), KEYS)
     fixed = results.select(F.lit("fixed").alias("mode"), *KEYS, "window_index", "sample", "sessions", "trades", *[rounded(c).alias(c) for c in RES])
     fitted = bt.choose_fitted(results, ["instrument_id"]).select(F.lit("fitted").alias("mode"), *KEYS, "window_index", "sample", "sessions", "trades", *[rounded(c).alias(c) for c in RES])
     return fixed.unionByName(fitted)
@@ -233,9 +246,9 @@ def k9b(spark, sf):
 @query("k10_reproduce")
 def k10(spark, sf):
     """Two independent runs of the same windows must agree; a stored copy with one changed measure must not."""
-    first = cut_lineage(bt.window_results(ledger(spark, sf), KEYS))
+    first = bt.window_results(fills(spark, sf), KEYS)
     stored = first.withColumn("trades", F.when(F.col("strategy") == "ma-5-20", F.col("trades") + 1).otherwise(F.col("trades")))
-    out = bt.reproduce(stored, bt.window_results(ledger(spark, sf), KEYS), [*KEYS, "window_index", "sample"])
+    out = bt.reproduce(stored, bt.window_results(fills(spark, sf), KEYS), [*KEYS, "window_index", "sample"])
     return out.select(*KEYS, "window_index", "sample", F.array_join("differences", ",").alias("differences"))
 
 

@@ -124,9 +124,9 @@ def fundamental(spark, sf):
 
 @query("f5_position_scale", "fund", """
 SELECT instrument_id, round(roe_score, 6) AS roe_score, round(debt_score, 6) AS debt_score, round(margin_score, 6) AS margin_score, round(growth_score, 6) AS growth_score,
-  CASE WHEN roe IS NOT NULL AND roe_peers >= 5 THEN 'ranked' ELSE CASE WHEN (debt_ratio IS NOT NULL OR op_margin IS NOT NULL OR growth IS NOT NULL) AND roe IS NOT NULL THEN 'ranked' ELSE 'fixed' END END AS scale FROM fund""")
+  CASE WHEN roe IS NULL THEN NULL WHEN roe_peers >= 5 THEN 'ranked' ELSE 'fixed' END AS roe_scale, CASE WHEN debt_ratio IS NULL THEN NULL WHEN debt_ratio_peers >= 5 THEN 'ranked' ELSE 'fixed' END AS debt_scale, CASE WHEN op_margin IS NULL THEN NULL WHEN op_margin_peers >= 5 THEN 'ranked' ELSE 'fixed' END AS margin_scale, CASE WHEN growth IS NULL THEN NULL WHEN growth_peers >= 5 THEN 'ranked' ELSE 'fixed' END AS growth_scale FROM fund""")
 def f5(spark, sf):
-    return fundamental(spark, sf).select("instrument_id", *[rounded(c).alias(c) for c in ("roe_score", "debt_score", "margin_score", "growth_score")], "scale")
+    return fundamental(spark, sf).select("instrument_id", *[rounded(c).alias(c) for c in ("roe_score", "debt_score", "margin_score", "growth_score")], "roe_scale", "debt_scale", "margin_scale", "growth_scale")
 
 
 @query("f6_fundamental_factor", "fund", """

@@ -199,7 +199,7 @@ def m14(spark, sf):
 @query("m15_mover_alerts", "rel", """
 WITH mv AS (SELECT CAST(ts AS DATE) AS day, minute(ts) AS minute, lpad(CAST(e.user_id AS VARCHAR), 5, '0') || CASE WHEN event_id % 5 = 0 THEN '5' ELSE '0' END AS code, user_id % 2 AS market, max(value / 10 - 15) AS change_pct, max(event_id % 3) AS volume FROM events e GROUP BY 1, 2, 3, 4),
  w AS (SELECT * FROM mv WHERE minute BETWEEN 1 AND 10 AND code LIKE '_____0'), t AS (SELECT w.* FROM w JOIN (SELECT day, minute FROM w GROUP BY 1, 2 HAVING max(volume) > 0) USING (day, minute)),
- r AS (SELECT * FROM (SELECT *, CAST(code[1:5] AS BIGINT) AS instrument_id, row_number() OVER (PARTITION BY day, minute, market ORDER BY change_pct DESC, code) AS market_rank FROM t) WHERE market_rank <= 30)
+ r AS (SELECT * FROM (SELECT *, CAST(code[1:5] AS BIGINT) AS instrument_id, row_number() OVER (PARTITION BY day, minute, market ORDER BY change_pct DESC, code) AS market_rank FROM t))
 SELECT CAST(day AS VARCHAR) AS day, minute, instrument_id, related_id, market_rank, place FROM (SELECT l.day, l.minute, l.instrument_id, x.related_id, l.market_rank, row_number() OVER (PARTITION BY l.day, l.minute, l.instrument_id ORDER BY c.change_pct NULLS LAST, length(x.sources) - length(replace(x.sources, '+', '')) DESC, x.related_id) AS place
   FROM r l JOIN rel x USING (instrument_id) LEFT JOIN r c ON c.day = l.day AND c.minute = l.minute AND c.instrument_id = x.related_id WHERE l.change_pct >= 7) WHERE place <= 6""")
 def m15(spark, sf):

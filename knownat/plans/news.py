@@ -192,7 +192,7 @@ cte("chain", """SELECT instrument_id, event_type, min(available_at) AS a FROM us
 HL = "CASE event_type WHEN 'PRICE_MOVE' THEN 24 WHEN 'EARNINGS' THEN 120 WHEN 'ORDER_CONTRACT' THEN 168 WHEN 'PRODUCT' THEN 72 ELSE 24 END"
 cte("clus", f"""SELECT *, sentiment * intensity * confidence * decay AS contribution FROM (SELECT instrument_id, event_type, a AS first_at, articles, coalesce(sc / nullif(c, 0), 0) AS sentiment, intensity, coalesce(conf, 0) AS confidence,
    pow(0.5, epoch(TIMESTAMP '{ASOF}' - a) / 3600 / ({HL})) AS decay, lead_id FROM (
-   SELECT instrument_id, event_type, a, count(*) AS articles, sum(sentiment * confidence) FILTER (directional) AS sc, sum(confidence) FILTER (directional) AS c, max(intensity) AS intensity, max(confidence) FILTER (directional) AS conf,
+   SELECT instrument_id, event_type, a, count(*) AS articles, CAST(sum(CAST(sentiment * confidence AS DECIMAL(24,12))) FILTER (directional) AS DOUBLE) AS sc, CAST(sum(CAST(confidence AS DECIMAL(24,12))) FILTER (directional) AS DOUBLE) AS c, max(intensity) AS intensity, max(confidence) FILTER (directional) AS conf,
      coalesce(arg_max(item_id, row(intensity * confidence, -item_id)) FILTER (source = 'NEWS'), arg_max(item_id, row(intensity * confidence, -item_id))) AS lead_id
    FROM (SELECT u.*, (SELECT max(c.a) FROM chain c WHERE c.instrument_id = u.instrument_id AND c.event_type = u.event_type AND c.a <= u.available_at) AS a FROM used u) GROUP BY 1, 2, 3)
    WHERE epoch(TIMESTAMP '{ASOF}' - a) / 3600 <= ({HL}) * 6)""", "chain", "used")

@@ -75,9 +75,6 @@ def minute_rows(raw: DataFrame, *, zone: str = "Asia/Seoul") -> DataFrame:
     return raw.where(ok & (F.col("close") > 0)).withColumns({"ts": start, "available_at": F.timestamp_add("MINUTE", F.lit(1), start)})
 
 
-MAX_PAGES = 8
-
-
 def day_status(rows: DataFrame, keys: Sequence[str] = ("instrument_id", "day")) -> DataFrame:
     """Completeness of a fetched day from its pages.
 
@@ -262,22 +259,19 @@ def rfc1123(raw: Column | str) -> Column:
     return F.try_to_timestamp(F.when(body != "", body), F.lit("d MMM yyyy HH:mm:ss Z"))
 
 
-MAX_URL, MAX_HOST, MAX_TITLE = 1000, 200, 500
-
-
 def news_rows(items: DataFrame, since: Column | None = None) -> DataFrame:
     """Articles with canonical address, its sha256 key, host, clean title and publication instant.
 
-    Items without a usable date, address or title drop out, as do those from before the watermark.  The
-    title width is the stored column's; ``full_title`` keeps the whole text.
+    Items without a usable date, address or title drop out, as do those from before the watermark.  Addresses,
+    hosts and titles of any length are kept whole.
     """
     url = canonical_url(F.when(F.trim(F.coalesce("originallink", F.lit(""))) != "", F.col("originallink")).otherwise(F.col("link")))
-    rows = items.withColumns({"url": url, "full_title": clean_text("title"), "published_at": rfc1123("pub_date")})
-    rows = rows.where("url IS NOT NULL AND published_at IS NOT NULL AND full_title <> ''").where(F.length("url") <= MAX_URL)
+    rows = items.withColumns({"url": url, "title": clean_text("title"), "published_at": rfc1123("pub_date")})
+    rows = rows.where("url IS NOT NULL AND published_at IS NOT NULL AND title <> ''")
     if since is not None:
         rows = rows.where(F.col("published_at") >= since)
     host = F.regexp_extract("url", r"://([^/?]*)", 1)
-    return rows.withColumns({"url_hash": F.sha2("url", 256), "publisher_host": F.when(F.length(host) <= MAX_HOST, host), "title": F.substring("full_title", 1, MAX_TITLE)})
+    return rows.withColumns({"url_hash": F.sha2("url", 256), "publisher_host": host})
 
 
 def sweep_coverage(sweeps: DataFrame) -> DataFrame:

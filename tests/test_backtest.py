@@ -1,5 +1,4 @@
 from datetime import date, timedelta
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ def test_windows_tile_and_leave_the_holdout(spark):
     assert [(r["start_day"], r["sessions"]) for r in rows if r["sample"] == "HOLDOUT"] == [(first + timedelta(42), 8)]
 
 
-def test_ledger_fills_next_open_and_books_costs(spark):
+def test_fills_at_the_next_open_with_costs(spark):
     prices = [(10.0, 10.0), (10.0, 11.0), (12.0, 12.0), (13.0, 14.0), (15.0, 15.0), (16.0, 16.0)]
     signal = ["ENTER", "HOLD", "ENTER", "EXIT", "ENTER", "ENTER"]
     rows = [(1, "s", date(2024, 1, 1) + timedelta(i), o, c, signal[i]) for i, (o, c) in enumerate(prices) if i != 1]
@@ -30,17 +29,15 @@ def test_ledger_fills_next_open_and_books_costs(spark):
     window = sess.agg(F.min("day").alias("start_day"), F.max("day").alias("end_day"), F.max("close_at").alias("window_end")).select(
         F.lit(0).cast("long").alias("window_index"), F.lit("EVALUATE").alias("sample"), "*")
     keys = ["instrument_id", "strategy"]
-    out = bt.run_ledger(bt.ledger_inputs(df, sess, window, keys), keys, cash=1000.0).orderBy("day").collect()
+    out = bt.filled(bt.decisions(df, sess, window, keys), keys).orderBy("day").collect()
     events = [(r["day"].day, r["fill"], r["event"]) for r in out]
     # day 1: no bar on day 2 to fill at; day 2: no own bar; day 3 buys at 13; day 4 sells at 15; day 5 buys at 16; the last day cannot fill
     assert events == [(1, None, "UNFILLED"), (2, None, "NO_DATA"), (3, "BUY", None), (4, "SELL", None), (5, "BUY", None), (6, None, None)]
-    buy = Decimal("13") * (1 + Decimal("0.0005"))
-    shares = int(1000 / (buy * (1 + Decimal("0.0005"))))
-    cost = buy * shares * (1 + Decimal("0.0005"))
-    proceeds = Decimal("15") * (1 - Decimal("0.0005")) * shares * (1 - Decimal("0.0005"))
-    assert out[2]["quantity"] == shares and abs(out[3]["pnl"] - float(proceeds - cost)) < 1e-9
-    assert abs(out[3]["equity"] - float(1000 - cost + 14 * shares)) < 1e-9
-    assert out[1]["equity"] == 1000.0
+    paid, got = 13 * 1.0005 * 1.0005, 15 * 0.9995 * 0.9995
+    assert abs(out[3]["trade_return"] - (got / paid - 1)) < 1e-12
+    assert abs(out[3]["equity"] - 14 / paid) < 1e-12
+    assert out[1]["equity"] == 1.0
+    assert abs(out[5]["equity"] - got / paid * 16 / (16 * 1.0005 * 1.0005)) < 1e-12
 
 
 def test_integrity_and_reproduction(spark):

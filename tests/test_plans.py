@@ -31,7 +31,7 @@ def test_top_k_is_limited_before_the_shuffle(spark, sf):
 
 
 def test_no_cartesian_products(spark, sf):
-    for name in ("p18_resolve_symbol", "e9_align", "n15_inside_read", "n2_conflicting_names", "m9_name_groups", "k3_ledger", "e22_posts_in_windows", "n17_search_attention"):
+    for name in ("p18_resolve_symbol", "e9_align", "n15_inside_read", "n2_conflicting_names", "m9_name_groups", "k3_fills", "e22_posts_in_windows", "n17_search_attention"):
         assert "CartesianProduct" not in plan(spark, sf, name), name
 
 
