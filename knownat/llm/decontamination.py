@@ -3,8 +3,8 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  Occurrences of all test terms are counted over all documents;
 each phrase is looked up by its two rarest terms.  The index stores a posting (term, document, position) for every occurrence of those
 terms.  Shifting positions by a term's offset in the phrase turns its list into starts of the phrase; the two lists are intersected, and
-what is left is compared word for word with the document.  Test terms are broadcast only while there are at most ``BROADCAST_TERMS`` of
-them, each cut to no length but counted with its bytes; beyond that the same joins shuffle.
+what is left is compared word for word with the document.  Test terms are written before they are joined, so Spark knows their size and
+broadcasts them only under its threshold; beyond that the same joins shuffle.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from pyspark.sql.window import Window
 
 from knownat.llm.store import written
 
-#: Most rows and bytes of a table of test terms that is broadcast.
-BROADCAST_TERMS = 500_000
-BROADCAST_BYTES = 32 << 20
 WINDOW = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,12 +34,6 @@ def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return split.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), width).alias("terms"))
 
 
-def small(terms: DataFrame) -> DataFrame:
-    """The terms, to be broadcast if their rows and bytes are few enough."""
-    rows, size = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
-    return F.broadcast(terms) if rows <= BROADCAST_TERMS and size <= BROADCAST_BYTES else terms
-
-
 class PositionalIndex:
     """Looks up phrases in documents ``(doc_id, text)``; other columns are ignored.
 
@@ -56,7 +47,7 @@ class PositionalIndex:
         self.phrases = written(distinct.withColumn("phrase", F.monotonically_increasing_id()), "phrases")
         each = self.phrases.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term"))
         terms = written(each.select("term").distinct(), "terms")
-        found = self.docs.select(F.explode(words(F.col("text"))).alias("term")).join(small(terms), "term")
+        found = self.docs.select(F.explode(words(F.col("text"))).alias("term")).join(terms, "term")
         counts = written(found.groupBy("term").agg(F.count("*").alias("count")), "term_counts")
         # a phrase with a term that no document holds cannot occur
         each = each.join(counts, "term", "left")
@@ -67,7 +58,7 @@ class PositionalIndex:
 
     def _postings(self, terms: DataFrame) -> DataFrame:
         at = self.docs.select("doc_id", "ref", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-        return at.join(small(terms), "term").select("term", "doc_id", "ref", "pos")
+        return at.join(terms, "term").select("term", "doc_id", "ref", "pos")
 
     def starts(self) -> DataFrame:
         """Where both rarest terms of a phrase agree: doc_id, ref, phrase, start."""

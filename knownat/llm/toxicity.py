@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, sample: int = SAMPLE) -
     """Trains on ``sample`` documents, chosen by a hash of their id, that have a label and satisfy ``use`` (a column over doc_id)."""
     wanted = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & use).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     chosen = wanted.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most `sample` rows
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most `sample` rows
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
