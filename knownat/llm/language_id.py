@@ -21,6 +21,8 @@ from knownat.llm.text import slices
 #: Texts and bytes a dictionary is made of at most.
 SAMPLE = 400
 DICTIONARY = 96 << 10
+#: Parts a language's rows are first thinned in.
+SLICES = 64
 BLOCK = 1 << 11
 LEVEL = 3
 #: Share of the smallest size by which the runner-up must be larger.
@@ -38,7 +40,11 @@ def learn(docs: DataFrame, use: Column, sample: int = SAMPLE, size: int = DICTIO
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
     each = max(1, 4 * size // sample)
-    picked = rows.where("text rlike '[^\\\\s]'").select("doc_id", "lang", "text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    picked = rows.where("text rlike '[^\\\\s]'").select("doc_id", "lang", "text")
+    # a language may hold a third of all rows: each of its SLICES gives at most ``sample`` rows to the task that orders the language
+    sliced = Window.partitionBy("lang", F.pmod(F.xxhash64("text"), F.lit(SLICES))).orderBy(F.xxhash64("doc_id", "text"))
+    picked = picked.withColumn("n", F.row_number().over(sliced)).where(F.col("n") <= sample)
+    picked = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
     found: dict[str, list[bytes]] = {lang: [] for lang in counts}
     for r in picked.select("lang", "n", F.substring("text", 1, each).alias("text")).orderBy("lang", "n").collect():
         found[r["lang"]].append(r["text"].lower().encode())
