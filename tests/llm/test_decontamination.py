@@ -51,9 +51,15 @@ def test_documents(spark):
     assert {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == want and any(w[2] for w in want)
 
 
-def test_large_term_tables_shuffle(spark, monkeypatch):
-    monkeypatch.setattr("knownat.llm.decontamination.BROADCAST_TERMS", 0)
-    got = contamination(frame(spark, TEXTS), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+def test_large_term_tables_shuffle(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = contamination(frame(spark, TEXTS), spark.createDataFrame(ITEMS, "item_id long, text string"))
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().toString()
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r.items), r.contaminated) for r in got), key=str) == brute(TEXTS, ITEMS)
 
 
