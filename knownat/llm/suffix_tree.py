@@ -1,16 +1,19 @@
 """Scores of texts by a probabilistic suffix tree over words.
 
-Nodes are contexts of up to ``DEPTH`` preceding words.  A context is looked at if it makes up ``CONTEXT_SHARE`` of all training tokens, and is kept
-if its next-word distribution diverges from its longest kept suffix's: count * KL >= ``DIVERGENCE`` * ln(tokens).  A node names the next words
-that make up ``NEXT_SHARE`` of all tokens; the mass of all others, and ``PRIOR`` more, goes to the distribution of the suffix.  The root is
-add-one over all words.  The two shares bound a tree's size, so a tree may be broadcast; counts are taken over all training texts, and
-counts of single words, which no share bounds, are joined.
+Nodes are contexts of up to ``DEPTH`` preceding words.  A context and its next words are looked at if seen ``LEAST`` times, whatever the size of the
+corpus, and a context is kept if its next-word distribution diverges from its longest kept suffix's: count * KL >= ``DIVERGENCE`` * ln(tokens).  A node
+names the next words seen ``LEAST`` times after it; the mass of all others, and ``PRIOR`` more, goes to the distribution of the suffix.  The root is
+add-one over all words.  The tree grows with the corpus, so it is a table of terms that add up to a token's log10 probability: one per word, one
+per node, for the share that it gives to its suffix, and one per named next word.  Texts send each of their different keys once to be joined with
+it; bitmaps of fixed size only spare keys that are surely in no term.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +24,12 @@ from knownat.llm.store import written
 from knownat.llm.text import mix, signed, slices, utf8
 from knownat.llm.text import words as words_of
 
-DEPTH = 2
-CONTEXT_SHARE = 1e-3
-NEXT_SHARE = 2e-6
+DEPTH = 3
+LEAST = 2
 DIVERGENCE = 2.0
 PRIOR = 8.0
-#: Different words or pairs whose counts a task holds before it sends them on.
-HELD = 1 << 20
+#: Bits of the filters on keys; false positives cost time, not results.
+FILTER_BITS = 1 << 24
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 
@@ -62,147 +64,162 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows of keys summed up."""
-    order = np.lexsort(keys[::-1])
-    keys = keys[:, order]
-    fresh = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])) if keys.shape[1] else np.zeros(0, np.int64)
-    return keys[:, fresh], np.add.reduceat(counts[order], fresh) if len(fresh) else counts[:0]
+def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(context + mix(word))
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the low bits of the column ``key``, built by or-ing bytes in Spark; its size is fixed."""
+    spots = keys.select(F.pmod("key", F.lit(FILTER_BITS)).alias("spot")).distinct()
+    rows = spots.groupBy(F.expr("spot div 8").cast("int").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(spot as int) % 8))").cast("short").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)  # at most so many rows
+    out[rows["byte"].to_numpy()] = rows["bits"].to_numpy()
+    return out
 
 
-def _counting(names: list[str], keys_of):
-    """Sums per task before the shuffle: batches of (*names, n), from ``keys_of(tokens, first)`` with one column per token."""
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the bitmap's table."""
+    spot = (keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
 
-    def send(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(signed(np.ascontiguousarray(k))) for k in keys), pa.array(counts)], [*names, "n"])
+
+def _counted(docs: DataFrame, names: list[str], keys_of) -> DataFrame:
+    """Sums n of ``keys_of(tokens, first)``, one column per token; the first name decides the others.  Each slice is summed before Spark sums on."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = np.zeros((len(names), 0), np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 keys = keys_of(*tokens_of(part.column("text")))
-                held, counts = _sums(np.concatenate([held, keys], 1), np.concatenate([counts, np.ones(keys.shape[1], np.int64)]))
-                if len(counts) > HELD:
-                    yield send(held, counts)
-                    held, counts = held[:, :0], counts[:0]
-        yield send(held, counts)
-
-    return count
-
+                _, at, n = np.unique(keys[0], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(signed(k[at])) for k in keys), pa.array(n.astype(np.int64))], [*names, "n"])
 
-def _counted(docs: DataFrame, names: list[str], keys_of) -> DataFrame:
     schema = ", ".join(f"{n} long" for n in [*names, "n"])
-    return docs.select("text").mapInArrow(_counting(names, keys_of), schema).groupBy(*names).agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, schema).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class SuffixTree:
-    """Kept contexts and, sorted by key, what they add to the root's log10 probability of a next word; ``counts`` holds every word's count."""
+    """``counts`` has every word's count, ``terms`` the tree: key and value, with kind "node" (key of a context) or "pair" (of a context and a next word)."""
 
     counts: DataFrame
     tokens: int
     distinct: int
     depth: int
-    nodes: np.ndarray  # sorted context hashes
-    back: np.ndarray  # log10 share that each gives to its suffix
-    pairs: np.ndarray  # sorted hashes of (context, next word)
-    gain: np.ndarray
+    terms: DataFrame
+
+    def _collected(self, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.terms.where(F.col("kind") == kind).toArrow()
+        keys = rows["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], rows["value"].to_numpy()[order]
+
+    # what follows brings a tree to the driver, to look at a small one; scoring does not use it
+
+    @cached_property
+    def _nodes(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._collected("node")
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._collected("pair")
+
+    @property
+    def nodes(self) -> np.ndarray:
+        """Sorted context hashes."""
+        return self._nodes[0]
+
+    @property
+    def pairs(self) -> np.ndarray:
+        """Sorted hashes of (context, next word)."""
+        return self._pairs[0]
 
     def gains(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """What the longest kept context of each token adds to its root score."""
+        """What the kept contexts of each token add to its root score."""
         out = np.zeros(len(tokens))
-        for context in contexts_of(tokens, first, self.depth):  # from short to long
-            at, kept = find(self.nodes, context)
-            spot, named = find(self.pairs, pair(context, tokens))
-            if len(self.nodes):
-                out = np.where(kept, out + self.back[at], out)
-            if len(self.pairs):
-                out = np.where(kept & named, self.gain[spot], out)
+        for context in contexts_of(tokens, first, self.depth):
+            for (keys, values), wanted in ((self._nodes, context), (self._pairs, pair(context, tokens))):
+                at, there = find(keys, wanted)
+                out[there] += values[at[there]]
         return out
 
 
-def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context + mix(word))
-
-
-def learn(docs: DataFrame, depth: int = DEPTH, context_share: float = CONTEXT_SHARE, next_share: float = NEXT_SHARE, divergence: float = DIVERGENCE) -> SuffixTree:
-    """Counts all texts of ``docs`` and builds the tree, of one or two words of context."""
-    if depth not in (1, 2):
-        raise ValueError("depth is 1 or 2")
+def learn(docs: DataFrame, depth: int = DEPTH, context_share: float = 0.0, next_share: float = 0.0, divergence: float = DIVERGENCE) -> SuffixTree:
+    """Counts all texts of ``docs`` and builds the tree.  The two shares of all tokens, if given, raise ``LEAST`` for contexts and next words."""
+    if depth < 1:
+        raise ValueError("depth is 1 at least")
+    context = docs.sparkSession.sparkContext
     counts = written(_counted(docs, ["word"], lambda tokens, first: tokens[None]), "word_counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = SuffixTree(counts, total, distinct, depth, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0))
+    least, least_next = max(LEAST, context_share * total), max(LEAST, next_share * total)
+    root = F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1)))
+    # named next words with their log10 probability; a pair seen often enough has a suffix seen often enough
+    shorter = counts.where(F.col("n") >= least_next).select(F.col("word").alias("key"), root.alias("log"))
+    terms = counts.sparkSession.createDataFrame([], "kind string, key long, value double")
     for level in range(1, depth + 1):
-
-        def contexts(tokens, first, level=level):
-            return contexts_of(tokens, first, level)[-1][None]
-
-        frequent = _counted(docs, ["context"], contexts).where(F.col("n") >= max(2.0, context_share * total))
-        found = frequent.toArrow()  # 1 / context_share rows at most
-        names = found["context"].to_numpy().view(np.uint64)
-        order = np.argsort(names)
-        names, sizes = names[order], found["n"].to_numpy()[order]
-        if not len(names):
-            break
-        shared = docs.sparkSession.sparkContext.broadcast((names, model.nodes, model.back, model.pairs, model.gain))
-
-        def pairs(tokens, first, level=level, shared=shared):
-            context = contexts_of(tokens, first, level)
-            hit = find(shared.value[0], context[-1])[1]
-            shorter = context[-2] if level > 1 else np.zeros(len(tokens), np.uint64)
-            return np.stack([context[-1][hit], shorter[hit], tokens[hit]])
-
-        nexts = _counted(docs, ["context", "shorter", "word"], pairs).where(F.col("n") >= next_share * total)
-        rows = nexts.join(counts.withColumnRenamed("n", "c"), "word").toArrow()  # 1 / next_share rows at most
-        model = _grown(model, names, sizes, *(rows[k].to_numpy() for k in ("context", "shorter", "word", "n", "c")), divergence)
-    return model
-
-
-def _grown(model: SuffixTree, names, sizes, context, shorter, word, n, c, divergence: float) -> SuffixTree:
-    """The tree with the contexts of one more word that pass the divergence test."""
-    context, shorter, word = context.view(np.uint64), shorter.view(np.uint64), word.view(np.uint64)
-    root = np.log10((c + 1) / (model.tokens + model.distinct + 1))
-    base = np.zeros(len(word))
-    at, kept = find(model.nodes, shorter)
-    spot, named = find(model.pairs, pair(shorter, word))
-    if len(model.nodes):
-        base = np.where(kept, model.back[at], base)
-    if len(model.pairs):
-        base = np.where(kept & named, model.gain[spot], base)
-    suffix = root + base
-    node = np.searchsorted(names, context)
-    rest = sizes - np.bincount(node, n, len(names))
-    share = (rest + PRIOR) / (sizes + PRIOR)
-    own = n / (sizes[node] + PRIOR) + share[node] * 10**suffix
-    # the part of the divergence that the named words carry, and the part that all others share
-    told = np.bincount(node, own * (np.log(own) - suffix * np.log(10)), len(names))
-    unnamed = np.maximum(1 - np.bincount(node, own, len(names)), 0)
-    passed = sizes * (told + unnamed * np.log(share)) >= divergence * np.log(max(2, model.tokens))
-    back = np.log10(share)
-    nodes = np.concatenate([model.nodes, names[passed]])
-    # ``gains`` adds a node's share to what its suffix gave the word, so only the own share is stored
-    shares = np.concatenate([model.back, back[passed]])
-    use = passed[node]
-    keys = np.concatenate([model.pairs, pair(context, word)[use]])
-    gain = np.concatenate([model.gain, (np.log10(own) - root)[use]])
-    a, b = np.argsort(nodes), np.argsort(keys)
-    return SuffixTree(model.counts, model.tokens, model.distinct, model.depth, nodes[a], shares[a], keys[b], gain[b])
-
-
-def _scoring(shared):
-    """Per row: tokens and the tree's gain, and its different words with their numbers."""
+        known = context.broadcast(_bits(shorter))
+
+        def pairs(tokens, first, level=level, known=known):
+            before = contexts_of(tokens, first, level)
+            up = pair(before[-2], tokens) if level > 1 else tokens
+            hit = _maybe(known.value, up)
+            return np.stack([pair(before[-1][hit], tokens[hit]), up[hit], before[-1][hit]])
+
+        # most pairs stand once: they are counted by key alone, and only the others are sent with what they are made of
+        often = _counted(docs, ["key"], lambda tokens, first, pairs=pairs: pairs(tokens, first)[:1]).where(F.col("n") >= least_next)
+        often = context.broadcast(_bits(often))
+
+        def repeated(tokens, first, pairs=pairs, often=often):
+            keys = pairs(tokens, first)
+            return keys[:, _maybe(often.value, keys[0])]
+
+        named = written(_counted(docs, ["key", "up", "context"], repeated).where(F.col("n") >= least_next), "named")
+        wanted = context.broadcast(_bits(named.select(F.col("context").alias("key"))))
+
+        def contexts(tokens, first, level=level, wanted=wanted):
+            before = contexts_of(tokens, first, level)[-1]
+            return before[_maybe(wanted.value, before)][None]
+
+        sizes = _counted(docs, ["context"], contexts).where(F.col("n") >= least).withColumnRenamed("n", "size")
+        sizes = sizes.join(named.groupBy("context").agg(F.sum("n").alias("told")), "context")
+        share = (F.col("size") - F.col("told") + PRIOR) / (F.col("size") + PRIOR)
+        own = F.col("n") / (F.col("size") + PRIOR) + F.col("share") * F.pow(F.lit(10.0), "suffix")
+        rows = named.join(shorter.select(F.col("key").alias("up"), F.col("log").alias("suffix")), "up").join(sizes.withColumn("share", share), "context")
+        rows = written(rows.select("key", "context", "suffix", "size", "share", own.alias("own")), "weighed")
+        # the part of the divergence that the named words carry, and the part that all others share
+        told = F.sum(F.col("own") * (F.log("own") - F.col("suffix") * math.log(10)))
+        sums = rows.groupBy("context").agg(F.first("size").alias("size"), F.first("share").alias("share"), told.alias("told"), F.sum("own").alias("own"))
+        passed = sums.where(F.col("size") * (F.col("told") + F.greatest(1 - F.col("own"), F.lit(0.0)) * F.log("share")) >= divergence * math.log(max(2, total)))
+        nodes = written(passed.select("context", F.log10("share").alias("back")), "nodes")
+        rows = rows.join(nodes, "context", "left")
+        shorter = written(rows.select("key", F.when(F.col("back").isNull(), F.col("suffix")).otherwise(F.log10("own")).alias("log"), "suffix", "back"), "pairs")
+        terms = terms.union(nodes.select(F.lit("node"), "context", "back"))
+        terms = terms.union(shorter.where("back is not null").select(F.lit("pair"), "key", F.col("log") - F.col("suffix") - F.col("back")))
+    return SuffixTree(counts, total, distinct, depth, terms)
+
+
+def _scoring(depth: int, shared):
+    """Per row: tokens, and its different keys of words (0) and of the tree (1) with their numbers."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 tokens, first = tokens_of(part.column("text"))
-                doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-                gain = np.bincount(doc, model.gains(tokens, first), part.num_rows)
-                keys, n = _sums(np.stack([doc.astype(np.uint64), tokens]), np.ones(len(tokens), np.int64))
-                at = np.searchsorted(keys[0], np.arange(part.num_rows + 1, dtype=np.uint64)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v)) for v in (signed(np.ascontiguousarray(keys[1])), n)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), pa.array(gain), *lists], ["doc_id", "n_tokens", "gain", "words", "ns"])
+                doc = np.repeat(np.arange(part.num_rows, dtype=np.uint64), np.diff(first))
+                found = [(doc, tokens, np.zeros(len(tokens), np.int8))]
+                for context in contexts_of(tokens, first, depth):
+                    hit = _maybe(shared.value, context)
+                    of, context, word = doc[hit], context[hit], tokens[hit]
+                    named = pair(context, word)
+                    hit = _maybe(shared.value, named)
+                    found += [(of, context, np.ones(len(of), np.int8)), (of[hit], named[hit], np.ones(int(hit.sum()), np.int8))]
+                doc, keys, kind = map(np.concatenate, zip(*found))
+                order = np.lexsort((keys, doc))
+                doc, keys, kind = doc[order], keys[order], kind[order]
+                fresh = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])[: len(keys)])
+                n = np.diff(np.append(fresh, len(keys)))
+                at = np.searchsorted(doc[fresh], np.arange(part.num_rows + 1, dtype=np.uint64)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v)) for v in (kind[fresh], signed(keys[fresh]), n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), *lists], ["doc_id", "n_tokens", "kinds", "keys", "ns"])
 
     return score
 
@@ -213,15 +230,20 @@ def scored(docs: DataFrame, model: SuffixTree) -> DataFrame:
     Null and empty texts are one end token; repeated rows are scored each; an empty training set leaves an empty tree, in which every
     word has probability 1; an empty table gives an empty result; other columns are ignored.
     """
-    total = model.tokens
-    small = SuffixTree(None, model.tokens, model.distinct, model.depth, model.nodes, model.back, model.pairs, model.gain)
-    kind = "doc_id long, n_tokens long, gain double, words array<long>, ns array<long>"
-    rows = docs.select("doc_id", "text").mapInArrow(_scoring(docs.sparkSession.sparkContext.broadcast(small)), kind)
+    bottom = F.lit(float(model.tokens + model.distinct + 1))
+    kind = "doc_id long, n_tokens long, kinds array<tinyint>, keys array<long>, ns array<long>"
+    rows = docs.select("doc_id", "text").mapInArrow(_scoring(model.depth, docs.sparkSession.sparkContext.broadcast(_bits(model.terms))), kind)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored_words")
-    each = rows.select("row", F.explode(F.arrays_zip("words", "ns")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.ns").alias("k"))
-    # one row per word with the rows that hold it would be unbounded; counts are joined and summed per row instead
-    joined = each.join(model.counts, "word", "left")
-    log = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + model.distinct + 1)))
-    sums = joined.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_known"), F.sum(log * F.col("k")).alias("base_score"))
-    out = rows.select("row", "doc_id", "n_tokens", "gain").join(sums, "row")
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
+    each = rows.select("row", F.explode(F.arrays_zip("kinds", "keys", "ns")).alias("w")).select("row", F.col("w.kinds").alias("kind"), F.col("w.keys").alias("key"), F.col("w.ns").alias("k"))
+    # one row per key with the rows that hold it would be unbounded; terms are joined and summed per row instead
+    values = model.counts.select(F.lit(0).cast("tinyint").alias("kind"), F.col("word").alias("key"), F.log10((F.col("n") + 1) / bottom).alias("value"))
+    values = values.union(model.terms.select(F.lit(1).cast("tinyint"), "key", "value"))
+    joined = each.join(values, ["key", "kind"], "left")
+    word = F.col("kind") == 0
+    sums = joined.groupBy("row").agg(
+        F.sum(F.when(word & F.col("value").isNotNull(), F.col("k")).otherwise(0)).alias("n_known"),
+        F.sum(F.when(word, F.coalesce("value", F.log10(1 / bottom)) * F.col("k"))).alias("base_score"),
+        F.sum(F.when(word, 0.0).otherwise(F.coalesce("value", F.lit(0.0)) * F.col("k"))).alias("gain"),
+    )
+    out = rows.select("row", "doc_id", "n_tokens").join(sums, "row")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))

@@ -77,3 +77,21 @@ def test_suffix_tree_empty(spark):
     model = suffix_tree.learn(frame(spark, []))
     assert [r.score for r in suffix_tree.scored(frame(spark, [(1, "a b")]), model).collect()] == [0.0]
     assert suffix_tree.scored(frame(spark, []), model).collect() == []
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """A rare context that foretells its next word is kept however much other text there is, and three words decide where two cannot."""
+    import numpy as np
+
+    rare = [(i, f"x{i % 8} y z q{i % 8}") for i in range(320)]
+    sizes = []
+    for more in (0, 6000):
+        texts = rare + [(1000 + i, " ".join(f"w{(i * 31 + k * k * 7) % 97}" for k in range(20))) for i in range(more)]
+        model = suffix_tree.learn(frame(spark, texts))
+        got = suffix_tree.scored(frame(spark, [(1, "x3 y z q3"), (2, "x3 y z q4")]), model).collect()
+        gain = {r.doc_id: r.score - r.base_score for r in got}
+        assert gain[1] > gain[2] + 0.5
+        sizes.append(len(model.nodes))
+        tokens, first = suffix_tree.tokens_of(suffix_tree.pa.array(["x3 y z q3", "x3 y z q4"]))
+        assert np.allclose([gain[1], gain[2]], np.add.reduceat(model.gains(tokens, first), first[:-1]))
+    assert sizes[1] > sizes[0]
