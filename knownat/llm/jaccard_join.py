@@ -3,14 +3,16 @@
 Grouped prefix join.  Documents with the same set are one class; classes with the same prefix and size are one group, and only one prefix
 per group is posted.  A prefix is the part of the set, in a global order, of which two linked sets must share an element.  The order is
 (how often a counting sketch over all documents saw the shingle's bucket, hash): common passages come last and so rarely into a prefix.
-Links are then found in two steps.  First every group on a posting list is compared with one leader of the list and every class with its
+Components are then found in two steps.  First every group on a posting list is compared with one leader of the list and every class with its
 group's head; that joins nearly all near copies without making pairs of a group.  Then, on the lists that still hold several components, every pair of
-classes from different components is verified.  Pairs inside one component cannot change the result, so no link is lost.
+classes from different components is verified.  Pairs inside one component cannot change the components.  ``links()`` has them too: it verifies every
+pair of classes that share a posted token, lists and groups split into blocks of ``BLOCK`` so that no task holds a long one whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from knownat.llm.text import runs, signed, slices, utf8, words
 SKETCH = 1 << 20
 #: Bits of the filter on candidate document ids; false positives cost time, not results.
 FILTER_BITS = 1 << 24
+#: Groups of a posting list, or classes of a group, that are paired in one block.
+BLOCK = 256
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -119,7 +123,8 @@ def _fits(percent: int, a: str, b: str):
 class JaccardJoin:
     """The join over one table of documents ``(doc_id, text)``; other columns are ignored.
 
-    ``members`` has one row per input row: doc_id, n_shingles, component_id.  ``links()`` has the verified class pairs the components rest on.
+    ``members`` has one row per input row: doc_id, n_shingles, component_id.  ``links()`` has every pair of different sets
+    that are similar enough, and ``link_counts()`` their number for every input row; both are worked out when first asked for.
     Null and blank texts have no shingles and link with nothing (component_id is their own doc_id); a text of fewer than ``width`` words is
     one shingle; rows with equal sets are one class, repeated rows included; an empty table gives empty results.
     """
@@ -185,17 +190,49 @@ class JaccardJoin:
         if not rest.isEmpty():
             links = written(links.union(self._verified(rest)), "links")
             labels = self._labels(links)
-        self._links, self._final = links, labels
+        self._final = labels
 
     def _labels(self, links: DataFrame) -> DataFrame:
         return components(links)
 
+    @cached_property
+    def _pairs(self) -> DataFrame:
+        """All verified class pairs ``(a, b)``, a < b."""
+        posted = self.postings.select("token", "gid", "n")
+        blocks = posted.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
+        rows = posted.join(blocks.drop("size"), "token").withColumn("own", F.pmod(F.hash("gid"), "blocks"))
+        # a row meets the rows of each block in the cell of both blocks, the lower one first
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "gid", "n")
+        left = rows.where("own = lo").select("token", "lo", "hi", F.col("gid").alias("a"), F.col("n").alias("a_n"))
+        right = rows.where("own = hi").select("token", "lo", "hi", F.col("gid").alias("b"), F.col("n").alias("b_n"))
+        met = left.join(right, ["token", "lo", "hi"]).where(((F.col("lo") != F.col("hi")) | (F.col("a") < F.col("b"))) & _fits(self.percent, "a_n", "b_n"))
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+        sizes = self.classes.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size"))
+        met = met.union(sizes.where("size > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
+        for end in ("a", "b"):
+            parts = sizes.select(F.col("gid").alias(end), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"{end}_part"))
+            met = met.join(parts, end)
+        held = self.classes.join(sizes, "gid").select("gid", "cid", F.pmod(F.hash("cid"), "blocks").alias("part"))
+        met = met.join(held.toDF("a", "x", "a_part"), ["a", "a_part"]).join(held.toDF("b", "y", "b_part"), ["b", "b_part"])
+        met = met.where("a <> b or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return written(self._verified(written(met, "met")), "all_links")
+
     def links(self) -> DataFrame:
-        """Verified links between classes, each named by its smallest doc_id: doc_a, doc_b."""
+        """Every link between classes, once, each class named by its smallest doc_id: doc_a, doc_b."""
         names = self.classes.select("cid", "doc_id")
-        out = self._links.join(names.toDF("a", "doc_a"), "a").join(names.toDF("b", "doc_b"), "b")
+        out = self._pairs.join(names.toDF("a", "doc_a"), "a").join(names.toDF("b", "doc_b"), "b")
         return out.select("doc_a", "doc_b")
 
+    def link_counts(self) -> DataFrame:
+        """doc_id, class_id (the smallest doc_id with the same set) and n_links, the number of other classes it is linked with, for every input row."""
+        counts = self._pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
+        classes = self.classes.join(counts, "cid", "left").select("set_hash", F.col("doc_id").alias("class_id"), "n_links")
+        rows = self.described.select("doc_id", "set_hash").join(classes, "set_hash", "left")
+        alone = F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+        return rows.select("doc_id", alone.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
     def members(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every input row."""
         classes = self.classes.join(self._final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid"))

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 from cases import ODD, documents, frame
 
+from knownat.llm import jaccard_join
 from knownat.llm.jaccard_join import JaccardJoin, one_of_each
 
 
@@ -76,3 +77,24 @@ def test_one_of_each(spark):
     kept = one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 2, 700000]
+
+
+def test_links_are_all_there(spark, monkeypatch):
+    """Every similar pair of different sets is a link, also inside one component and across the blocks of long lists and groups."""
+    rows = near_copies() + [(1, near_copies()[5][1]), (2, None)]
+    # texts of one size that share their whole prefix form groups of several classes
+    rows += [(730000 + k, " ".join(f"g{i}" for i in range(90)) + f" tail{k}") for k in range(9)]
+    sets = {}
+    for d, text in sorted(rows):
+        w = (text or "").split()
+        if w:
+            sets.setdefault(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))), []).append(d)
+    pairs = [(x, y) for x in sets for y in sets if sets[x][0] < sets[y][0] and len(x & y) * 100 >= len(x | y) * 75]
+    want = {frozenset((sets[x][0], sets[y][0])) for x, y in pairs}
+    assert len(want) > 700
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    join = JaccardJoin(frame(spark, rows))
+    got = [frozenset(r) for r in join.links().collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    counts = [(d, v[0], sum(v[0] in p for p in want)) for v in sets.values() for d in v] + [(2, 2, 0)]
+    assert sorted(counts) == sorted(map(tuple, join.link_counts().collect()))
