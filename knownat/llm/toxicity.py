@@ -1,7 +1,7 @@
 """Toxicity of texts by subword-bag embeddings.
 
 A word is the mean of the embeddings of its character n-grams, hashed into ``BUCKETS`` rows, so a misspelling keeps most of its vector.  A
-passage of ``PASSAGE`` words is the mean of its words, and a linear softmax over two classes reads it.  Embeddings and softmax are trained
+passage is any ``PASSAGE`` words in a row (all words of a shorter text) and the mean of its words; a linear softmax over two classes reads it.  Embeddings and softmax are trained
 jointly: first on whole-text means, then on each text's most toxic passage, which is also what a score is, so a few insults in a very long
 text are not averaged away.  Training sees a bounded sample of ``SAMPLE`` labelled texts; scoring sees every whole text.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from knownat.llm.text import slices
 
 #: Labelled texts, chosen by a hash of their id, that a model is fitted on at most.
-SAMPLE = 4000
+SAMPLE = 6000
 BUCKETS = 1 << 15
 DIM = 8
 PASSAGE = 12
@@ -57,14 +57,11 @@ def _means(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(rows, at[:-1], axis=0) / sizes[:, None]
 
 
-def _passages(n_words: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of passages in the words of all texts, and of texts in the passages."""
-    cuts, first, at = [0], [0], 0
-    for n in n_words:
-        cuts += [min(k + PASSAGE, at + n) for k in range(at, at + n, PASSAGE)]
-        at += n
-        first.append(len(cuts) - 1)
-    return np.array(cuts), np.array(first)
+def _leans(values: np.ndarray) -> np.ndarray:
+    """Means of every ``PASSAGE`` consecutive values of a text, or of all if there are fewer; there is one value at least."""
+    width = min(PASSAGE, len(values))
+    sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return (sums[width:] - sums[:-width]) / width
 
 
 @dataclass
@@ -121,13 +118,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> ToxicityModel:
 
     for _ in range(WHOLE):
         epoch(coded, RATE)
-    lengths = [len(c) for c in coded]
-    cuts, first = _passages(lengths)
-    tokens = np.concatenate(coded)
     for k in range(ROUNDS):
-        lean = _means(_means((emb @ (soft[1] - soft[0]))[flat][:, None], at)[tokens], cuts)[:, 0]
-        top = [a + int(np.argmax(lean[a:b])) for a, b in zip(first, first[1:])]
-        bags = [tokens[cuts[t] : cuts[t + 1]] for t in top]
+        lean = _means((emb @ (soft[1] - soft[0]))[flat][:, None], at)[:, 0]
+        tops = [int(np.argmax(_leans(lean[c]))) for c in coded]
+        bags = [c[t : t + PASSAGE] for c, t in zip(coded, tops)]
         for _ in range(INNER):
             epoch(bags, RATE * (1 - k / (ROUNDS + 1)))
     return ToxicityModel((emb @ (soft[1] - soft[0])).astype(np.float32), float(shift[1] - shift[0]))
@@ -160,9 +154,7 @@ def _scoring(model):
                         values.append(v)
                     lean = m.bias
                     if values:
-                        cuts = np.arange(0, len(values), PASSAGE)
-                        sizes = np.minimum(PASSAGE, len(values) - cuts)
-                        lean += float((np.add.reduceat(np.array(values), cuts) / sizes).max())
+                        lean += float(_leans(np.array(values)).max())
                     out.append(1 / (1 + np.exp(-np.clip(lean, -50, 50))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 

@@ -7,7 +7,7 @@ from cases import ODD, SF, documents, frame, held
 from knownat.llm import suffix_tree
 from knownat.llm.language_id import language
 from knownat.llm.queries import QUERIES
-from knownat.llm.toxicity import ToxicityModel, toxicity, train, without_toxic
+from knownat.llm.toxicity import ToxicityModel, subwords, toxicity, train, without_toxic
 
 
 def test_language_held_out(spark):
@@ -42,6 +42,16 @@ def test_toxicity_rows(spark):
     assert without_toxic(docs, flat).count() == len(ODD) and toxicity(frame(spark, []), flat).collect() == []
 
 
+def test_toxicity_passages_begin_anywhere(spark):
+    """A text scores the same wherever its insults stand, and one doubtful last word is read with the words before it."""
+    model = ToxicityModel(train(["a"], [0]).bucket.copy(), 0.0)
+    model.bucket[subwords("scum")] = 6.0
+    rows = [(k, "the " * (20 + k) + "scum scum " + "the " * 20) for k in range(12)] + [(100, "the " * 24 + "scum")]
+    got = {r.doc_id: r.score for r in toxicity(frame(spark, rows), model).collect()}
+    both, one = ((t * model.word("scum") + (12 - t) * model.word("the")) / 12 for t in (2, 1))
+    assert all(abs(got[k] - 1 / (1 + math.exp(-both))) < 1e-9 for k in range(12)) and abs(got[100] - 1 / (1 + math.exp(-one))) < 1e-9
+
+
 def test_suffix_tree_base(spark):
     rows = documents()[:80] + ODD
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
