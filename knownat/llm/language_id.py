@@ -2,7 +2,8 @@
 
 Each language is a zstandard raw-content dictionary of its lower-cased training texts.  A lower-cased text is cut into blocks of ``BLOCK`` bytes, every block is
 encoded with every dictionary, and the language with the fewest bytes in all is chosen.  Where the runner-up needs less than ``MARGIN`` more
-the choice is marked as rejected.  Dictionaries hold a bounded sample of ``DICTIONARY`` bytes from at most ``SAMPLE`` texts a language.
+the choice is marked as rejected.  Dictionaries hold ``DICTIONARY`` bytes at most, of pieces that begin at hashed
+places of ``SAMPLE`` texts a language; all these texts are in it, with equal shares but for those that are shorter.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ _LETTER = regex.compile(r"\p{L}")
 def learn(docs: DataFrame, use: Column, sample: int = SAMPLE, size: int = DICTIONARY) -> list[tuple[str, bytes]]:
     """Dictionaries (language, content), the language with most training rows first; learns from rows with a language, a text and ``use``.
 
-    One row per language and ``sample`` texts of each, cut to their share of the dictionary, reach the driver.
+    One row per language and pieces of ``sample`` texts of each, up to four times their share of the dictionary, reach the driver.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & use)
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -46,10 +47,23 @@ def learn(docs: DataFrame, use: Column, sample: int = SAMPLE, size: int = DICTIO
     picked = picked.withColumn("n", F.row_number().over(sliced)).where(F.col("n") <= sample)
     picked = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
     found: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    for r in picked.select("lang", "n", F.substring("text", 1, each).alias("text")).orderBy("lang", "n").collect():
+    begin = F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.length("text") - size // sample, F.lit(0)) + 1).cast("int") + 1
+    for r in picked.select("lang", "n", F.col("text").substr(begin, F.lit(each)).alias("text")).orderBy("lang", "n").collect():
         found[r["lang"]].append(r["text"].lower().encode())
     ranked = sorted(counts, key=lambda lang: (-counts[lang], lang))
-    return [(lang, b"\n".join(found[lang])[-size:].ljust(8, b"\n")) for lang in ranked]
+    return [(lang, filled(found[lang], size).ljust(8, b"\n")) for lang in ranked]
+
+
+def filled(pieces: list[bytes], size: int) -> bytes:
+    """At most ``size`` bytes of all pieces, a line each: as many bytes of every piece, and what shorter ones leave goes to the longer ones."""
+    left, share = size, 0
+    for k, n in enumerate(sorted(map(len, pieces))):
+        share = left // (len(pieces) - k) - 1  # a line's end
+        if n > share:
+            break
+        left -= n + 1
+        share = n
+    return b"\n".join(p[: max(0, share)] for p in pieces)[:size]
 
 
 def _classify(dictionaries):

@@ -5,7 +5,7 @@ from collections import Counter
 from cases import ODD, SF, documents, frame, held
 
 from knownat.llm import suffix_tree
-from knownat.llm.language_id import language
+from knownat.llm.language_id import language, learn
 from knownat.llm.queries import QUERIES
 from knownat.llm.toxicity import ToxicityModel, subwords, toxicity, train, without_toxic
 
@@ -25,6 +25,13 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language(docs, []).collect()} == {"und"} and language(frame(spark, []), []).collect() == []
 
 
+def test_dictionary_holds_pieces_of_all_texts(spark):
+    docs = frame(spark, [(i, " ".join(f"t{i}x{k}" for k in range(1000))) for i in range(20)]).selectExpr("doc_id", "text", "'xx' as lang")
+    [(_, content)] = learn(docs, docs.doc_id >= 0, sample=20, size=4000)
+    found = re.findall(r"\bt(\d+)x(\d+)\b", content.decode())
+    assert len(content) <= 4000 and {int(i) for i, _ in found} == set(range(20)) and max(int(k) for _, k in found) > 500
+
+
 def test_toxicity_misspelt():
     filler = [" ".join(f"word{(i * 7 + k * 3) % 50}" for k in range(60)) for i in range(200)]
     texts = [t + (" you scummy wretch" if i % 4 == 0 else "") for i, t in enumerate(filler)]
