@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import suffix_tree
+from knownat.llm import quality, suffix_tree
 from knownat.llm.chat import chat_formatted, read_back, unescape
+from knownat.llm.conversation_repair import digests, repair
 from knownat.llm.decontamination import contamination
+from knownat.llm.fill_in_middle import fill_in_middle, restored
 from knownat.llm.jaccard_join import JaccardJoin
 from knownat.llm.language_id import language, learn
 from knownat.llm.line_dedup import line_dedup
 from knownat.llm.neighbours import nearest
-from knownat.llm.oracles import DECONTAMINATION
+from knownat.llm.oracles import DECONTAMINATION, FILL_IN_MIDDLE
 from knownat.llm.packing import packed
 from knownat.llm.suffix_dedup import suffix_dedup
 from knownat.llm.toxicity import THRESHOLD, fit, toxicity
@@ -135,3 +137,35 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op11_fill_in_middle", FILL_IN_MIDDLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query("op12_quality")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.quality(docs, quality.fit(docs, table(spark, sf_dir, "labels"), fold(4) != 2))
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows broken in five ways by a hash of conversation and turn; a dropped row still names its conversation."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(key) % 20).alias("way"))
+    text = F.when(F.col("way") == 1, "").when(F.col("way") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("way") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("way") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("way") == 0).alias("dropped"), copies.alias("copy"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(repair(damaged(table(spark, sf_dir, "conversations"))))
