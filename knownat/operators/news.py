@@ -2,80 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from knownat.functions import names as nm
 from knownat.functions.numeric import sign
-from knownat.session import spread_small
+from knownat.operators import names as nm
 
-# ------------------------------------------------------------------ names in text
+# ------------------------------------------------------------------ names in articles
 
-REGISTRY_CHUNK = 50_000
 
+def judge_articles(articles: DataFrame, registry: DataFrame) -> DataFrame:
+    """Verdicts of (news_item_id, title, summary) on registered names; see :func:`knownat.operators.names.judged`."""
+    return nm.judged(articles, registry, ["news_item_id"])
 
-def conflicts(registry: DataFrame) -> DataFrame:
-    """Longer registered names that contain a name, spaces and case aside.
 
-    Every proper substring of a (short) name is a join key, so containment is an equi-join and no pair of
-    names is ever compared.
-    """
-    flat = registry.select("instrument_id", "name", F.lower(F.regexp_replace("name", r"\s+", "")).alias("flat"))
-    starts = F.sequence(F.lit(1), F.length("flat"))
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.length("flat") - i + 1), lambda n: F.substring(F.col("flat"), i, n))))
-    longer = flat.select(F.col("name").alias("other"), F.col("flat").alias("_of"), F.explode(F.array_distinct(pieces)).alias("flat"))
-    return flat.join(longer, "flat").where(F.length("_of") > F.length("flat")).select("instrument_id", "name", "other").distinct()
+def mention_counts(verdicts: DataFrame, *, by: Sequence[str] = (), generic: Sequence[int] = (), top: int = 8) -> DataFrame:
+    """Confirmed, not weakly, once per article; generic names out; the most mentioned names (of each group of ``by``)."""
+    sure = verdicts.where((F.col("decision") == "CONFIRMED") & ~F.col("decision_reason").startswith("weak"))
+    if generic:
+        sure = sure.where(~F.col("instrument_id").isin(*generic))
+    counted = sure.dropDuplicates([*by, "news_item_id", "instrument_id"]).groupBy(*by, "instrument_id").agg(F.count(F.lit(1)).alias("articles"))
+    order = [F.col("articles").desc(), "instrument_id"]
+    if not by:
+        return counted.orderBy(*order).limit(top)
+    return counted.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("place") <= top)
 
 
-def judge_articles(articles: DataFrame, registry: DataFrame, *, chunk: int = REGISTRY_CHUNK, mentions_only: bool = True) -> DataFrame:
-    """Verdict of every (article, registered name) whose letters occur in the article.
+def theme_articles(found: DataFrame) -> DataFrame:
+    """One row per theme and address: the newest (theme, url, published_at, news_item_id, title, summary), ties by the smaller id."""
+    newest = F.max_by(F.struct("news_item_id", "title", "summary", "published_at"), F.struct("published_at", -F.col("news_item_id"))).alias("_r")
+    return found.where("url IS NOT NULL").groupBy("theme", "url").agg(newest).select("theme", "url", "_r.*")
 
-    ``articles``: news_item_id, title, summary; ``registry``: instrument_id, name, aliases, symbol.  The
-    registry is counted first; it goes to the tasks in chunks of at most ``chunk`` names, one pass over the
-    articles per chunk, so what is shipped stays bounded however long the master list grows.
-    """
-    spark = articles.sparkSession
-    longer = conflicts(registry).groupBy("instrument_id").agg(F.sort_array(F.collect_set("other")).alias("conflicts"))
-    full = registry.join(longer, "instrument_id", "left").select(
-        "instrument_id", "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "symbol",
-        F.coalesce("conflicts", F.array().cast("array<string>")).alias("conflicts"),
-    )
-    total = full.count()
-    passes = max(1, -(-total // chunk))
-    schema = "news_item_id long, instrument_id long, decision string, match_method string, decision_reason string"
-    texts = spread_small(articles.select("news_item_id", "title", "summary"))
-    out = None
-    for k in range(passes):
-        rows = full.where(F.pmod(F.xxhash64("name"), F.lit(passes)) == k).collect()
-        shipped = spark.sparkContext.broadcast(
-            [(r.instrument_id, r.name, tuple(r.aliases), r.symbol, tuple(r.conflicts)) for r in rows]
-        )
-
-        def run(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            finder = nm.Finder([nm.Name(*row) for row in shipped.value])
-            for batch in batches:
-                found = [
-                    (item, n.instrument_id, *nm.judge(n, title, summary))
-                    for item, title, summary in zip(batch["news_item_id"], batch["title"].fillna(""), batch["summary"].fillna(""))
-                    for n in finder.candidates(f"{title} {summary}")
-                ]
-                yield pd.DataFrame(found, columns=["news_item_id", "instrument_id", "decision", "match_method", "decision_reason"])
-
-        part = texts.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def theme_days(found: DataFrame, registry: DataFrame, *, generic: Sequence[int] = (), headlines: int = 5, top: int = 8) -> DataFrame:
+    """Per theme: articles without repeated addresses, the newest headlines with a web address, and the names they mention most.
 
-def mention_counts(verdicts: DataFrame, *, generic: Sequence[int] = (), top: int = 8) -> DataFrame:
-    """Confirmed, not weakly, once per article; generic names out; the most mentioned names."""
-    sure = verdicts.where((F.col("decision") == "CONFIRMED") & ~F.col("decision_reason").startswith("weak"))
-    if generic:
-        sure = sure.where(~F.col("instrument_id").isin(*generic))
-    counted = sure.dropDuplicates(["news_item_id", "instrument_id"]).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("articles"))
-    return counted.orderBy(F.col("articles").desc(), "instrument_id").limit(top)
+    An article found under several themes is judged once.  Rows: theme, articles, kind (HEADLINE or MENTION), place, key (address or
+    instrument), count (of articles, for names).  Both lists are cut by a ranked window, which limits before the shuffle.
+    """
+    rows = theme_articles(found)
+    verdicts = judge_articles(rows.select("news_item_id", "title", "summary").dropDuplicates(["news_item_id"]), registry)
+    said = rows.select("theme", "news_item_id").join(verdicts, "news_item_id")
+    counted = mention_counts(said, by=["theme"], generic=generic, top=top)
+    web = rows.where(F.lower("url").rlike("^https?://"))
+    place = F.row_number().over(W.partitionBy("theme").orderBy(F.col("published_at").desc(), "news_item_id"))
+    newest = web.withColumn("place", place).where(F.col("place") <= headlines)
+    lists = newest.select("theme", F.lit("HEADLINE").alias("kind"), "place", F.col("url").alias("key"), F.lit(None).cast("long").alias("count")).unionByName(
+        counted.select("theme", F.lit("MENTION").alias("kind"), "place", F.col("instrument_id").cast("string").alias("key"), F.col("articles").alias("count")))
+    totals = rows.groupBy("theme").agg(F.count(F.lit(1)).alias("articles"))
+    return totals.join(lists, "theme", "left")
 
 
 def name_shape(name: Column | str) -> Column:

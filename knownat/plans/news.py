@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from knownat.functions.numeric import day_text, key_day, rounded, stamp_text
 from knownat.operators import calendar as cal
+from knownat.operators import names as nm
 from knownat.operators import news as nw
 from knownat.operators import pit
 from knownat.plans import fixtures as fx
@@ -14,11 +15,17 @@ from knownat.plans.registry import cte, query
 from knownat.sources.tables import load
 
 FMT = "'%Y-%m-%d %H:%M:%S'"
-NAMES = ("inoran", "thatin", "ononst", "orantion", "ther", "ention", "eren", "onan", "eau", "oran", "that", "tion")
+#: instrument, name, aliases, symbol
+REGISTRY = [
+    *((i, n, [], None) for i, n in enumerate(("inoran", "thatin", "ononst", "orantion", "ther", "ention", "eren", "onan", "eau", "oran", "that", "tion"))),
+    (12, "En", ["whon"], None), (13, "Nt", ["in by"], "555"), (14, "Nd", [], None),
+]
+NAMES = tuple(r[1] for r in REGISTRY)
+RULE = 3  # the version verdicts are judged under
 
 
 def registry(spark):
-    return spark.createDataFrame([(i, n, [], None) for i, n in enumerate(NAMES)], "instrument_id long, name string, aliases array<string>, symbol string")
+    return spark.createDataFrame(REGISTRY, "instrument_id long, name string, aliases array<string>, symbol string")
 
 
 def articles(spark, sf):
@@ -26,24 +33,49 @@ def articles(spark, sf):
     at = F.instr("text", "\n")
     return load(spark, sf, "documents").select(
         F.col("doc_id").alias("news_item_id"), F.when(at > 0, F.substring_index("text", "\n", 1)).otherwise(F.lit("")).alias("title"),
-        F.when(at > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise(F.col("text")).alias("summary"))
+        F.when(at > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise(F.col("text")).alias("summary")
+    ).repartition("news_item_id")  # the table is one row group, and a text is searched within a task
 
 
-def spelled(name):
-    return "\\s*".join(name)
+def flat(term):
+    return term.replace(" ", "").lower()
 
 
-def swallowed(name):
-    """The text with every longer registered name around ``name`` blanked out."""
-    longer = [spelled(o) for o in NAMES if name in o and o != name]
-    return f"regexp_replace(text, '(?i){'|'.join(longer)}', 'X', 'g')" if longer else "text"
+def spelled(term):
+    return "\\s*".join(term.replace(" ", ""))
 
 
-VERDICT_SQL = " UNION ALL ".join(
-    f"SELECT doc_id AS news_item_id, {i} AS instrument_id FROM documents WHERE regexp_matches({swallowed(n)}, '{"" if len(n) <= 3 else "(?i)"}(^|[^A-Za-z0-9]){spelled(n)}([^A-Za-z0-9]|$)')" for i, n in enumerate(NAMES))
+def term_sql(term, text="text"):
+    """Whether a Latin spelling stands on its own in a text in which longer spellings around it are blanked out."""
+    every = [t for _, n, aliases, _ in REGISTRY for t in (n, *aliases)]
+    longer = [spelled(o) for o in every if flat(term) in flat(o) and flat(o) != flat(term)]
+    blanked = f"regexp_replace({text}, '(?i){'|'.join(longer)}', 'X', 'g')" if longer else text
+    return f"regexp_matches({blanked}, '{'' if len(flat(term)) <= 3 else '(?i)'}(^|[^A-Za-z0-9]){spelled(term)}([^A-Za-z0-9]|$)')"
 
 
-@query("n1_name_matches", "", f"SELECT news_item_id, CAST(instrument_id AS BIGINT) AS instrument_id FROM ({VERDICT_SQL})")
+OPENING = """^(\\s*(\\[[^\\]]*\\]|<[^>]*>|【[^】]*】|\\([^)]*\\))\\s*)*[ "''“‘]*"""
+
+
+def verdict_sql(columns, rows):
+    """Decision, method and reason of every registered name over ``rows`` (columns, title, text); absent ones too."""
+    parts = []
+    for i, name, aliases, symbol in REGISTRY:
+        by_alias = " OR ".join(term_sql(t) for t in aliases) or "false"
+        by_symbol = f"regexp_matches(text, '(^|[^0-9]){symbol}([^0-9]|$)')" if symbol else "false"
+        lead = f"regexp_matches(title, '{OPENING}(?i:{spelled(name)})\\s*,')"
+        parts.append(f"SELECT {columns}, {i} AS instrument_id, {len(name) <= 3} AS short, {term_sql(name)} AS named, {by_alias} AS by_alias, {by_symbol} AS by_symbol, {lead} AS lead FROM {rows}")
+    return f"""SELECT {columns}, CAST(instrument_id AS BIGINT) AS instrument_id,
+  CASE WHEN named AND short AND NOT by_symbol AND NOT lead THEN 'PENDING' WHEN named OR by_alias OR by_symbol THEN 'CONFIRMED' ELSE 'REJECTED' END AS decision,
+  CASE WHEN named THEN 'NAME' WHEN by_alias THEN 'ALIAS' WHEN by_symbol THEN 'SYMBOL' END AS match_method,
+  CASE WHEN named AND NOT short THEN 'name' WHEN named AND by_symbol THEN 'strong:symbol' WHEN named AND lead THEN 'strong:title_lead' WHEN named THEN 'context:none'
+    WHEN by_alias THEN 'alias' WHEN by_symbol THEN 'strong:symbol' ELSE 'absent' END AS decision_reason FROM ({" UNION ALL ".join(parts)})"""
+
+
+cte("article", "SELECT doc_id AS news_item_id, CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) ELSE '' END AS title, text FROM documents")
+cte("judged", verdict_sql("news_item_id", "article"), "article")
+
+
+@query("n1_name_matches", "judged", "SELECT news_item_id, instrument_id FROM judged WHERE match_method = 'NAME'")
 def n1(spark, sf):
     return nw.judge_articles(articles(spark, sf), registry(spark)).where("match_method = 'NAME'").select("news_item_id", "instrument_id")
 
@@ -53,27 +85,45 @@ SELECT p.p_partkey AS instrument_id, p.name, q.other FROM (SELECT p_partkey, spl
   SELECT DISTINCT p_name AS other FROM part) q ON length(replace(q.other, ' ', '')) > length(p.name) AND contains(replace(q.other, ' ', ''), p.name)""")
 def n2(spark, sf):
     rows = load(spark, sf, "part")
-    # short names: first words; longer registered names: whole names under negative ids
-    short = rows.select(F.col("p_partkey").alias("instrument_id"), F.substring_index("p_name", " ", 1).alias("name"))
-    full = rows.select("p_name").distinct().select(F.lit(-1).cast("long").alias("instrument_id"), F.col("p_name").alias("name"))
-    out = nw.conflicts(short.unionByName(full))
+    # every part is registered by its first word; the whole names are aliases of an instrument of their own
+    nothing = F.lit(None).cast("string").alias("symbol")
+    short = rows.select(F.col("p_partkey").alias("instrument_id"), F.substring_index("p_name", " ", 1).alias("name"), F.array().cast("array<string>").alias("aliases"), nothing)
+    full = rows.select("p_name").distinct().select(F.lit(-1).cast("long").alias("instrument_id"), F.lit(None).cast("string").alias("name"), F.array("p_name").alias("aliases"), nothing)
+    out = nm.conflicts(short.unionByName(full))
     return out.where((F.col("instrument_id") >= 0) & F.col("other").contains(" "))
 
 
-@query("n3_verdicts")
+@query("n3_verdicts", "judged", "SELECT * FROM judged WHERE decision <> 'REJECTED'")
 def n3(spark, sf):
-    return nw.judge_articles(articles(spark, sf), registry(spark))
+    return nw.judge_articles(articles(spark, sf), registry(spark)).where("decision <> 'REJECTED'")
+
+
+cte("hits", f"""SELECT h.hit_id, h.instrument_id, h.decision, CASE WHEN h.hit_id % 7 <> 0 THEN a.text END AS text, a.title FROM (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY decided_at DESC, id DESC) AS rn FROM hit WHERE rule_version < {RULE}) WHERE rn = 1 AND decided_by = 'RULE') h JOIN article a ON a.news_item_id = h.news_item_id""", "hit", "article")
+cte("rejudged", verdict_sql("hit_id", "(SELECT * FROM hits WHERE text IS NOT NULL)"), "hits")
 
 
-@query("n4_rejudged")
+@query("n4_rejudged", "rejudged", f"""
+SELECT h.hit_id, h.instrument_id, CASE WHEN h.text IS NULL THEN 'UNREAD' WHEN h.instrument_id >= {len(REGISTRY)} THEN 'SKIPPED' ELSE 'JUDGED' END AS outcome, r.decision, r.match_method, r.decision_reason, h.decision AS old_decision,
+  coalesce(r.decision <> h.decision, false) AS changed FROM hits h LEFT JOIN rejudged r ON r.hit_id = h.hit_id AND r.instrument_id = h.instrument_id""")
 def n4(spark, sf):
-    """Older rule verdicts judged again on the text they read; only changes are appended."""
-    fresh = nw.judge_articles(articles(spark, sf), registry(spark))
-    stored = fx.verdicts(spark, sf).where("rule_version < 3")
-    incoming = fresh.withColumns({"hit_id": F.col("news_item_id"), "decided_by": F.lit("RULE"), "rule_version": F.lit(3)})
-    one = incoming.groupBy("hit_id").agg(F.min_by(F.struct("decision", "decided_by", "decision_reason"), "instrument_id").alias("v")).select("hit_id", "v.*")
-    old = stored.select("hit_id").distinct()
-    return pit.append_verdicts(stored, one.join(old, "hit_id", "left_semi"), ["decision", "decided_by"])
+    """Every verdict of an older rule, judged again on the snippet it read; a seventh of the hits kept none."""
+    return nm.rejudged(stored_hits(spark, sf), registry(spark), RULE)
+
+
+def stored_hits(spark, sf):
+    newest = pit.latest_verdicts(fx.verdicts(spark, sf).where(F.col("rule_version") < RULE))
+    read = articles(spark, sf).select("news_item_id", "title", F.when(F.col("news_item_id") % 7 != 0, F.col("summary")).alias("snippet"))
+    return newest.join(read, "news_item_id")
+
+
+@query("n4_appended_verdicts", "rejudged", """
+SELECT h.hit_id, r.decision, r.decision_reason FROM hits h JOIN rejudged r ON r.hit_id = h.hit_id AND r.instrument_id = h.instrument_id WHERE r.decision <> h.decision""")
+def n4b(spark, sf):
+    """What judging again appends: the verdicts that changed, one a hit; models are never overruled."""
+    out = nm.rejudged(stored_hits(spark, sf), registry(spark), RULE).where("outcome = 'JUDGED'")
+    incoming = out.select("hit_id", "decision", "decision_reason", F.lit("RULE").alias("decided_by"))
+    return pit.append_verdicts(fx.verdicts(spark, sf).where(F.col("rule_version") < RULE), incoming, ["decision", "decided_by"]).select("hit_id", "decision", "decision_reason")
 
 
 cte("yields", "SELECT 'Q' || user_id % 60 AS query, CASE event_type WHEN 'click' THEN 'REJECTED' WHEN 'error' THEN 'PENDING' ELSE 'CONFIRMED' END AS decision, user_id, event_id FROM events WHERE NOT (event_type = 'click' AND user_id % 60 < 20)")
@@ -93,7 +143,27 @@ def n5(spark, sf):
     return nw.reject_report(rows, ["query"]).withColumn("reject_floor", rounded("reject_floor"))
 
 
-@query("n6_theme_mentions", "", f"SELECT instrument_id, count(*) AS articles FROM ({VERDICT_SQL}) WHERE instrument_id NOT IN (4, 8) GROUP BY 1 ORDER BY articles DESC, instrument_id LIMIT 8")
+# themes: the source of a document; its address repeats over similar ids, and a fifth has no web address
+cte("themed", """SELECT source AS theme, CASE WHEN doc_id % 5 = 4 THEN 'app:' ELSE 'https://x/' END || CAST(doc_id % 400 AS VARCHAR) AS url, TIMESTAMP '2024-01-01' + to_minutes(doc_id % 700) AS published_at, doc_id AS news_item_id FROM documents""")
+cte("theme_one", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY theme, url ORDER BY published_at DESC, news_item_id) AS rn FROM themed) WHERE rn = 1", "themed")
+
+
+@query("n6_theme_days", "theme_one, judged", """
+WITH said AS (SELECT o.theme, j.instrument_id, count(*) AS n FROM theme_one o JOIN judged j USING (news_item_id) WHERE j.decision = 'CONFIRMED' AND j.instrument_id NOT IN (4, 8) GROUP BY 1, 2),
+ lists AS (SELECT theme, 'HEADLINE' AS kind, row_number() OVER (PARTITION BY theme ORDER BY published_at DESC, news_item_id) AS place, 5 AS most, url AS key, CAST(NULL AS BIGINT) AS count FROM theme_one WHERE url LIKE 'https:%'
+  UNION ALL SELECT theme, 'MENTION', row_number() OVER (PARTITION BY theme ORDER BY n DESC, instrument_id), 8, CAST(instrument_id AS VARCHAR), n FROM said)
+SELECT t.theme, t.articles, l.kind, l.place, l.key, l.count FROM (SELECT theme, count(*) AS articles FROM theme_one GROUP BY 1) t LEFT JOIN (SELECT * FROM lists WHERE place <= most) l USING (theme)""")
+def n6b(spark, sf):
+    """Per theme: articles without repeated addresses, the newest headlines and the names mentioned most."""
+    d = F.col("doc_id")
+    found = load(spark, sf, "documents").select(
+        d.alias("news_item_id"), F.col("source").alias("theme"), F.concat(F.when(d % 5 == 4, "app:").otherwise("https://x/"), (d % 400).cast("string")).alias("url"),
+        F.timestamp_add("MINUTE", d % 700, F.to_timestamp(F.lit("2024-01-01 00:00:00"))).alias("published_at"))
+    return nw.theme_days(found.join(articles(spark, sf), "news_item_id"), registry(spark), generic=[4, 8]).select(
+        "theme", "articles", "kind", F.col("place").cast("long").alias("place"), "key", "count")
+
+
+@query("n6_theme_mentions", "judged", "SELECT instrument_id, count(*) AS articles FROM judged WHERE match_method = 'NAME' AND decision = 'CONFIRMED' AND instrument_id NOT IN (4, 8) GROUP BY 1 ORDER BY articles DESC, instrument_id LIMIT 8")
 def n6(spark, sf):
     return nw.mention_counts(nw.judge_articles(articles(spark, sf), registry(spark)).where("match_method = 'NAME'"), generic=[4, 8])
 

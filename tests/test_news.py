@@ -3,45 +3,86 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from knownat.functions import names as nm
+from knownat.operators import names as nm
 from knownat.operators import news as nw
 
 T0 = datetime(2024, 1, 1)
 
 
-def test_longer_names_swallow_shorter_ones():
-    n = nm.Name(1, "삼성전자", conflicts=("삼성전자우",))
-    assert nm.judge(n, "삼성전자우 급등", "")[0] == "REJECTED"
-    assert nm.judge(n, "삼성전자우와 삼성전자 급등", "")[0] == "CONFIRMED"
-
-
-def test_short_names_need_context():
-    n = nm.Name(1, "한섬")
-    assert nm.judge(n, "패션 업계 한섬 소식", "") == ("PENDING", "NAME", "context:none")
-    assert nm.judge(n, "패션 업계 한섬 매출 실적", "")[2] == "weak:실적+매출"
-    assert nm.judge(n, "한섬, 신제품", "")[2] == "strong:title_lead"
-    assert nm.judge(n, "[속보] 한섬은 신제품", "")[2] == "strong:title_lead"
-    assert nm.judge(n, "업계 (주)한섬 소식", "")[2] == "strong:corporate_mark"
-    assert nm.judge(n, "거대한섬 여행", "") == ("REJECTED", None, "absent:inside_word")
-    assert nm.judge(n, "한섬마을 여행", "") == ("PENDING", "NAME", "context:compound")
-
-
-def test_latin_edges_and_symbols():
-    n = nm.Name(1, "LG", symbol="003550")
-    assert nm.match_method(n, "LG 발표") == "NAME"
-    assert nm.match_method(n, "lg 발표") is None
-    assert nm.match_method(n, "LGU 발표") is None
-    assert nm.match_method(n, "코드 003550 급등") == "SYMBOL"
-    assert nm.match_method(n, "번호 10035501") is None
-    assert nm.match_method(nm.Name(2, "KT&G", aliases=("케이티앤지",)), "케이티앤지 배당") == "ALIAS"
-
-
-def test_registry_chunks_give_the_same_verdicts(spark):
-    rows = [(i, f"기업{chr(0xAC00 + i)}가", [], None) for i in range(12)]
-    registry = spark.createDataFrame(rows, "instrument_id long, name string, aliases array<string>, symbol string")
-    articles = spark.createDataFrame([(k, f"{rows[k % 12][1]} 실적과 {rows[(k * 5) % 12][1]}", "") for k in range(30)], "news_item_id long, title string, summary string")
-    one = sorted(map(tuple, nw.judge_articles(articles, registry).collect()))
-    assert one and one == sorted(map(tuple, nw.judge_articles(articles, registry, chunk=3).collect()))
+REGISTRY = [
+    (1, "삼성전자", [], None), (2, "삼성전자우", [], None), (3, "한섬", [], None), (4, "LG", [], "003550"), (5, "KT&G", ["케이티앤지"], None), (6, "SK하이닉스", [], "000660"),
+    (7, "한화", [], None), (8, "대한화섬", None, None), (9, "Naver", ["네이버"], None), (10, "네이버웍스", [], None), (11, "원", [], ""), (12, "신라 젠", [], None),
+]
+#: title, summary, instrument, (decision, method, reason) or None where nothing counts
+CASES = [
+    ("삼성전자우 급등", "", 1, None), ("삼성전자우와 삼성전자 급등", "", 1, ("CONFIRMED", "NAME", "name")), ("삼성전자우 급등", "", 2, ("CONFIRMED", "NAME", "name")),
+    ("패션 업계 한섬 소식", "", 3, ("PENDING", "NAME", "context:none")), ("패션 업계 한섬 매출 실적", "", 3, ("CONFIRMED", "NAME", "weak:실적+매출")),
+    ("패션 업계 한섬 매출", "", 3, ("PENDING", "NAME", "context:매출")), ("한섬, 신제품", "", 3, ("CONFIRMED", "NAME", "strong:title_lead")),
+    ("한섬 , 신제품", None, 3, ("CONFIRMED", "NAME", "strong:title_lead")), ("[속보] (종합) “한섬은 신제품", "", 3, ("CONFIRMED", "NAME", "strong:title_lead")),
+    ("한섬 이야기", "", 3, ("PENDING", "NAME", "context:none")), ("한섬", ", 신제품", 3, ("PENDING", "NAME", "context:none")),
+    ("업계 (주)한섬 소식", "", 3, ("CONFIRMED", "NAME", "strong:corporate_mark")), ("업계 한섬㈜ 소식", "", 3, ("CONFIRMED", "NAME", "strong:corporate_mark")),
+    ("업계 ㈜한섬산업 한섬 소식", "", 3, ("PENDING", "NAME", "context:none")), ("지원 (주) 한섬 소식", "", 3, ("PENDING", "NAME", "context:none")),
+    ("거대한섬 여행", "", 3, ("REJECTED", None, "absent:inside_word")), ("한섬마을 여행", "", 3, ("PENDING", "NAME", "context:compound")), ("한섬에서는 여행", "", 3, ("PENDING", "NAME", "context:compound")),
+    ("업계 한섬에서 실적 공시", "", 3, ("CONFIRMED", "NAME", "weak:실적+공시")),
+    ("LG 발표", "", 4, ("PENDING", "NAME", "context:none")), ("lg 발표", "", 4, None), ("LGU 발표", "", 4, None), ("대전LG 발표", "", 4, None), ("LG는 실적", "", 4, ("CONFIRMED", "NAME", "strong:title_lead")),
+    ("발표 L G 주가", "", 4, ("PENDING", "NAME", "context:주가")), ("L G 발표 003550", "", 4, ("CONFIRMED", "NAME", "strong:symbol")),
+    ("코드 003550 급등", "", 4, ("CONFIRMED", "SYMBOL", "strong:symbol")), ("번호 10035501", "", 4, None), ("주가 00 3550 원", "", 4, None), ("코드 003550", None, 4, ("CONFIRMED", "SYMBOL", "strong:symbol")),
+    ("케이티앤지 배당", "", 5, ("CONFIRMED", "ALIAS", "alias")), ("KT & G 배당", "", 5, ("CONFIRMED", "NAME", "name")), ("kt&g", "", 5, ("CONFIRMED", "NAME", "name")),
+    ("", "SK 하이닉스 호황", 6, ("CONFIRMED", "NAME", "name")), (None, "sk하이닉스", 6, ("CONFIRMED", "NAME", "name")), ("SK하이 닉스", "", 6, None),
+    ("한 화면에", "", 7, None), ("대한화섬 실적 공시", "", 7, None), ("대한화섬 실적", "", 8, ("CONFIRMED", "NAME", "name")),
+    ("네이버 실적", "", 9, ("CONFIRMED", "ALIAS", "alias")), ("네이버웍스 실적", "", 9, None), ("naver,", "", 9, ("CONFIRMED", "NAME", "name")),
+    ("원 달러", "", 11, ("CONFIRMED", "NAME", "name")), ("신라젠 공시", "", 12, ("CONFIRMED", "NAME", "weak:공시")),
+    (None, None, 1, None), ("", "x" * 300 + " 삼성전자 " + "가 나" * 20000 + " SK 하이닉스", 6, ("CONFIRMED", "NAME", "name")),
+]
+
+
+def names_registry(spark, rows=REGISTRY):
+    return spark.createDataFrame(rows, "instrument_id long, name string, aliases array<string>, symbol string")
+
+
+def test_verdicts_of_names(spark):
+    articles = spark.createDataFrame([(k, t, s) for k, (t, s, *_) in enumerate(CASES)], "news_item_id long, title string, summary string")
+    got = {(r.news_item_id, r.instrument_id): (r.decision, r.match_method, r.decision_reason) for r in nw.judge_articles(articles, names_registry(spark)).collect()}
+    for k, (*_, instrument, want) in enumerate(CASES):
+        found = got.get((k, instrument), ("REJECTED", None, "absent"))
+        assert found == (want or ("REJECTED", None, "absent")), CASES[k][:3]
+
+
+def test_a_shuffled_registry_gives_the_same_verdicts(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [r[1] for r in REGISTRY] + ["실적", "주가", "003550", "은", "(주)", ",", "Naver", "네이버"]
+    rows = [(k, "".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(4)), " ".join(rng.choice(words) for _ in range(40))) for k in range(60)]
+    articles = spark.createDataFrame(rows, "news_item_id long, title string, summary string")
+    one = sorted(map(str, nw.judge_articles(articles, names_registry(spark)).collect()))
+    monkeypatch.setattr(nm, "_SHIPPED", -1)
+    monkeypatch.setattr(nm, "_BLOCK", 7)
+    monkeypatch.setattr(nm, "_COARSE", 30)
+    assert one and one == sorted(map(str, nw.judge_articles(articles, names_registry(spark)).collect()))
+
+
+def test_conflicts_know_names_and_aliases(spark):
+    got = {(r.instrument_id, r.name, r.other) for r in nm.conflicts(names_registry(spark)).collect()}
+    assert got == {(1, "삼성전자", "삼성전자우"), (7, "한화", "대한화섬"), (9, "네이버", "네이버웍스")}
+    assert nm.conflicts(names_registry(spark).limit(0)).collect() == []
+
+
+def test_every_stale_hit_is_judged_again(spark):
+    hits = [
+        (1, 3, "한섬, 신제품", "실적", "PENDING", 1, "RULE"), (2, 3, "다른 글", "없음", "CONFIRMED", 1, "RULE"), (3, 3, "한섬", None, "PENDING", 1, "RULE"),
+        (4, 99, "한섬", "한섬", "PENDING", 2, "RULE"), (5, 3, "한섬", "x", "PENDING", 1, "MODEL"), (6, 3, "한섬", "x", "PENDING", 5, "RULE"), (7, 6, "", "SK하이닉스 한섬", "CONFIRMED", 2, "RULE"),
+    ]
+    table = spark.createDataFrame(hits, "hit_id long, instrument_id long, title string, snippet string, decision string, rule_version int, decided_by string")
+    got = {r.hit_id: (r.outcome, r.decision, r.decision_reason, r.changed) for r in nm.rejudged(table, names_registry(spark), 5).collect()}
+    assert got == {
+        1: ("JUDGED", "CONFIRMED", "strong:title_lead", True), 2: ("JUDGED", "REJECTED", "absent", True), 3: ("UNREAD", None, None, False),
+        4: ("SKIPPED", None, None, False), 7: ("JUDGED", "CONFIRMED", "name", False)}
+
+
+def test_theme_days_count_an_address_once(spark):
+    rows = [("A", "http://x/1", 1, 1, "SK하이닉스", ""), ("A", "http://x/1", 2, 2, "SK하이닉스", ""), ("A", "javascript:1", 3, 3, "SK하이닉스 대한화섬", ""), ("B", "http://x/1", 1, 1, "SK하이닉스", ""), ("B", None, 1, 9, "x", "")]
+    found = spark.createDataFrame(rows, "theme string, url string, published_at int, news_item_id long, title string, summary string")
+    got = {tuple(r) for r in nw.theme_days(found, names_registry(spark)).collect()}
+    assert got == {("A", 2, "HEADLINE", 1, "http://x/1", None), ("A", 2, "MENTION", 1, "6", 2), ("A", 2, "MENTION", 2, "8", 1), ("B", 1, "HEADLINE", 1, "http://x/1", None), ("B", 1, "MENTION", 1, "6", 1)}
 
 
 def brute_clusters(times, hours):
