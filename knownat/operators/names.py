@@ -10,6 +10,7 @@ verdicts are aggregates over a (text, instrument).  The registry is a join side
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -30,11 +31,13 @@ _MARK_BEFORE, _MARK_AFTER = r"(\(주\)|㈜)$", r"^(\(주\)|㈜)"
 _WORD_END = f"^((?:{'|'.join(LONG_PARTICLES)}|[{SINGLE_PARTICLES}])?)(?![{HANGUL}])"
 _TITLE_OPENING = r"""^(?:\s*(?:\[[^\]]*\]|<[^>]*>|【[^】]*】|\([^)]*\))\s*)*[ "'“‘]*"""
 
-_SPACES = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+_SPACES = r"(?U)\s+"
 #: White space a spelling may skip, white space it may not, and the flag of a character that had the former before it.
 _SOFT, _HARD, _FLAG = "\u0001", "\u0002", "\u0003"
-#: Characters of a text looked at before and after an occurrence, a block's positions, and the positions of the coarser cut before.
-_BEFORE, _AFTER, _BLOCK, _COARSE = 3, 3, 256, 1 << 15
+#: Characters of a text looked at before and after an occurrence.
+_BEFORE, _AFTER = 3, 3
+#: Positions of the pieces a text is cut into, each cut within the one before: a place in a string is found by counting from its start.
+_CUTS = (1 << 12, 1 << 8, 1 << 4)
 #: Characters of a spelling that are its join key; shorter spellings are keyed whole.
 _KEY = 3
 #: Bytes of a registry up to which it is shipped to the texts' tasks, and what a row has besides its spellings; a larger one meets them in a shuffle.
@@ -47,7 +50,7 @@ def squeezed(text: Column) -> Column:
 
 def _letters(text: Column) -> tuple[Column, Column]:
     """Characters without the white space that names may skip, which is any but that between two Hangul letters; and its flags."""
-    plain = F.translate(F.coalesce(text, F.lit("")), _SOFT + _HARD + _FLAG, "???")
+    plain = F.translate(F.coalesce(text, F.lit("")), _SOFT + _HARD + _FLAG + "\x1c\x1d\x1e\x1f", "???    ")
     marked = F.regexp_replace(F.regexp_replace(plain, _SPACES, _SOFT), f"{_SOFT}$", "")
     marked = F.regexp_replace(marked, f"(?<=[{HANGUL}]){_SOFT}(?=[{HANGUL}])", _HARD)
     flags = F.regexp_replace(F.regexp_replace(marked, f"{_SOFT}[^{_SOFT}]", _FLAG), f"[^{_FLAG}]", "0")
@@ -67,31 +70,56 @@ def spellings(registry: DataFrame) -> DataFrame:
 
 
 def _cut(rows: DataFrame, size: int, after: int) -> DataFrame:
-    """Pieces of ``size`` positions of (letters, flags), with what stands around them; ``at`` is the first position."""
+    """Pieces of ``size`` positions of (letters, flags), with what stands around them; ``at`` is the first position.
+
+    The pieces are made as one array before they become rows: a later row generator would else cut its piece anew for every row.
+    """
     last = F.expr(f"int(greatest(length(letters) - {_BEFORE + after} - 1, 0) div {size})")
     others = [c for c in rows.columns if c not in ("letters", "flags", "at")]
-    pieces = [F.col(c).substr(F.col("_b") * size + 1, F.lit(size + _BEFORE + after)).alias(c) for c in ("letters", "flags")]
-    return rows.withColumn("_b", F.explode(F.sequence(F.lit(0), last))).select(*others, *pieces, (F.col("at") + F.col("_b") * size).alias("at"))
+    piece = lambda k: F.struct(
+        *[F.col(c).substr(k * size + 1, F.lit(size + _BEFORE + after)).alias(c) for c in ("letters", "flags")], (F.col("at") + k * size).alias("at"))
+    return rows.select(*others, F.explode(F.transform(F.sequence(F.lit(0), last), piece)).alias("_p")).select(*others, "_p.*")
+
+
+@dataclass(frozen=True)
+class _Facts:
+    """What is small about a registry: sizes of its spellings in letters, and bytes."""
+
+    sizes: tuple[int, ...]
+    held: int
+
+    @property
+    def longest(self) -> int:
+        return max(self.sizes, default=0)
+
+    @property
+    def keys(self) -> list[int]:
+        return sorted({min(n, _KEY) for n in self.sizes})
+
 
+def _facts(terms: DataFrame) -> _Facts:
+    sizes, held = terms.agg(F.collect_set("size"), F.sum(F.lit(_ROW) + 3 * F.octet_length("flat"))).first()
+    return _Facts(tuple(sorted(sizes)), held or 0)
 
-def occurrences(texts: DataFrame, terms: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+
+def occurrences(texts: DataFrame, terms: DataFrame, keep: Sequence[str] = (), facts: _Facts | None = None, skip=None) -> DataFrame:
     """Every place where a spelling stands in a text.
 
     ``texts`` has ``text`` and any other columns, of which ``keep`` are kept; ``terms`` is made by :func:`spellings`.  Adds the term's columns,
     ``start`` and ``end`` in letters, ``written`` (the letters as written), ``head`` and ``tail`` (what stands before and after, white space
     included, up to three characters).  Names may be written with white space wherever not two Hangul letters meet, in any case; symbols stand
-    exactly.  Null texts are empty.
+    exactly.  Null texts are empty.  ``skip(term, gap, before, after)`` names places that are not wanted, by the term's struct, whether white
+    space stands before, and the letters before and after.
     """
-    # three small facts about the registry
-    longest, keys, held = terms.agg(F.max("size"), F.collect_set(F.least("size", F.lit(_KEY))), F.sum(F.lit(_ROW) + 3 * F.octet_length("flat"))).first()
-    longest, keys, held = longest or 0, sorted(keys), held or 0
-    after = longest + _AFTER
+    facts = facts or _facts(terms)
+    keys, after = facts.keys, facts.longest + _AFTER
     letters, flags = _letters(F.col("text"))
     pad = lambda c, fill: F.concat(F.lit(fill * _BEFORE), c, F.lit(fill * after))
-    rows = texts.select(*keep, letters.alias("letters"), flags.alias("flags")).where("letters <> ''")
+    rows = texts.select(*keep, letters.alias("letters"), flags.alias("flags"))
     rows = rows.select(*keep, pad(F.col("letters"), " ").alias("letters"), pad(F.col("flags"), "0").alias("flags"), F.lit(0).cast("long").alias("at"))
-    rows = _cut(_cut(rows, _COARSE, after), _BLOCK, after)
-    inner = F.expr(f"sequence(0, least({_BLOCK}, length(letters) - {_BEFORE + after}) - 1)")
+    for size in _CUTS:
+        rows = _cut(rows, size, after)
+    inner = F.expr(f"sequence(0, least({_CUTS[-1]}, length(letters) - {_BEFORE + after}) - 1)")
     rows = rows.where(f"length(letters) > {_BEFORE + after}").withColumn("_i", F.explode(inner))
     first = lambda c, skip, n: F.col(c).substr(F.col("_i") + 1 + skip, F.lit(n))
     named = rows.select(
@@ -99,13 +127,15 @@ def occurrences(texts: DataFrame, terms: DataFrame, keep: Sequence[str] = ()) ->
         *([F.explode(F.array(*[first("letters", _BEFORE, k) for k in keys])).alias("_key")] if len(keys) > 1 else [first("letters", _BEFORE, keys[0] if keys else 1).alias("_key")]),
         *[first(c, 0, _BEFORE + after).alias(f"_{c}") for c in ("letters", "flags")])
     named = named.withColumn("_key", F.lower("_key"))
-    coded = terms.withColumn("_key", F.lower(F.substring("flat", 1, _KEY)))
+    # a term travels as one struct and unneeded places go at once: the code of the loop over positions has to stay small to be compiled
+    coded = terms.select(F.lower(F.substring("flat", 1, _KEY)).alias("_key"), F.lower("flat").alias("_low"), "size", F.struct(*terms.columns).alias("_t"))
     size = F.col("size")
     written = F.col("_letters").substr(F.lit(_BEFORE + 1), size)
-    # a symbol is text as it stands: no white space inside
-    unbroken = ~F.col("_flags").substr(F.lit(_BEFORE + 2), size - 1).contains(_FLAG)
-    same = F.when(F.col("kind") == "SYMBOL", (written == F.col("exact")) & unbroken).otherwise(F.lower(written) == F.col("flat"))
-    found = named.join(F.broadcast(coded) if held <= _SHIPPED else coded, "_key").where(same)
+    same = F.lower(written) == F.col("_low")
+    if skip is not None:
+        place = F.lit(_BEFORE + 1)
+        same = same & ~skip(F.col("_t"), F.col("_flags").substr(place, F.lit(1)) == _FLAG, F.col("_letters").substr(place - 1, F.lit(1)), F.col("_letters").substr(place + size, F.lit(1)))
+    found = named.join(F.broadcast(coded) if facts.held <= _SHIPPED else coded, "_key").where(same)
 
     def around(place: Column, count: int, gap_last: bool) -> Column:
         """``count`` characters from ``place`` on, white space put back before each (and after the last one)."""
@@ -113,34 +143,52 @@ def occurrences(texts: DataFrame, terms: DataFrame, keep: Sequence[str] = ()) ->
         for k in range(count + gap_last):
             out.append(F.when(F.col("_flags").substr(place + k, F.lit(1)) == _FLAG, " ").otherwise(""))
             out += [F.col("_letters").substr(place + k, F.lit(1))] if k < count else []
-        return F.translate(F.concat(*out), _HARD, " ")
+        gaps = F.col("_flags").substr(place, F.lit(count + gap_last)).contains(_FLAG)
+        return F.translate(F.when(gaps, F.concat(*out)).otherwise(F.col("_letters").substr(place, F.lit(count))), _HARD, " ")
+
+    # a symbol is text as it stands: exact, and no white space inside
+    broken = F.col("_flags").substr(F.lit(_BEFORE + 2), size - 1).contains(_FLAG)
+    exact = (F.col("_t.kind") != "SYMBOL") | ((written == F.col("_t.exact")) & ~broken)
+    fields = F.struct(
+        written.alias("written"), exact.alias("_exact"), around(F.lit(1), _BEFORE, True).alias("head"), around(F.lit(_BEFORE + 1) + size, _AFTER, False).alias("tail"))
+    out = found.select(*keep, "_t", "start", (F.col("start") + size).alias("end"), _once(fields)).where("_once._exact")
+    return out.select(*keep, "_t.*", "start", "end", "_once.written", "_once.head", "_once.tail")
 
-    end = (F.col("start") + size).alias("end")
-    return found.select(
-        *keep, *terms.columns, "start", end, written.alias("written"), around(F.lit(1), _BEFORE, True).alias("head"),
-        around(F.lit(_BEFORE + 1) + size, _AFTER, False).alias("tail"))
+
+def _once(fields: Column) -> Column:
+    """A struct worked out once a row, outside the generated code of the rows before, which stays small enough to be compiled."""
+    return F.explode(F.transform(F.array(F.lit(0)), lambda _: fields)).alias("_once")
 
 
 def conflicts(registry: DataFrame) -> DataFrame:
     """Longer registered spellings, names or aliases, that contain one of an instrument's own: instrument_id, name (the one contained), other.
 
-    The spellings are searched in each other as texts are, so no pair of them is ever compared.
+    Every shorter piece of a spelling, of the sizes that are registered, is a join key, so no pair of spellings is ever compared.
     """
     ways = spellings(registry).where("kind <> 'SYMBOL'")
-    flats = ways.select(F.lit("NAME").alias("kind"), F.col("flat").alias("exact"), "flat", "size").distinct()
-    found = occurrences(flats.select(F.col("flat").alias("text"), F.col("flat").alias("_of"), F.col("size").alias("_long")), flats, ["_of", "_long"])
-    pairs = found.where("size < _long").select("flat", "_of").distinct()
-    others = ways.select(F.col("flat").alias("_of"), F.col("spelled").alias("other")).distinct()
-    return pairs.join(others, "_of").join(ways.select("instrument_id", F.col("spelled").alias("name"), "flat").distinct(), "flat").select("instrument_id", "name", "other").distinct()
+    others = ways.select(F.col("spelled").alias("other"), "flat").distinct().join(_contained(ways, _facts(ways)), "flat")
+    own = ways.select("instrument_id", F.col("spelled").alias("name"), F.col("flat").alias("_piece"))
+    return own.join(others, "_piece").select("instrument_id", "name", "other").distinct()
+
+
+def _contained(ways: DataFrame, facts: _Facts) -> DataFrame:
+    """Spellings and the shorter spellings inside them: flat, _piece."""
+    flats = ways.select("flat", "size").distinct()
+    shorter = F.filter(F.array(*map(F.lit, facts.sizes)).cast("array<int>"), lambda n: n < F.col("size"))
+    pieces = F.flatten(F.transform(shorter, lambda n: F.transform(F.sequence(F.lit(1), F.col("size") - n + 1), lambda i: F.substring(F.col("flat"), i, n))))
+    cut = flats.select("flat", F.explode(F.array_distinct(pieces)).alias("_piece"))
+    return cut.join(flats.select(F.col("flat").alias("_piece")), "_piece", "left_semi")
 
 
 def _swallowed(found: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Adds whether an occurrence lies inside a longer one of the same text."""
+    """Adds whether a name or alias lies inside a longer one of the same text."""
     at = W.partitionBy(*key).orderBy("start")
     # occurrences that begin before it reach at least as far, or one that begins with it reaches further
-    before = F.max("end").over(at.rangeBetween(W.unboundedPreceding, -1)) >= F.col("end")
-    beside = F.max("end").over(at.rangeBetween(W.currentRow, W.currentRow)) > F.col("end")
-    return found.withColumn("swallowed", F.coalesce(before, F.lit(False)) | beside)
+    reach = F.max(F.when(F.col("kind") != "SYMBOL", F.col("end")))
+    before = reach.over(at.rangeBetween(W.unboundedPreceding, -1)) >= F.col("end")
+    beside = reach.over(at.rangeBetween(W.currentRow, W.currentRow)) > F.col("end")
+    inside = F.coalesce(before, F.lit(False)) | F.coalesce(beside, F.lit(False))
+    return found.withColumn("swallowed", (F.col("kind") != "SYMBOL") & inside)
 
 
 def judged(texts: DataFrame, registry: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -157,9 +205,15 @@ def judged(texts: DataFrame, registry: DataFrame, key: Sequence[str]) -> DataFra
     ends = F.length(_letters(title)[0])
     told = texts.select(*key, text.alias("text"), mask.alias("context"), ends.alias("title_end"), (ends - F.length(_letters(opened)[0])).alias("title_start"))
     terms = spellings(registry)
-    covering = conflicts(registry).select(F.col("other").alias("spelled"), F.lit(True).alias("_covers")).distinct()
-    terms = terms.join(covering, "spelled", "left").withColumn("covers", F.coalesce("_covers", F.lit(False)) & (F.col("kind") != "SYMBOL")).drop("_covers")
-    found = occurrences(told, terms, [*key, "context", "title_start", "title_end"])
+    facts = _facts(terms)
+    covering = _contained(terms.where("kind <> 'SYMBOL'"), facts).select("flat", F.lit(True).alias("_covers")).distinct()
+    terms = terms.join(covering, "flat", "left").withColumn("covers", F.coalesce("_covers", F.lit(False)) & (F.col("kind") != "SYMBOL")).drop("_covers")
+
+    def inside_latin(term: Column, gap: Column, before: Column, after: Column) -> Column:
+        """A Latin spelling within a word, which swallows nothing and has no corporate mark, tells nothing."""
+        return term["latin"] & ~term["covers"] & (term["kind"] != "SYMBOL") & ~gap & before.rlike("[A-Za-z0-9]") & ~after.isin("(", "㈜")
+
+    found = occurrences(told, terms, [*key, "context", "title_start", "title_end"], facts, inside_latin)
 
     name, latin = F.col("kind") == "NAME", F.col("latin")
     head, tail, size = F.col("head"), F.col("tail"), F.col("size")
@@ -170,12 +224,11 @@ def judged(texts: DataFrame, registry: DataFrame, key: Sequence[str]) -> DataFra
     subject = tail.rlike(f"^[{LEAD_PARTICLES}](?![{HANGUL}])") & (F.col("end") < F.col("title_end"))
     lead = name & (F.col("start") == F.col("title_start")) & (comma | subject)
     mark = name & ((head.rlike(_MARK_BEFORE) & ends_word) | (starts & tail.rlike(_MARK_AFTER)))
-    told = found.select(
-        *key, "instrument_id", "kind", "size", "latin", "hangul", "context", "start", "end", "covers", alone.alias("alone"), starts.alias("starts"),
-        (starts & ends_word).alias("whole"), lead.alias("lead"), mark.alias("mark")).where("alone OR covers OR lead OR mark")
-    held = _swallowed(told.where("kind <> 'SYMBOL'"), key)
+    kept = ("instrument_id", "kind", "size", "latin", "hangul", "context", "start", "end", "covers")
+    flags = F.struct(alone.alias("alone"), starts.alias("starts"), (starts & ends_word).alias("whole"), lead.alias("lead"), mark.alias("mark"))
+    told = found.select(*key, *kept, _once(flags)).select(*key, *kept, "_once.*").where("alone OR covers OR lead OR mark")
+    held = _swallowed(told, key)
     free = F.col("alone") & ~F.col("swallowed")
-    held = held.unionByName(told.where("kind = 'SYMBOL'").withColumn("swallowed", F.lit(False)))
     any_ = lambda kind, *more: F.bool_or((F.col("kind") == kind) & free & reduce(lambda a, b: a & b, more, F.lit(True)))
     facts = held.groupBy(*key, "instrument_id").agg(
         any_("NAME").alias("named"), any_("ALIAS").alias("by_alias"), any_("SYMBOL").alias("by_symbol"), any_("NAME", F.col("starts")).alias("as_word"),

@@ -55,8 +55,7 @@ def test_a_shuffled_registry_gives_the_same_verdicts(spark, monkeypatch):
     articles = spark.createDataFrame(rows, "news_item_id long, title string, summary string")
     one = sorted(map(str, nw.judge_articles(articles, names_registry(spark)).collect()))
     monkeypatch.setattr(nm, "_SHIPPED", -1)
-    monkeypatch.setattr(nm, "_BLOCK", 7)
-    monkeypatch.setattr(nm, "_COARSE", 30)
+    monkeypatch.setattr(nm, "_CUTS", (30, 7))
     assert one and one == sorted(map(str, nw.judge_articles(articles, names_registry(spark)).collect()))
 
 
