@@ -34,7 +34,7 @@ def mean_score(metrics: Column) -> Column:
 # ------------------------------------------------------------------ technical
 
 def technical_inputs(bars: DataFrame) -> DataFrame:
-    """Every indicator of the technical factor per (instrument, day), in two window passes over one sort."""
+    """Every indicator of the technical factor per (instrument, day): windows over one sort, then the recursive ones in one pass over the same groups."""
     upper, _, lower = ind.bollinger("close")
     staged = bars.select(
         "instrument_id", "day", "close", "volume",
@@ -43,15 +43,14 @@ def technical_inputs(bars: DataFrame) -> DataFrame:
         ind.sma("close", 60).alias("ma60"),
         ind.zscore("volume", 20).alias("volume_z"),
         upper.alias("_upper"), lower.alias("_lower"),
-        ind.history("close").alias("_c"),
     )
-    return staged.select(
+    return ind.recursive(staged, ["rsi", "histogram"]).select(
         "instrument_id", "day", "close", "volume", "bars", "ma20", "ma60", "volume_z",
-        ind.rsi(F.col("_c")).alias("rsi"),
+        "rsi",
         num.percent_distance("close", "ma20").alias("ma20_distance"),
         num.percent_distance("ma20", "ma60").alias("trend_spread"),
         ind.band_position("close", F.col("_upper"), F.col("_lower")).alias("band_position"),
-        ind.macd(F.col("_c"))["histogram"].alias("macd_histogram"),
+        F.col("histogram").alias("macd_histogram"),
     )
 
 

@@ -1,13 +1,18 @@
 """Technical indicators per (instrument, day).
 
 Input is one row per instrument and session, so a window over an instrument holds at most as many
-rows as there are trading days.  Anything seeded by where its series starts (EMA, RSI, MACD) is folded
-over the last ``HISTORY`` bars of each day, never over the whole past.
+rows as there are trading days.  Anything seeded by where its series starts (EMA, RSI, MACD) looks at the last ``HISTORY`` bars of each
+day, never at the whole past.  All of these are linear in the values (RSI in its gains and losses), so a full window is one sliding dot
+product with fixed weights, for all days of an instrument at once; the first days, whose windows all begin with the series, are its plain
+recurrence.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from knownat.functions.numeric import col
@@ -51,112 +56,96 @@ def band_position(price: Column | str, upper: Column, lower: Column) -> Column:
     return F.when(span == 0, F.lit(0.5)).otherwise((col(price) - lower) / span)
 
 
-def history(value: Column | str, rows: int = HISTORY) -> Column:
-    """The last ``rows`` values, oldest first: the bounded series the folds run over."""
-    return F.collect_list(col(value)).over(frame(rows))
-
+def _smooth(values: np.ndarray, period: int, rate: float) -> np.ndarray:
+    """The recurrence from the start: mean of the first ``period`` values, then steps of ``rate`` towards each; nan before."""
+    out = np.full(len(values), np.nan)
+    if len(values) >= period:
+        state = out[period - 1] = values[:period].mean()
+        for k in range(period, len(values)):
+            state += (values[k] - state) * rate
+            out[k] = state
+    return out
 
-def array_mean(values: Column, count: int) -> Column:
-    return F.aggregate(F.slice(values, 1, count), F.lit(0.0), lambda a, x: a + x) / F.lit(float(count))
 
-
-def ema(values: Column, period: int) -> Column:
-    """Exponential mean seeded with the plain mean of the first ``period`` values of the array."""
-    rate = 2.0 / (period + 1)
-    tail = F.slice(values, F.lit(period + 1), F.greatest(F.size(values) - period, F.lit(0)))
-    folded = F.aggregate(tail, array_mean(values, period), lambda a, x: (x - a) * rate + a)
-    return F.when(F.size(values) >= period, folded)
+def _weights(length: int, period: int, rate: float) -> np.ndarray:
+    """Weights of a window of ``length`` values in the last value of the recurrence over it."""
+    age = np.arange(length)[::-1]
+    seed = np.full(length, (1 - rate) ** max(0, length - period) / period)
+    return np.where(np.arange(length) < period, seed, rate * (1 - rate) ** age)
 
 
-def _wilder(moves: Column, period: int, up: bool) -> Column:
-    """Wilder's mean of the gains (or losses) in an array of moves."""
-    n = float(period)
+def _windows(values: np.ndarray, length: int, start: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Growing windows by their recurrence ``start``, then windows of ``length`` values by their weights."""
+    out = np.full(len(values), np.nan)
+    out[: length - 1] = start[: length - 1]
+    if len(values) >= length:
+        out[length - 1 :] = np.correlate(values, weights, "valid")
+    return out
 
-    def part(x: Column) -> Column:
-        return F.greatest(x if up else -x, F.lit(0.0))
 
-    seed = F.aggregate(F.slice(moves, 1, period), F.lit(0.0), lambda a, x: a + part(x)) / n
-    tail = F.slice(moves, F.lit(period + 1), F.greatest(F.size(moves) - period, F.lit(0)))
-    return F.aggregate(tail, seed, lambda a, x: (a * (n - 1) + part(x)) / n)
+def ema(values: np.ndarray, period: int, rows: int = HISTORY) -> np.ndarray:
+    """Exponential mean over the last ``rows`` values of each place, seeded with the plain mean of the first ``period`` of them."""
+    rate = 2.0 / (period + 1)
+    return _windows(values, rows, _smooth(values[: rows - 1], period, rate), _weights(rows, period, rate))
 
 
-def rsi(values: Column, period: int = 14) -> Column:
+def rsi(values: np.ndarray, period: int = 14, rows: int = HISTORY) -> np.ndarray:
     """Wilder's index: smoothed gains against smoothed losses; 100 without a loss, 50 without any move."""
-    size = F.size(values)
-    later = F.slice(values, F.lit(2), F.greatest(size - 1, F.lit(0)))
-    earlier = F.slice(values, F.lit(1), F.greatest(size - 1, F.lit(0)))
-    moves = F.zip_with(later, earlier, lambda b, a: b - a)
-
-    def index(s: Column) -> Column:
-        flat = F.when(s["up"] > 0, F.lit(100.0)).otherwise(F.lit(50.0))
-        return F.when(s["down"] == 0, flat).otherwise(100.0 - 100.0 / (1.0 + F.try_divide(s["up"], s["down"])))
-
-    # one-element transforms bind the moves and both means, so each is evaluated once
-    means = F.transform(F.array(moves), lambda m: F.struct(_wilder(m, period, True).alias("up"), _wilder(m, period, False).alias("down")))
-    return F.when(size >= period + 1, F.element_at(F.transform(means, index), 1))
-
-
-def _macd_weights(length: int, fast: int, slow: int, signal: int) -> tuple[list[float], list[float]]:
-    """Weights that give the MACD and signal lines of a series of exactly ``length`` values.
-
-    Both lines are linear in the values, so running the recurrence once over the identity matrix yields them.
-    """
-    unit = np.eye(length)
-
-    def smooth(rows: np.ndarray, period: int) -> np.ndarray:
-        out = [rows[:period].mean(axis=0)]
-        for x in rows[period:]:
-            out.append((x - out[-1]) * (2.0 / (period + 1)) + out[-1])
-        return np.array(out)
-
-    line = smooth(unit, fast)[slow - fast:] - smooth(unit, slow)
-    return line[-1].tolist(), smooth(line, signal)[-1].tolist()
-
-
-def macd(values: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Column:
-    """Struct ``(macd, signal, histogram)``, null under ``slow + signal`` values.
-
-    One pass keeps both means; the signal line is seeded with the mean of the first ``signal``
-    differences, which gives the same figures as recomputing every prefix.  Each step folds in the
-    difference its predecessor left, so no expression of a step is evaluated twice.
+    out = np.full(len(values), np.nan)
+    moves, rate = np.diff(values), 1.0 / period
+    if len(moves) < period:
+        return out
+    up, down = (_windows(part, rows - 1, _smooth(part[: rows - 2], period, rate), _weights(rows - 1, period, rate)) for part in (np.maximum(moves, 0), np.maximum(-moves, 0)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        index = np.where(down == 0, np.where(up > 0, 100.0, 50.0), 100.0 - 100.0 / (1.0 + up / down))
+    out[1:] = np.where(np.isnan(up), np.nan, index)
+    return out
+
+
+def macd(values: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9, rows: int = HISTORY) -> tuple[np.ndarray, np.ndarray]:
+    """MACD and signal lines, nan under ``slow + signal`` values; the signal is seeded with the mean of the window's first ``signal`` differences."""
+    line = ema(values, fast, rows) - ema(values, slow, rows)
+    head = values[: rows - 1]
+    start = _smooth(head, fast, 2.0 / (fast + 1)) - _smooth(head, slow, 2.0 / (slow + 1))
+    begun = np.full(len(head), np.nan)
+    begun[slow - 1 :] = _smooth(start[slow - 1 :], signal, 2.0 / (signal + 1))
+    # the signal of a full window: its differences' weights, each spread over the values that difference is made of
+    weights = np.zeros(rows)
+    for k, w in enumerate(_weights(rows - slow + 1, signal, 2.0 / (signal + 1))):
+        size = slow + k
+        weights[:size] += w * (_weights(size, fast, 2.0 / (fast + 1)) - _weights(size, slow, 2.0 / (slow + 1)))
+    lines = line, _windows(values, rows, begun, weights)
+    for each in lines:
+        each[: slow + signal - 1] = np.nan
+    return lines
+
+
+#: Columns that :func:`recursive` can add, each from the float values of an instrument in order.
+RECURSIVE = {
+    "ema20": lambda v: ema(v, 20), "rsi": rsi, "macd": lambda v: macd(v)[0], "signal": lambda v: macd(v)[1],
+    "histogram": lambda v: np.subtract(*macd(v)),
+}
+
+
+def recursive(bars: DataFrame, names: Sequence[str], value: str = "close", key: str = "instrument_id", order: str = "day") -> DataFrame:
+    """Adds the named indicators of ``RECURSIVE``: one grouped Arrow pass over an instrument's days, all other columns kept.
+
+    Rows without a value are left out of the series and get null.  A group is one instrument's sessions, a few thousand rows however many
+    ticks they come from; windows over the same key before this need no further shuffle.
     """
-    a_fast, a_slow, a_signal = (2.0 / (n + 1) for n in (fast, slow, signal))
-    head = F.slice(values, 1, slow)
-    tail = F.slice(values, F.lit(slow + 1), F.greatest(F.size(values) - slow, F.lit(0)))
-    start = F.struct(
-        ema(head, fast).alias("f"), array_mean(head, slow).alias("s"), F.lit(1.0).alias("k"),
-        F.lit(0.0).alias("seed"), F.lit(0.0).alias("sig"),
-    )
-
-    def signal_after(s: Column) -> Column:
-        line = s["f"] - s["s"]
-        return F.when(s["k"] < signal, F.lit(0.0)).when(s["k"] == signal, (s["seed"] + line) / float(signal)).otherwise(
-            (line - s["sig"]) * a_signal + s["sig"]
-        )
-
-    def step(s: Column, x: Column) -> Column:
-        return F.struct(
-            ((x - s["f"]) * a_fast + s["f"]).alias("f"),
-            ((x - s["s"]) * a_slow + s["s"]).alias("s"),
-            (s["k"] + 1.0).alias("k"),
-            (s["seed"] + s["f"] - s["s"]).alias("seed"),
-            signal_after(s).alias("sig"),
-        )
-
-    def finish(s: Column) -> Column:
-        line = s["f"] - s["s"]
-        return F.struct(line.alias("macd"), signal_after(s).alias("signal"), (line - signal_after(s)).alias("histogram"))
-
-    # nearly every day has the full history: there two dot products replace the fold
-    w_line, w_signal = (F.expr("array(" + ", ".join(f"{w!r}D" for w in ws) + ")") for ws in _macd_weights(HISTORY, fast, slow, signal))
-
-    def dot(weights: Column) -> Column:
-        return F.aggregate(F.zip_with(values, weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-
-    pair = F.transform(F.array(F.struct(dot(w_line).alias("l"), dot(w_signal).alias("s"))),
-                       lambda p: F.struct(p["l"].alias("macd"), p["s"].alias("signal"), (p["l"] - p["s"]).alias("histogram")))
-    return F.when(F.size(values) == HISTORY, F.element_at(pair, 1)).when(
-        F.size(values) >= slow + signal, F.aggregate(tail, start, step, finish))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        series = table[value].cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+        held = ~np.isnan(series)
+        for name in names:
+            out = np.full(len(series), np.nan)
+            out[held] = RECURSIVE[name](series[held])
+            table = table.append_column(name, pa.array(out, pa.float64(), mask=np.isnan(out)))
+        return table
+
+    return bars.groupBy(key).applyInArrow(run, f"{kinds}, " + ", ".join(f"`{n}` double" for n in names))
 
 
 def percentile_rank(population: DataFrame, keys: list[str], value: str, *, name: str = "pct_rank") -> DataFrame:

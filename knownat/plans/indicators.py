@@ -29,8 +29,7 @@ cte("hist", f"""SELECT instrument_id, day, close, volume, list(close) OVER {W250
 SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(CASE WHEN len(c) = 20 THEN list_avg(c) WHEN len(c) > 20 THEN
   list_reduce(c[21:], lambda a, x: (x - a) * (2.0 / 21) + a, list_avg(c[1:20])) END, 6) AS ema20 FROM hist""")
 def i2(spark, sf):
-    out = fx.bars(spark, sf).select("instrument_id", "day", ind.history("close").alias("c"))
-    return out.select(*key_day(), rounded(ind.ema(F.col("c"), 20)).alias("ema20"))
+    return ind.recursive(fx.bars(spark, sf).select("instrument_id", "day", "close"), ["ema20"]).select(*key_day(), rounded("ema20").alias("ema20"))
 
 
 cte("moves", """SELECT *, list_transform(range(2, len(c) + 1), lambda i: greatest(c[i] - c[i - 1], 0.0)) AS g,
@@ -42,8 +41,7 @@ cte("rsi", f"""SELECT instrument_id, day, CASE WHEN len(c) >= 15 THEN CASE WHEN
 
 @query("i3_rsi", "rsi", "SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(rsi, 6) AS rsi FROM rsi")
 def i3(spark, sf):
-    out = fx.bars(spark, sf).select("instrument_id", "day", ind.history("close").alias("c"))
-    return out.select(*key_day(), rounded(ind.rsi(F.col("c"))).alias("rsi"))
+    return ind.recursive(fx.bars(spark, sf).select("instrument_id", "day", "close"), ["rsi"]).select(*key_day(), rounded("rsi").alias("rsi"))
 
 
 # the same recurrences as list folds: state [fast, slow, k, line, seed, signal]
@@ -62,8 +60,8 @@ cte("macd", """SELECT instrument_id, day, CASE WHEN len(c) >= 35 THEN s[4] END A
 
 @query("i4_macd", "macd", """SELECT instrument_id, CAST(day AS VARCHAR) AS day, round(macd, 6) AS macd, round(signal, 6) AS signal, round(histogram, 6) AS histogram FROM macd""")
 def i4(spark, sf):
-    out = fx.bars(spark, sf).select("instrument_id", "day", ind.history("close").alias("c")).withColumn("m", ind.macd(F.col("c")))
-    return out.select(*key_day(), rounded("m.macd").alias("macd"), rounded("m.signal").alias("signal"), rounded("m.histogram").alias("histogram"))
+    lines = ["macd", "signal", "histogram"]
+    return ind.recursive(fx.bars(spark, sf).select("instrument_id", "day", "close"), lines).select(*key_day(), *[rounded(c).alias(c) for c in lines])
 
 
 @query("i5_bollinger", "bars", f"""

@@ -2,6 +2,8 @@ import math
 import random
 import statistics
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from knownat.functions import numeric as num
@@ -12,9 +14,10 @@ from knownat.operators import market as mk
 WILDER = [44.34, 44.09, 44.15, 43.61, 44.33, 44.83, 45.10, 45.42, 45.84, 46.08, 45.89, 46.03, 45.61, 46.28, 46.28]
 
 
-def value(spark, values, column):
-    df = spark.createDataFrame([([float(v) for v in values],)], "v array<double>")
-    return df.select(column(F.col("v")).alias("x")).first()["x"]
+def last(function, values):
+    """The newest figure of a series, None where there is none."""
+    out = float(function(np.array(list(values), float))[-1])
+    return None if math.isnan(out) else out
 
 
 def brute_ema(values, n):
@@ -31,28 +34,59 @@ def brute_macd(values):
     return line[-1], brute_ema(line, 9)
 
 
-def test_rsi_matches_the_published_example(spark):
-    assert abs(value(spark, WILDER, ind.rsi) - 70.53) < 0.1
-
-
-def test_rsi_edges(spark):
-    assert value(spark, range(1, 20), ind.rsi) == 100.0
-    assert value(spark, [5.0] * 20, ind.rsi) == 50.0
-    assert value(spark, range(14), ind.rsi) is None
-
-
-def test_ema_and_macd_equal_growing_prefixes(spark):
-    rng = random.Random(7)
-    for n in (35, 60, 249, 250):
-        walk = [100.0]
-        for _ in range(n - 1):
-            walk.append(walk[-1] * (1 + rng.gauss(0, 0.02)))
-        line, signal = brute_macd(walk)
-        got = value(spark, walk, ind.macd)
-        assert math.isclose(got["macd"], line, abs_tol=1e-9)
-        assert math.isclose(got["signal"], signal, abs_tol=1e-9)
-        assert math.isclose(value(spark, walk, lambda v: ind.ema(v, 20)), brute_ema(walk, 20), rel_tol=1e-12)
-    assert value(spark, range(34), ind.macd) is None
+def brute_rsi(values, n=14):
+    moves = [b - a for a, b in zip(values, values[1:])]
+    if len(moves) < n:
+        return None
+    up, down = (sum(max(s * m, 0) for m in moves[:n]) / n for s in (1, -1))
+    for m in moves[n:]:
+        up, down = (up * (n - 1) + max(m, 0)) / n, (down * (n - 1) + max(-m, 0)) / n
+    return (100.0 if up > 0 else 50.0) if down == 0 else 100 - 100 / (1 + up / down)
+
+
+def walk(n, seed=7):
+    rng, out = random.Random(seed), [100.0]
+    while len(out) < n:
+        out.append(out[-1] * (1 + rng.gauss(0, 0.02)))
+    return out
+
+
+def test_rsi_matches_the_published_example():
+    assert abs(last(ind.rsi, WILDER) - 70.53) < 0.1
+
+
+def test_rsi_edges():
+    assert last(ind.rsi, range(1, 20)) == 100.0 and last(ind.rsi, range(1, 400)) == 100.0
+    assert last(ind.rsi, [5.0] * 20) == 50.0 and last(ind.rsi, [5.0] * 400) == 50.0
+    assert last(ind.rsi, range(14)) is None
+
+
+def test_every_window_equals_its_own_recurrence():
+    values = walk(330)
+    series = np.array(values)
+    line, signal = ind.macd(series)
+    ema, rsi = ind.ema(series, 20), ind.rsi(series)
+    for k in [*range(1, 60), *range(245, 256), 300, 330]:
+        window = values[max(0, k - 250) : k]
+        for got, want in ((ema, brute_ema(window, 20)), (rsi, brute_rsi(window))):
+            assert math.isnan(got[k - 1]) if want is None else math.isclose(got[k - 1], want, rel_tol=1e-9)
+        if k >= 35:
+            want_line, want_signal = brute_macd(window)
+            assert math.isclose(line[k - 1], want_line, abs_tol=1e-9) and math.isclose(signal[k - 1], want_signal, abs_tol=1e-9)
+        else:
+            assert math.isnan(line[k - 1]) and math.isnan(signal[k - 1])
+
+
+def test_recursive_columns_per_instrument(spark):
+    rows = [(i, d, v, "x") for i, seed in ((1, 3), (2, 4)) for d, v in enumerate(walk(300, seed))] + [(1, 1000, None, "x"), (3, 0, 5.0, None)]
+    df = spark.createDataFrame(rows, "instrument_id long, day int, close double, other string").repartition(7)
+    got = {(r.instrument_id, r.day): r for r in ind.recursive(df, ["ema20", "histogram"]).collect()}
+    assert len(got) == len(rows) and got[3, 0].ema20 is None and got[1, 1000].histogram is None and got[1, 0].other == "x"
+    for i, seed in ((1, 3), (2, 4)):
+        line, signal = brute_macd(walk(300, seed)[-250:])
+        assert math.isclose(got[i, 299].histogram, line - signal, abs_tol=1e-9)
+        assert math.isclose(got[i, 299].ema20, brute_ema(walk(300, seed)[-250:], 20), rel_tol=1e-9)
+    assert ind.recursive(df.limit(0), ["rsi"]).collect() == []
 
 
 def test_short_windows_are_null_and_flat_ones_are_zero(spark):

@@ -101,6 +101,35 @@ def test_clusters_anchor_on_their_first_reading(spark):
         assert r["anchors"] == [int((t - datetime(1970, 1, 1)).total_seconds()) for t in want]
 
 
+def test_clusters_of_a_key_with_every_second(spark):
+    # 20 days of every second, in bounded bitmaps: a start a day and a second, and the same from nowhere near the epoch
+    for first in (0, -86400 * 400, 1_700_000_000):
+        df = spark.range(first, first + 20 * 86400).select(F.lit("k").alias("k"), F.col("id").alias("_t"))
+        got = nw.cluster_anchors(df.union(df.limit(1000)), ["k"]).collect()
+        assert [r["anchors"] for r in got] == [[first + i * 86401 for i in range(20)]]
+    assert nw.cluster_anchors(df.limit(0), ["k"]).collect() == []
+
+
+def test_merged_intervals_of_a_hot_key(spark):
+    rng = random.Random(12)
+    rows = [(1 if rng.random() < 0.6 else rng.randrange(2, 5), T0 + timedelta(minutes=rng.randrange(40000)), rng.choice([0, 5, 60, 600, 4000])) for _ in range(900)]
+    rows += [(9, T0 + timedelta(days=d), 1440) for d in (0, 1, 2, 5)] + [(9, T0 + timedelta(days=8), 0), (9, T0 + timedelta(days=9, hours=1), -5)]
+    spans = [(i, a, a + timedelta(minutes=m)) for i, a, m in rows]
+    df = spark.createDataFrame(spans, "instrument_id long, lo timestamp, hi timestamp")
+    want = set()
+    for key in {i for i, *_ in spans}:
+        merged = []
+        for a, b in sorted((a, b) for i, a, b in spans if i == key and b >= a):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        want |= {(key, a, b) for a, b in merged}
+    got = [tuple(r) for r in nw.merged_intervals(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert nw.merged_intervals(df.limit(0)).collect() == []
+
+
 def brute_union(intervals, lo, hi):
     total, reach = 0.0, None
     for a, b in sorted((max(a, lo), min(b, hi)) for a, b in intervals if b > lo and a < hi):
