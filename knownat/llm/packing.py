@@ -7,6 +7,7 @@ room, which a tournament tree of bin capacities finds in logarithmic time.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ END = 1
 END_BYTES = END.to_bytes(4, "little")
 #: Pieces expected in a group.
 GROUP = 4096
-#: Chunks whose ids a task remembers.
+#: Chunks whose ids a Python worker remembers, over all its tasks.
 REMEMBERED = 300_000
 _CHUNK = regex.compile(public_tokenizers.PATTERN)
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -66,37 +67,49 @@ def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def _encoder(vocabulary: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Coder:
+    """A vocabulary and the ids of chunks met lately.
 
-    coder = Tokenizer.from_file(vocabulary)
-    coder.encode_special_tokens = True  # their strings in a text are ordinary text
-    return coder
+    The vocabulary merges inside the chunks of its own pre-tokenizer only, so each different chunk is encoded once.  Chunks are remembered in
+    two generations: when the younger is full it becomes the older, and what is not met again before the next time is forgotten.
+    """
 
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-def token_ids(coder, texts: list[str | None], known: dict[str, bytes]) -> Iterator[np.ndarray]:
-    """Ids of each text and the end id.
+        self.coder = Tokenizer.from_file(vocabulary)
+        self.coder.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.most, self.young, self.old = remembered // 2, {}, {}
 
-    The vocabulary merges inside the chunks of its own pre-tokenizer only, so each different chunk is encoded once and remembered in ``known``.
-    """
-    cut = [_CHUNK.findall(t or "") for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    fresh = list(set().union(*cut).difference(known))
-    known.update(zip(fresh, (np.array(one.ids, "<u4").tobytes() for one in coder.encode_batch_fast(fresh, add_special_tokens=False))))
-    for chunks in cut:
-        yield np.frombuffer(b"".join([*map(known.__getitem__, chunks), END_BYTES]), "<u4")
+    def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text and the end id."""
+        cut = [_CHUNK.findall(t or "") for t in texts]
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        wanted = set().union(*cut).difference(self.young)
+        met = wanted.intersection(self.old)
+        self.young.update((c, self.old[c]) for c in met)
+        fresh = list(wanted - met)
+        self.young.update(zip(fresh, (np.array(one.ids, "<u4").tobytes() for one in self.coder.encode_batch_fast(fresh, add_special_tokens=False))))
+        for chunks in cut:
+            yield np.frombuffer(b"".join([*map(self.young.__getitem__, chunks), END_BYTES]), "<u4")
+
+
+@functools.cache
+def worker_coder(vocabulary: str) -> Coder:
+    """The coder of this Python worker, which serves many tasks."""
+    return Coder(vocabulary)
 
 
 def _pieces(vocabulary: str, length: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, known = _encoder(vocabulary), {}
+        coder = worker_coder(vocabulary)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
         for batch in batches:
             for part in slices(batch, "text"):
                 columns: list[list] = [[] for _ in names]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), token_ids(coder, part.column("text").to_pylist(), known)):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), coder.ids(part.column("text").to_pylist())):
                     for start in range(0, len(ids), length):
                         piece = ids[start : start + length]
                         row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), *((piece.astype(np.int64),) if with_ids else ()))

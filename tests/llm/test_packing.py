@@ -6,7 +6,8 @@ import public_tokenizers
 from cases import ODD, documents, frame
 from tokenizers import Tokenizer
 
-from knownat.llm.packing import Tournament, first_fit_decreasing, packed, sequences
+from knownat.llm.packing import Coder, Tournament, first_fit_decreasing, packed, sequences
+from knownat.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -52,3 +53,19 @@ def test_sequences(spark):
 
 def test_empty(spark):
     assert packed(frame(spark, []), PATH).collect() == []
+
+
+def test_forgotten_chunks_are_encoded_again():
+    texts = [t for _, t in documents()[:40]]
+    few, many = Coder(PATH, 60), Coder(PATH)
+    want = [ids.tolist() for ids in many.ids(texts)]
+    for _ in range(2):
+        assert [ids.tolist() for t in texts for ids in few.ids([t])] == want
+    assert len(few.old) < len(many.young)
+
+
+def test_registered_query_on_odd_rows(spark, tmp_path):
+    frame(spark, ODD).selectExpr("doc_id", "text", "1 as start", "'x' as sequence_id").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_packing"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in got if r.doc_id in (900001, 900002)} == {(900001, 1), (900002, 1)}
+    assert sum(r.length for r in got if r.doc_id == 900006) == next(r.doc_tokens for r in got if r.doc_id == 900006)
