@@ -40,6 +40,18 @@ def t1b(spark, sf):
     return bar_out(live.bars(ticks(spark, sf), "1 second"))
 
 
+@query("t3_saved_bars", "tick", bar_sql("second"))
+def t3(spark, sf):
+    """Second bars saved batch by batch: ticks come in seven batches out of order, and what was saved before folds with what comes."""
+    rows = ticks(spark, sf)
+    saved = None
+    for k in range(7):
+        batch = live.partial_bars(rows.where(F.col("arrival") * 31 % 7 == k), "1 second")
+        saved = batch if saved is None else saved.unionByName(batch)
+        saved = live.folded(saved) if k == 3 else saved  # a compaction on the way
+    return bar_out(live.folded(saved))
+
+
 @query("t2_frame_parse", "", """
 SELECT user_id % 20 AS code, strftime(ts, '%H%M%S') AS at, value AS price, CAST(1 + event_id % 50 AS BIGINT) AS volume FROM events WHERE event_id % 13 <> 0""")
 def t2(spark, sf):

@@ -1,13 +1,12 @@
 """The live stream: trade frames to 1-minute and 1-second bars.
 
-Open and close follow arrival, so a late tick updates its own bar.  The one-day watermark only bounds
-state; it never drops a tick of the running day.
+Open and close follow arrival, so a late tick updates its own bar, however late it is.  A batch of ticks is folded to partial bars that
+remember when their first and last tick arrived; partial bars of any number of batches fold to the bar.  The stream therefore keeps no state
+and needs no watermark: nothing is too late, and nothing has to be held for what may still come.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 TRADE = "H0STCNT0"
 WIDTH = 46
 CODE, TIME, PRICE, CHANGE, VOLUME, DAY_VOLUME = 0, 1, 2, 5, 12, 13
-WATERMARK = "1 day"
 
 
 def parse_frames(frames: DataFrame, raw: str = "raw") -> DataFrame:
@@ -51,44 +49,94 @@ def parse_frames(frames: DataFrame, raw: str = "raw") -> DataFrame:
     return out.where(good)
 
 
-def bars(ticks: DataFrame, width: str) -> DataFrame:
-    """OHLCV per (code, window) with open/close by ``arrival``; the same plan for batch and stream."""
+def partial_bars(ticks: DataFrame, width: str) -> DataFrame:
+    """What a batch of ticks knows of each (code, window): OHLCV, ticks, and the arrival of the first and last of them."""
     grouped = ticks.groupBy("code", F.window("ts", width).alias("_w"))
     return grouped.agg(
         F.min_by("price", "arrival").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "arrival").alias("close"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("ticks"),
-    ).select("code", F.col("_w.start").alias("start"), "open", "high", "low", "close", "volume", "ticks")
+        F.min("arrival").alias("opened_by"), F.max("arrival").alias("closed_by"),
+    ).select("code", F.col("_w.start").alias("start"), *_BAR, "opened_by", "closed_by")
 
 
-def stream_bars(ticks: DataFrame, width: str) -> DataFrame:
-    return bars(ticks.withWatermark("ts", WATERMARK), width)
+_BAR = ("open", "high", "low", "close", "volume", "ticks")
 
 
-def upsert(spark: SparkSession, path: str, keys: Sequence[str], arrival: str = "_batch") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink: every batch appends its changed bars under its own batch folder.
+def folded(partials: DataFrame) -> DataFrame:
+    """Partial bars of any batches to one per (code, start); folding is associative, so folded ones can be folded again."""
+    return partials.groupBy("code", "start").agg(
+        F.min_by("open", "opened_by").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "closed_by").alias("close"),
+        F.sum("volume").alias("volume"), F.sum("ticks").alias("ticks"), F.min("opened_by").alias("opened_by"), F.max("closed_by").alias("closed_by"))
 
-    Re-running a batch overwrites the same folder, so a replay after a lost executor writes nothing twice.
-    """
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{arrival}={epoch}")
 
-    return write
+def bars(ticks: DataFrame, width: str) -> DataFrame:
+    """OHLCV per (code, window) of a table of ticks, with open and close by ``arrival``."""
+    return partial_bars(ticks, width).select("code", "start", *_BAR)
 
 
-def current(spark: SparkSession, path: str, keys: Sequence[str], arrival: str = "_batch") -> DataFrame:
-    """The table an upsert sink wrote: newest batch per key."""
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, arrival)]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(arrival)).alias("_r")).select(*keys, "_r.*")
+class BarStore:
+    """Where a stream's partial bars lie: a folder per batch, and base folders that hold the fold of all batches up to one.
 
+    Writing a batch or a base again replaces its folder, so a replay after a lost executor or driver adds nothing twice.  A base counts once its
+    ``_SUCCESS`` marker is there; a half-written one is never read.  Batches are only removed once a base that holds them is complete.
+    """
 
-def start_bars(ticks: DataFrame, width: str, path: str, checkpoint: str, *, available_now: bool = False) -> StreamingQuery:
-    """Start the tick-to-bar job; offsets and state live in ``checkpoint``, so a restart resumes."""
-    spark = ticks.sparkSession
-    writer = (
-        stream_bars(ticks, width).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .foreachBatch(upsert(spark, path, ["code", "start"]))
-    )
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        context = spark.sparkContext
+        self._jvm = context._jvm
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(context._jsc.hadoopConfiguration())
+
+    def write(self, ticks: DataFrame, batch: int, width: str) -> None:
+        partial_bars(ticks, width).write.mode("overwrite").parquet(f"{self.path}/batch={batch:012d}")
+
+    def _numbers(self, kind: str) -> list[int]:
+        """Complete folders of a kind, in order."""
+        top = self._jvm.org.apache.hadoop.fs.Path(self.path)
+        names = [f.getPath().getName() for f in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        found = [n for n in names if n.startswith(f"{kind}=")]
+        return sorted(int(n.split("=")[1]) for n in found if self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+
+    def folders(self) -> list[str]:
+        """What makes up the table now: the newest base and the batches after it."""
+        bases = self._numbers("base")[-1:]
+        return [f"{self.path}/base={b:012d}" for b in bases] + [f"{self.path}/batch={b:012d}" for b in self._numbers("batch") if b > max(bases, default=-1)]
+
+    def partials(self) -> DataFrame | None:
+        parts = self.folders()
+        return self.spark.read.parquet(*parts) if parts else None
+
+    def current(self) -> DataFrame | None:
+        """The bars, every tick in its own; None before the first batch."""
+        rows = self.partials()
+        return None if rows is None else folded(rows).select("code", "start", *_BAR)
+
+    def compact(self) -> None:
+        """Folds everything into one base; then removes the batches and bases it holds."""
+        batches, parts = self._numbers("batch"), self.partials()
+        if parts is None or not batches:
+            return
+        folded(parts).write.mode("overwrite").parquet(f"{self.path}/base={batches[-1]:012d}")
+        for kind, upto in (("batch", batches[-1]), ("base", batches[-1] - 1)):
+            for n in self._numbers(kind):
+                if n <= upto:
+                    self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}={n:012d}"), True)
+
+
+#: Batches after which a running stream folds its store.
+COMPACT_EVERY = 60
+
+
+def start_bars(ticks: DataFrame, width: str, path: str, checkpoint: str, *, available_now: bool = False, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Start the tick-to-bar job; offsets live in ``checkpoint``, so a restart resumes with the batch that was not finished."""
+    store = BarStore(ticks.sparkSession, path)
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        store.write(batch, epoch, width)
+        if epoch and epoch % compact_every == 0:
+            store.compact()
+
+    writer = ticks.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(save)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="60 seconds")
     return writer.start()
 
