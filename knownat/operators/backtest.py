@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from knownat.functions.scale import exact_quantile
 from knownat.operators import indicators as ind
 from knownat.operators.calendar import session_grid
+from knownat.session import cut_lineage
+from knownat.sources.store import StoredTable
 
 HORIZONS = (1, 5, 20)
 TRADING_DAYS, MIN_OBSERVATIONS = 252, 20
@@ -302,3 +305,59 @@ def storable_windows(existing: DataFrame, incoming: DataFrame, runs: DataFrame,
     is_holdout = F.col("sample") == "HOLDOUT"
     refused = F.when(is_holdout & F.col("_had").isNotNull(), "hold-out already used").when(is_holdout & ~same, "hold-out of another experiment")
     return joined.withColumn("refused", refused).drop("_had", *[f"_{c}" for c in coordinates])
+
+
+class RunStore:
+    """Stored backtest runs and their windows.
+
+    A run is known by its id and keeps every coordinate it was made with.  Windows are appended once; a hold-out is appended only by the
+    experiment that made the run, and only one a run.  Saving the same again adds nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, coordinates: Sequence[str]):
+        self.coordinates = list(coordinates)
+        self.runs = StoredTable(spark, f"{path}/runs", ["run_id"])
+        self.windows = StoredTable(spark, f"{path}/windows", ["run_id", "window_index", "sample"])
+
+    def save_runs(self, runs: DataFrame) -> int | None:
+        return self.runs.insert_new(runs)
+
+    def save_windows(self, windows: DataFrame) -> DataFrame:
+        """Appends what may be stored; returns the refused windows of known runs with the reason.
+
+        ``windows``: run_id, window_index, sample, the coordinates they were made with, and measures.  Of several hold-outs of a run that come
+        together, the one of the smallest index counts.
+        """
+        held = self.windows.read()
+        key = ["run_id", "window_index", "sample"]
+        existing = windows.limit(0) if held is None else held
+        known = existing.select(*[F.col(k).alias(f"_{k}") for k in key])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+        fresh = windows.join(known, same, "left_anti")
+        checked = storable_windows(existing, fresh, self.runs.read(), self.coordinates)
+        first = W.partitionBy("run_id", "sample", F.col("refused").isNull()).orderBy("window_index")
+        again = (F.col("sample") == "HOLDOUT") & F.col("refused").isNull() & (F.row_number().over(first) > 1)
+        checked = cut_lineage(checked.withColumn("refused", F.when(again, "hold-out already used").otherwise(F.col("refused"))))
+        self.windows.insert_new(checked.where("refused IS NULL").drop("refused"))
+        return checked.where("refused IS NOT NULL")
+
+    def list_runs(self) -> DataFrame:
+        """Every stored run with its coordinates, its number of windows and hold-outs; runs without a window too."""
+        held = self.windows.read()
+        runs = self.runs.read()
+        if held is None:
+            return runs.withColumns({"windows": F.lit(0).cast("long"), "holdouts": F.lit(0).cast("long")})
+        counts = held.groupBy("run_id").agg(F.count(F.lit(1)).alias("windows"), F.count(F.when(F.col("sample") == "HOLDOUT", 1)).alias("holdouts"))
+        return runs.join(counts, "run_id", "left").fillna(0, ["windows", "holdouts"])
+
+
+def candidate_bands(measured: DataFrame, *, band: int = 10) -> DataFrame:
+    """Outcomes of listed candidates by rank band and horizon: names, days, mean, hit rate, and the mean excess over the day's whole list.
+
+    ``measured``: day, rank, horizon, return_pct.  A row a candidate of a day's list and horizon; ranks from 1.
+    """
+    base = measured.groupBy("horizon", "day").agg(F.avg("return_pct").alias("_base"))
+    rows = measured.join(base, ["horizon", "day"]).withColumn("band", (F.floor((F.col("rank") - 1) / band) * band + 1).cast("long"))
+    return rows.groupBy("horizon", "band").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("day").alias("days"), F.avg("return_pct").alias("mean"),
+        F.avg((F.col("return_pct") > 0).cast("double")).alias("hit_rate"), F.avg(F.col("return_pct") - F.col("_base")).alias("mean_excess"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W, functions as F
 
 from knownat.functions.numeric import day_text, key_day, rounded, stamp_text
@@ -14,7 +16,8 @@ from knownat.plans.calendar import instants
 from knownat.plans.factors import technical
 from knownat.plans.indicators import W20, W60
 from knownat.plans.registry import cte, query
-from knownat.session import cut_lineage
+from knownat.session import cut_lineage, shared_folder
+from knownat.sources.store import StoredTable
 
 FMT = "'%Y-%m-%d %H:%M:%S'"
 NOW = "1999-12-31 23:00:00"
@@ -51,6 +54,36 @@ def w2(spark, sf):
     return bt.open_signals(fsignals(spark, sf), measured(spark, sf), F.lit(NOW).cast("timestamp")).select("signal_id", "measured")
 
 
+@query("w2_inserted_outcomes", "outcome", "SELECT signal_id, CAST(horizon AS BIGINT) AS horizon, CAST(exit_day AS VARCHAR) AS exit_day, round(return_pct, 6) AS return_pct FROM outcome")
+def w2b(spark, sf):
+    """Outcomes stored as they become measurable: sending known ones again adds nothing."""
+    rows = measured(spark, sf).select("signal_id", F.col("horizon").cast("long").alias("horizon"), "exit_day", "return_pct")
+    store = StoredTable(spark, new_folder(spark, "outcomes"), ["signal_id", "horizon"])
+    store.insert_new(rows.where("horizon = 1"))
+    store.insert_new(rows)
+    if store.insert_new(rows) is not None:
+        raise AssertionError("known outcomes were stored twice")
+    return store.read().select("signal_id", "horizon", day_text("exit_day").alias("exit_day"), rounded("return_pct").alias("return_pct"))
+
+
+def new_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("w5_candidate_bands", "outcome, fsig", """
+WITH r AS (SELECT signal_id, row_number() OVER (PARTITION BY entry_day ORDER BY (instrument_id * 31 + signal_id) % 4, instrument_id) AS rank FROM fsig),
+ m AS (SELECT o.*, (r.rank - 1) // 3 * 3 + 1 AS band, return_pct - avg(return_pct) OVER (PARTITION BY horizon, entry_day) AS over_list FROM outcome o JOIN r USING (signal_id))
+SELECT CAST(horizon AS BIGINT) AS horizon, CAST(band AS BIGINT) AS band, count(*) AS n, count(DISTINCT entry_day) AS days, round(avg(return_pct), 6) AS mean, round(avg(CASE WHEN return_pct > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate,
+  round(avg(over_list), 6) AS mean_excess FROM m GROUP BY 1, 2""")
+def w5b(spark, sf):
+    """Candidates of a day's list by rank band."""
+    place = F.row_number().over(W.partitionBy("entry_day").orderBy((F.col("instrument_id") * 31 + F.col("signal_id")) % 4, "instrument_id"))
+    ranks = fsignals(spark, sf).select("signal_id", place.alias("rank"))
+    rows = measured(spark, sf).join(ranks, "signal_id").withColumn("day", F.col("entry_day"))
+    out = bt.candidate_bands(rows, band=3)
+    return out.select(F.col("horizon").cast("long").alias("horizon"), "band", "n", "days", *[rounded(c).alias(c) for c in ("mean", "hit_rate", "mean_excess")])
+
+
 @query("w3_first_signals", "fsig", """
 SELECT min(signal_id) AS signal_id FROM (SELECT *, decision_at + to_hours(CAST(signal_id % 30 AS INTEGER)) AS ingested_at, CAST(entry_day AS TIMESTAMP) AS entry_at FROM fsig UNION ALL SELECT * REPLACE (signal_id + 50000 AS signal_id), decision_at, CAST(entry_day AS TIMESTAMP) FROM fsig)
 WHERE version = 'v1' AND ingested_at <= entry_at GROUP BY instrument_id, decision_at""")
@@ -281,3 +314,21 @@ def k11(spark, sf):
     runs = rows.select("run_id").distinct().withColumns({"strategy": F.lit("ma"), "holdout_start": F.lit(None).cast("date")})
     old, new = rows.where("o_orderpriority = '1-URGENT'"), rows.where("o_orderpriority <> '1-URGENT'")
     return bt.storable_windows(old, new, runs, ["strategy", "holdout_start"]).select("window_id", "refused")
+
+
+@query("k11_stored_runs", "", """
+SELECT o_custkey AS run_id, 'ma' AS strategy, count(*) FILTER (o_orderstatus <> 'F') + max(CASE WHEN o_orderstatus = 'F' AND o_custkey % 7 <> 3 THEN 1 ELSE 0 END) AS windows,
+  CAST(max(CASE WHEN o_orderstatus = 'F' AND o_custkey % 7 <> 3 THEN 1 ELSE 0 END) AS BIGINT) AS holdouts FROM orders GROUP BY 1""")
+def k11b(spark, sf):
+    """Runs and windows stored in three sendings, the last a repetition, and listed: one hold-out a run, none of another experiment."""
+    from knownat.sources.tables import load
+    rows = load(spark, sf, "orders").select(
+        F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("window_index"), F.when(F.col("o_orderstatus") == "F", "HOLDOUT").otherwise("EVALUATE").alias("sample"),
+        F.when(F.col("o_custkey") % 7 == 3, "other").otherwise("ma").alias("strategy"), F.col("o_totalprice").alias("total_return"), F.col("o_orderpriority").alias("priority"))
+    store = bt.RunStore(spark, new_folder(spark, "runs"), ["strategy"])
+    runs = rows.select("run_id").distinct().withColumn("strategy", F.lit("ma"))
+    for _ in range(2):
+        store.save_runs(runs)
+    for part in ("priority = '1-URGENT'", "priority <> '1-URGENT'", "priority <> '1-URGENT'"):
+        store.save_windows(rows.where(part).drop("priority"))
+    return store.list_runs().select("run_id", "strategy", "windows", "holdouts")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from knownat.functions.numeric import day_text, rounded, stamp_text
@@ -12,8 +14,9 @@ from knownat.plans import fixtures as fx
 from knownat.plans.pit import ASOF, TIES
 from knownat.plans.registry import cte, query
 from knownat.plans.rules import pathed, reaction_sql, RX
-from knownat.session import cut_lineage
+from knownat.session import cut_lineage, shared_folder
 from knownat.sources import ingest as ing
+from knownat.sources.store import BuiltTable
 from knownat.sources.tables import load
 
 FMT = "'%Y-%m-%d %H:%M:%S'"
@@ -276,6 +279,16 @@ def s26(spark, sf):
     return out
 
 
+@query("s26_stored_reference", "pathed", f"SELECT 'detail' AS scope, detail AS key, * EXCLUDE (detail) FROM ({reaction_sql('detail')}) UNION ALL SELECT 'group', kind, * EXCLUDE (kind) FROM ({reaction_sql('kind')})")
+def s26b(spark, sf):
+    """The reaction tables built once, under the newest day they were made from, and read back; building them again does nothing."""
+    store = BuiltTable(spark, f"{shared_folder(spark)}/reference-{uuid.uuid4().hex}")
+    day = int(pathed(spark, sf).agg(F.date_format(F.max("day"), "yyyyMMdd").cast("long")).first()[0])
+    if not store.build(day, lambda: s26(spark, sf)) or store.build(day, lambda: s26(spark, sf)):
+        raise AssertionError("the reference was built twice")
+    return store.newest()
+
+
 @query("s27_disclosures", "sess", f"""
 SELECT o_orderkey AS id, o_custkey % 10 AS instrument_id, strftime(n.open_at, {FMT}) AS available_at FROM (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_custkey % 10 < 7 AND o_orderkey % 9 <> 0 AND CAST(o_orderdate AS DATE) >= (SELECT min(day) FROM sess)) o ASOF JOIN sess n ON o.d < n.day""")
 def s27(spark, sf):

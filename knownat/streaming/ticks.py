@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from knownat.sources.store import Folders
+
 # The wire format of one trade record.
 TRADE = "H0STCNT0"
 WIDTH = 46
@@ -82,29 +84,19 @@ class BarStore:
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        context = spark.sparkContext
-        self._jvm = context._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(context._jsc.hadoopConfiguration())
+        self.folders = Folders(spark, path)
 
     def write(self, ticks: DataFrame, batch: int, width: str) -> None:
-        partial_bars(ticks, width).write.mode("overwrite").parquet(f"{self.path}/batch={batch:012d}")
-
-    def _numbers(self, kind: str) -> list[int]:
-        """Complete folders of a kind, in order."""
-        top = self._jvm.org.apache.hadoop.fs.Path(self.path)
-        names = [f.getPath().getName() for f in self._fs.listStatus(top)] if self._fs.exists(top) else []
-        found = [n for n in names if n.startswith(f"{kind}=")]
-        return sorted(int(n.split("=")[1]) for n in found if self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+        self.folders.write(partial_bars(ticks, width), "batch", batch)
 
-    def folders(self) -> list[str]:
+    def parts(self) -> list[tuple[str, int]]:
         """What makes up the table now: the newest base and the batches after it."""
-        bases = self._numbers("base")[-1:]
-        return [f"{self.path}/base={b:012d}" for b in bases] + [f"{self.path}/batch={b:012d}" for b in self._numbers("batch") if b > max(bases, default=-1)]
+        bases = self.folders.complete("base")[-1:]
+        return [("base", b) for b in bases] + [("batch", b) for b in self.folders.complete("batch") if b > max(bases, default=-1)]
 
     def partials(self) -> DataFrame | None:
-        parts = self.folders()
-        return self.spark.read.parquet(*parts) if parts else None
+        parts = self.parts()
+        return self.folders.spark.read.parquet(*[self.folders.name(*p) for p in parts]) if parts else None
 
     def current(self) -> DataFrame | None:
         """The bars, every tick in its own; None before the first batch."""
@@ -113,14 +105,14 @@ class BarStore:
 
     def compact(self) -> None:
         """Folds everything into one base; then removes the batches and bases it holds."""
-        batches, parts = self._numbers("batch"), self.partials()
-        if parts is None or not batches:
+        batches, rows = self.folders.complete("batch"), self.partials()
+        if rows is None or not batches:
             return
-        folded(parts).write.mode("overwrite").parquet(f"{self.path}/base={batches[-1]:012d}")
+        self.folders.write(folded(rows), "base", batches[-1])
         for kind, upto in (("batch", batches[-1]), ("base", batches[-1] - 1)):
-            for n in self._numbers(kind):
+            for n in self.folders.complete(kind):
                 if n <= upto:
-                    self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}={n:012d}"), True)
+                    self.folders.remove(kind, n)
 
 
 #: Batches after which a running stream folds its store.
