@@ -125,3 +125,17 @@ def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, share: float =
     return ranked.groupBy(*keys).agg(
         F.try_divide(F.sum(F.col(value) * kept), F.sum(kept)).alias(name), F.max("of").alias("n")
     )
+
+
+def ordered_digest(rows: DataFrame, keys: Sequence[str], place: str, text: Column | str, name: str, *, separator: str = ",") -> DataFrame:
+    """Fingerprint of a group's texts in the order of an integer ``place``, and their number ``n``, without gathering the group.
+
+    Texts are hashed in slices of 65,536 places, the slices' digests in slices of as many slices, and those digests in order.  The slices
+    depend on the places alone, so the value is the same for every partitioning, and no array holds more than a slice of distinct places.
+    """
+    level = rows.select(*keys, F.col(place).cast("long").alias("_p"), (F.col(text) if isinstance(text, str) else text).cast("string").alias("_d"), F.lit(1).cast("long").alias("_n"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_p", "_d"))), lambda x: x["_d"])
+    digest = F.sha2(F.array_join(ordered, separator), 256)
+    for _ in range(2):
+        level = level.groupBy(*keys, F.shiftright("_p", 16).alias("_q")).agg(digest.alias("_d"), F.sum("_n").alias("_n")).withColumnRenamed("_q", "_p")
+    return level.groupBy(*keys).agg(digest.alias(name), F.sum("_n").alias("n"))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from knownat.functions.scale import exact_quantile
+from knownat.functions.scale import exact_quantile, ordered_digest
 from knownat.operators import indicators as ind
 from knownat.operators.calendar import session_grid
 from knownat.session import cut_lineage
@@ -115,10 +115,10 @@ def fingerprint(kind: Column, version: Column, params: Column) -> Column:
 
 
 def trace_fingerprint(choices: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fingerprint of the sequence of chosen definitions, in window order (a run has at most a few hundred)."""
-    rows = F.sort_array(F.collect_list(F.struct("window_index", "chosen_fingerprint")))
-    text = F.array_join(F.transform(rows, lambda r: F.concat(r["window_index"].cast("string"), F.lit(":"), r["chosen_fingerprint"])), ";")
-    return choices.groupBy(*keys).agg(F.substring(F.sha2(text, 256), 1, 16).alias("fit_trace"))
+    """Fingerprint of the sequence of chosen definitions, in window order."""
+    text = F.concat(F.col("window_index").cast("string"), F.lit(":"), F.col("chosen_fingerprint"))
+    out = ordered_digest(choices, keys, "window_index", text, "fit_trace", separator=";")
+    return out.select(*keys, F.substring("fit_trace", 1, 16).alias("fit_trace"))
 
 
 # ------------------------------------------------------------------ windows

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from knownat.functions.scale import ordered_digest
+
 MAX_MEMBERS = 40
 OVERLAY_BAND, SEARCH_SURGE = 1.0, 2.0
 EXCLUDE_JUDGED_BELOW, EXCLUDE_PREV_SURGE_AT = 40.0, 15.0
@@ -77,9 +79,9 @@ def work_list(ranked: DataFrame, keys: Sequence[str], stale: Column, *, cap: int
 
 
 def peer_hash(peers: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Size and fingerprint of the peer set a score was ranked in (a market's tracked names)."""
-    ids = F.sort_array(F.collect_set("instrument_id"))
-    return peers.groupBy(*keys).agg(F.count_distinct("instrument_id").alias("peer_count"), F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), 256).alias("peer_hash"))
+    """Size and fingerprint of the peer set a score was ranked in (a market's tracked names), whatever its size."""
+    once = peers.select(*keys, "instrument_id").distinct()
+    return ordered_digest(once, keys, "instrument_id", "instrument_id", "peer_hash").withColumnRenamed("n", "peer_count")
 
 
 def snapshot(pool: DataFrame, taken: DataFrame, keys: Sequence[str] = ("session_no",)) -> DataFrame:

@@ -15,7 +15,7 @@ from knownat.plans import fixtures as fx
 from knownat.plans.calendar import instants
 from knownat.plans.factors import technical
 from knownat.plans.indicators import W20, W60
-from knownat.plans.registry import cte, query
+from knownat.plans.registry import cte, digest_sql, query
 from knownat.session import cut_lineage, shared_folder
 from knownat.sources.store import StoredTable
 
@@ -268,8 +268,7 @@ def k9(spark, sf):
     return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), bt.fingerprint(F.lit("ma"), F.col("p_brand"), params).alias("fingerprint"))
 
 
-@query("k9_fit_trace", "", """
-SELECT p_brand, substr(sha256(string_agg(p_partkey || ':' || p_type, ';' ORDER BY p_partkey)), 1, 16) AS fit_trace FROM part GROUP BY 1""")
+@query("k9_fit_trace", "", f"SELECT p_brand, substr(digest, 1, 16) AS fit_trace FROM ({digest_sql('part', 'p_brand', 'p_partkey', "p_partkey || ':' || p_type", ';')})")
 def k9b(spark, sf):
     from knownat.sources.tables import load
     rows = load(spark, sf, "part").select("p_brand", F.col("p_partkey").alias("window_index"), F.col("p_type").alias("chosen_fingerprint"))

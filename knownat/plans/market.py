@@ -12,7 +12,7 @@ from knownat.operators import selection as sel
 from knownat.operators import studies
 from knownat.plans import fixtures as fx
 from knownat.plans.news import WIN, spans, titles
-from knownat.plans.registry import cte, query
+from knownat.plans.registry import cte, digest_sql, query
 from knownat.plans.rules import tick
 from knownat.sources.tables import load
 
@@ -282,7 +282,7 @@ def l5(spark, sf):
     return out.select("session_no", "instrument_id", F.col("rank").cast("long").alias("rank"), F.col("turn").cast("long").alias("turn"))
 
 
-@query("l6_peer_hash", "cand", "SELECT session_no, count(DISTINCT instrument_id) AS peer_count, sha256(string_agg(CAST(instrument_id AS VARCHAR), ',' ORDER BY instrument_id)) AS peer_hash FROM cand WHERE tracked GROUP BY 1")
+@query("l6_peer_hash", "cand", f"SELECT session_no, n AS peer_count, digest AS peer_hash FROM ({digest_sql('(SELECT DISTINCT session_no, instrument_id FROM cand WHERE tracked)', 'session_no', 'instrument_id', 'instrument_id')})")
 def l6(spark, sf):
     return sel.peer_hash(fx.candidates(spark, sf).where("tracked"), ["session_no"])
 

@@ -41,6 +41,14 @@ def with_ctes(needs: str, body: str) -> str:
     return f"WITH {recursive}{head}\n{body}"
 
 
+def digest_sql(rows: str, keys: str, place: str, text: str, separator: str = ",") -> str:
+    """``keys``, digest and n of ``functions.scale.ordered_digest`` over ``rows``."""
+    level = f"SELECT {keys}, {place} AS p, CAST({text} AS VARCHAR) AS d, 1 AS n FROM {rows}"
+    for _ in range(2):
+        level = f"SELECT {keys}, p >> 16 AS p, sha256(string_agg(d, '{separator}' ORDER BY p, d)) AS d, sum(n) AS n FROM ({level}) GROUP BY {keys}, p >> 16"
+    return f"SELECT {keys}, sha256(string_agg(d, '{separator}' ORDER BY p, d)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM ({level}) GROUP BY {keys}"
+
+
 def query(name: str, needs: str = "", sql: str | None = None):
     """Register a plan ``(spark, sf_dir) -> DataFrame``; ``sql`` is its DuckDB twin."""
 

@@ -1,10 +1,14 @@
 """Hot groups: one key holds most of the rows and many ties."""
 
+import hashlib
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from knownat.functions import scale
+from knownat.functions.scale import ordered_digest
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +56,25 @@ def test_trimmed_mean(skewed):
 def test_newest_is_a_map_side_aggregate(skewed):
     plan = scale.newest(skewed.withColumn("w", F.col("v")), ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan and "Window" not in plan
+
+
+def test_ordered_digests_do_not_depend_on_partitions(spark):
+    rng = random.Random(6)
+    places = rng.sample(range(-(1 << 40), 1 << 40), 500) + list(range(70000))
+    rows = [("k", p, f"t{p}") for p in places] + [("j", 1, "a"), ("j", 1, "b"), ("j", None, "c")]
+
+    def digest(texts):
+        return hashlib.sha256(",".join(texts).encode()).hexdigest()
+
+    level = [(p, t) for k, p, t in rows if k == "k"]
+    for _ in range(2):
+        groups = {}
+        for p, t in sorted(level):
+            groups.setdefault(p >> 16, []).append(t)
+        level = [(q, digest(g)) for q, g in groups.items()]
+    want = digest([d for _, d in sorted(level)])
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "k string, place long, text string")
+    for parts in (1, 7):
+        got = {r.k: (r.hash, r.n) for r in ordered_digest(table.repartition(parts), ["k"], "place", "text", "hash").collect()}
+        assert got["k"] == (want, len(places)) and got["j"][1] == 3
