@@ -27,8 +27,8 @@ END = 1
 END_BYTES = END.to_bytes(4, "little")
 #: Pieces expected in a group.
 GROUP = 4096
-#: Chunks whose ids a Python worker remembers, over all its tasks.
-REMEMBERED = 300_000
+#: Chunks whose ids a Python worker remembers, over all its tasks: about 200 MB.
+REMEMBERED = 1_000_000
 _CHUNK = regex.compile(public_tokenizers.PATTERN)
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -91,7 +91,12 @@ class Coder:
         met = wanted.intersection(self.old)
         self.young.update((c, self.old[c]) for c in met)
         fresh = list(wanted - met)
-        self.young.update(zip(fresh, (np.array(one.ids, "<u4").tobytes() for one in self.coder.encode_batch_fast(fresh, add_special_tokens=False))))
+        if fresh:
+            # one encoding for all of them: its word numbers tell where each chunk's ids end
+            encoded = self.coder.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+            data = np.array(encoded.ids, "<u4").tobytes()
+            ends = np.cumsum(np.bincount(np.array(encoded.word_ids), minlength=len(fresh)) * 4).tolist()
+            self.young.update(zip(fresh, (data[a:b] for a, b in zip([0, *ends], ends))))
         for chunks in cut:
             yield np.frombuffer(b"".join([*map(self.young.__getitem__, chunks), END_BYTES]), "<u4")
 
