@@ -146,11 +146,11 @@ def s12(spark, sf):
 
 
 @query("s13_listing_master", "", """
-SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS corp_code, p_name AS corp_name, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS stock_code FROM part WHERE p_partkey % 3 <> 0""")
+SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS corp_code, p_name AS corp_name, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS listing_code FROM part WHERE p_partkey % 3 <> 0""")
 def s13(spark, sf):
     k = F.col("p_partkey")
-    xml = F.concat(F.lit("<list><corp_code>"), F.lpad(k.cast("string"), 8, "0"), F.lit("</corp_code><corp_name> "), F.col("p_name"), F.lit("</corp_name><stock_code>"), F.when(k % 3 == 0, " ").otherwise(F.lpad(k.cast("string"), 6, "0")), F.lit("</stock_code></list>"))
-    return ing.listing_master(load(spark, sf, "part").select(xml.alias("xml"))).select("corp_code", "corp_name", "stock_code")
+    xml = F.concat(F.lit("<list><corp_code>"), F.lpad(k.cast("string"), 8, "0"), F.lit("</corp_code><corp_name> "), F.col("p_name"), F.lit("</corp_name><code>"), F.when(k % 3 == 0, " ").otherwise(F.lpad(k.cast("string"), 6, "0")), F.lit("</code></list>"))
+    return ing.listing_master(load(spark, sf, "part").select(xml.alias("xml")), code_tag="code").select("corp_code", "corp_name", "listing_code")
 
 
 @query("s13_boards", "", "SELECT o_custkey AS corp_code, arg_max(o_orderstatus, o_orderkey) AS board FROM orders GROUP BY 1")

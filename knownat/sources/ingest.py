@@ -204,11 +204,11 @@ def disclosure_rows(raw: DataFrame, master: DataFrame, spine: DataFrame) -> Data
     return listed.join(spine.select(F.col("day").alias("filed_on"), F.col("after_open").alias("available_at")), "filed_on").where("available_at IS NOT NULL")
 
 
-def listing_master(documents: DataFrame, body: str = "xml") -> DataFrame:
-    """Listed companies of an XML company list: valid corp code and six-character stock code."""
-    parsed = documents.select(F.from_xml(F.col(body), "corp_code string, corp_name string, stock_code string, modify_date string").alias("_x")).select("_x.*")
-    clean = parsed.select(*[F.trim(c).alias(c) for c in parsed.columns])
-    return clean.where(F.col("corp_code").rlike(r"^\d{8}$") & F.col("stock_code").rlike(r"^[0-9A-Z]{6}$") & (F.col("corp_name") != ""))
+def listing_master(documents: DataFrame, body: str = "xml", *, code_tag: str) -> DataFrame:
+    """Listed companies of an XML company list: valid corp code and six-character listing code, which stands under ``code_tag``."""
+    parsed = documents.select(F.from_xml(F.col(body), f"corp_code string, corp_name string, `{code_tag}` string, modify_date string").alias("_x")).select("_x.*")
+    clean = parsed.select(*[F.trim(F.col(f"`{c}`")).alias("listing_code" if c == code_tag else c) for c in parsed.columns])
+    return clean.where(F.col("corp_code").rlike(r"^\d{8}$") & F.col("listing_code").rlike(r"^[0-9A-Z]{6}$") & (F.col("corp_name") != ""))
 
 
 def boards(filings: DataFrame) -> DataFrame:
