@@ -115,3 +115,18 @@ def list_view(members: DataFrame, tracked: DataFrame, keys: Sequence[str] = ("se
     view = shown.select(*keys, "instrument_id", "rank", F.lit("LIST").alias("origin"))
     fallback = tracked.join(members.select(*keys).distinct(), list(keys), "left_anti")
     return view.unionByName(fallback.select(*keys, "instrument_id", F.lit(None).cast("int").alias("rank"), F.lit("TRACKED").alias("origin")))
+
+
+def signal_rows(view: DataFrame, weights: DataFrame, limits: DataFrame, analysts: DataFrame) -> DataFrame:
+    """List rows with what is shown beside them: market weight, the previous session's limit state and change, the analysts' summary.
+
+    ``weights``, ``limits`` and ``analysts`` have a row an instrument at most; what is not known of an instrument is null and it is no
+    heavyweight.  None of it takes part in selection or scoring, so no row is lost or doubled by it.
+    """
+    w = weights.select("instrument_id", F.col("weight_pct").alias("market_weight_pct"), F.col("heavyweight").alias("_heavy"))
+    p = limits.select("instrument_id", F.col("state").alias("prev_limit"), F.col("change_pct").alias("prev_change_pct"))
+    a = analysts.select("instrument_id", F.struct("reports", "brokers", "avg_target", "buy", "hold", "sell", "raised", "lowered", "upside_pct").alias("analyst"))
+    rows = view
+    for side in (w, p, a):
+        rows = rows.join(side, "instrument_id", "left")
+    return rows.withColumn("heavyweight", F.coalesce("_heavy", F.lit(False))).drop("_heavy")

@@ -11,8 +11,8 @@ from knownat.operators import news as nw
 from knownat.operators import selection as sel
 from knownat.operators import studies
 from knownat.plans import fixtures as fx
-from knownat.plans.news import WIN, spans, titles
-from knownat.plans.registry import cte, digest_sql, query
+from knownat.plans.news import WIN, n18, spans, titles
+from knownat.plans.registry import ORACLES, cte, digest_sql, query
 from knownat.plans.rules import tick
 from knownat.sources.tables import load
 
@@ -332,3 +332,16 @@ def l11(spark, sf):
     members = sel.snapshot(rows, rows.where("session_no >= 8").select("session_no").distinct())
     out = sel.list_view(members, rows.where("tracked").select("session_no", "instrument_id"))
     return out.select("session_no", "instrument_id", F.col("rank").cast("long").alias("rank"), "origin")
+
+
+@query("l11_signal_rows", "", f"""
+SELECT v.session_no, v.instrument_id, v.rank, v.origin, w.weight_pct AS market_weight_pct, coalesce(w.heavyweight, false) AS heavyweight, l.state AS prev_limit, l.change_pct AS prev_change_pct, a.reports, a.brokers, a.buy, a.upside_pct
+FROM ({ORACLES["l11_list_view"]}) v LEFT JOIN ({ORACLES["m6_heavyweights"]}) w USING (instrument_id)
+LEFT JOIN (SELECT instrument_id, arg_max(state, for_day) AS state, arg_max(change_pct, for_day) AS change_pct FROM (SELECT * REPLACE (coalesce(state, '-') AS state) FROM ({ORACLES["m5_previous_limits"]})) GROUP BY 1) l USING (instrument_id)
+LEFT JOIN ({ORACLES["n18_analyst_summary"]}) a USING (instrument_id)""")
+def l11b(spark, sf):
+    """The list with market weight, the newest previous-session limit state and the analysts' summary of every shown name."""
+    newest = m5(spark, sf).withColumn("state", F.coalesce("state", F.lit("-"))).groupBy("instrument_id").agg(
+        F.max_by("state", "for_day").alias("state"), F.max_by("change_pct", "for_day").alias("change_pct"))
+    out = sel.signal_rows(l11(spark, sf), m6b(spark, sf), newest, n18(spark, sf))
+    return out.select("session_no", "instrument_id", "rank", "origin", "market_weight_pct", "heavyweight", "prev_limit", "prev_change_pct", "analyst.reports", "analyst.brokers", "analyst.buy", "analyst.upside_pct")
