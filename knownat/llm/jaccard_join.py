@@ -133,19 +133,23 @@ class JaccardJoin:
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
         self.docs = docs.select("doc_id", "text")
         order = self.spark.sparkContext.broadcast(_order(self.docs, width))
-        self.described = written(
-            self.docs.mapInArrow(_describe(width, percent, order), "doc_id long, n_shingles long, set_hash binary, prefix array<long>"), "described"
-        )
-        classes = (
-            self.described.where("set_hash is not null").groupBy("set_hash")
-            .agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("prefix").alias("prefix"))
-        )
+        described = self.docs.mapInArrow(_describe(width, percent, order), "doc_id long, n_shingles long, set_hash binary, prefix array<long>")
+        described = written(described.withColumn("row", F.monotonically_increasing_id()), "described")
+        self.described = described.select("doc_id", "n_shingles", "set_hash")
+        # equal sets have equal sizes and prefixes; a prefix travels as its hashes, and as itself only for the one row that posts it
+        same = F.struct("n_shingles", F.xxhash64("prefix"), F.hash("prefix"))
+        rows = described.where("set_hash is not null").select("doc_id", "set_hash", F.col("n_shingles").alias("n"), same.alias("same"), "row")
+        classes = rows.groupBy("set_hash").agg(*[F.min(c).alias(c) for c in ("doc_id", "n", "same", "row")])
         classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-        keyed = classes.withColumn("same", F.struct("n", F.xxhash64("prefix"), F.hash("prefix")))
-        heads = keyed.groupBy("same").agg(F.min("cid").alias("gid"))
-        self.classes = written(keyed.join(heads, "same").select("cid", "gid", "n", "doc_id", "set_hash"), "grouped")
-        posted = classes.join(heads.select(F.col("gid").alias("cid")), "cid", "left_semi")
-        self.postings = posted.select(F.explode("prefix").alias("token"), F.col("cid").alias("gid"), "n")
+        heads = classes.groupBy("same").agg(F.min(F.struct("cid", "row")).alias("head")).select("same", F.col("head.cid").alias("gid"), F.col("head.row").alias("row"))
+        self.classes = written(classes.join(heads.drop("row"), "same").select("cid", "gid", "n", "doc_id", "set_hash"), "grouped")
+        posted = described.select("row", F.col("n_shingles").alias("n"), "prefix").join(heads.select("row", "gid"), "row")
+        postings = posted.select(F.explode("prefix").alias("token"), "gid", "n")
+        # of all lists only those on which two groups stand are kept, with their leader
+        per_token = Window.partitionBy("token")
+        lead = F.min(F.struct(F.hash("gid").alias("at"), F.col("gid").alias("lead"), F.col("n").alias("lead_n"))).over(per_token)
+        listed = postings.withColumn("first", lead).withColumn("size", F.count(F.lit(1)).over(per_token)).where("size > 1")
+        self.listed = written(listed.select("token", "gid", "n", "first.lead", "first.lead_n"), "listed")
         self._solve()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
@@ -162,9 +166,7 @@ class JaccardJoin:
         return both.where(F.col("common") * 100 >= (F.size("of_a") + F.size("of_b") - F.col("common")) * self.percent).select("a", "b")
 
     def _solve(self) -> None:
-        by_rank = Window.partitionBy("token").orderBy(F.hash("gid"), "gid")
-        led = self.postings.withColumn("lead", F.first("gid").over(by_rank)).withColumn("lead_n", F.first("n").over(by_rank))
-        led = led.where((F.col("lead") != F.col("gid")) & _fits(self.percent, "lead_n", "n"))
+        led = self.listed.where((F.col("lead") != F.col("gid")) & _fits(self.percent, "lead_n", "n"))
         group_pairs = led.select("lead", "gid").distinct()
         star = group_pairs.join(self.classes.select("gid", "cid"), "gid").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
         inner = self.classes.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
@@ -174,9 +176,7 @@ class JaccardJoin:
 
         classes = self.classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid"))
         # lists on which more than one group stands, as classes with their components; a group of several classes is a list of its own
-        per_token = Window.partitionBy("token")
-        shared = self.postings.withColumn("least", F.min("gid").over(per_token)).withColumn("most", F.max("gid").over(per_token))
-        shared = shared.where("least <> most").select("token", "gid")
+        shared = self.listed.select("token", "gid")
         rows = shared.join(classes.select("gid", "cid", "n", "comp"), "gid").select(F.struct(F.lit(0).alias("kind"), F.col("token").alias("at")).alias("list"), "cid", "n", "comp")
         own = classes.join(classes.where("cid <> gid").select("gid").distinct(), "gid", "left_semi")
         rows = rows.union(own.select(F.struct(F.lit(1).alias("kind"), F.col("gid").alias("at")).alias("list"), "cid", "n", "comp"))
@@ -198,7 +198,7 @@ class JaccardJoin:
     @cached_property
     def _pairs(self) -> DataFrame:
         """All verified class pairs ``(a, b)``, a < b."""
-        posted = self.postings.select("token", "gid", "n")
+        posted = self.listed.select("token", "gid", "n")
         blocks = posted.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
         rows = posted.join(blocks.drop("size"), "token").withColumn("own", F.pmod(F.hash("gid"), "blocks"))
         # a row meets the rows of each block in the cell of both blocks, the lower one first
