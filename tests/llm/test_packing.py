@@ -64,6 +64,14 @@ def test_forgotten_chunks_are_encoded_again():
     assert len(few.old) < len(many.young)
 
 
+def test_white_space_is_cut_like_the_vocabulary_does():
+    coder, own, rng = Tokenizer.from_file(PATH), Coder(PATH), random.Random(5)
+    coder.encode_special_tokens = True
+    parts = [" ", "  ", "   ", "\n", "\t", "a", "don't", "'s", "1", "22", ",", "!?", "é", "日本", "\0", "\u00a0", "\u3000", "\x1c", "\r\n", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 9))) for _ in range(6000)]
+    assert [ids.tolist() for ids in own.ids(texts)] == [[*one.ids, 1] for one in coder.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_registered_query_on_odd_rows(spark, tmp_path):
     frame(spark, ODD).selectExpr("doc_id", "text", "1 as start", "'x' as sequence_id").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["op1_packing"](spark, str(tmp_path)).collect()
