@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knownat.llm.store import written
+from knownat.llm.store import written as stored
+
+written = partial(stored, tidy=True)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ pair of classes that share a posted token, lists and groups split into blocks of
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knownat.llm.components import components
-from knownat.llm.store import written
+from knownat.llm.store import written as stored
 from knownat.llm.text import runs, signed, slices, utf8, words
 
+written = partial(stored, tidy=True)
 #: Buckets of the counting sketch that orders the shingles.
 SKETCH = 1 << 20
 #: Bits of the filter on candidate document ids; false positives cost time, not results.
