@@ -211,6 +211,20 @@ def ask_targets(movers: DataFrame, listed: DataFrame, asked: DataFrame) -> DataF
     return movers.select("instrument_id").unionByName(listed.select("instrument_id")).distinct().join(asked, "instrument_id", "left_anti")
 
 
+def minute_targets(alerts: DataFrame, limit: int = 30) -> DataFrame:
+    """Names of a day's alerts whose minute bars are fetched, in order: leaders by falling change, each before its companions; every name once.
+
+    ``alerts``: leader_id, companion_id, leader_change.  Rows: instrument_id, place from 1.  A name is folded to its best place before the top
+    is taken, so a name of very many alerts is one row.
+    """
+    ends = F.array(F.struct(F.lit(0).alias("k"), F.col("leader_id").alias("id")), F.struct(F.lit(1).alias("k"), F.col("companion_id").alias("id")))
+    at = F.struct((-F.col("leader_change")).alias("c"), F.col("leader_id").alias("l"), F.col("companion_id").alias("m"), F.col("_e.k").alias("k"))
+    rows = alerts.where("leader_change IS NOT NULL").withColumn("_e", F.explode(ends)).where("_e.id IS NOT NULL")
+    best = rows.groupBy(F.col("_e.id").alias("instrument_id")).agg(F.min(at).alias("_at"))
+    top = best.orderBy("_at").limit(limit)
+    return top.select("instrument_id", F.row_number().over(W.orderBy("_at")).alias("place"))  # `limit` rows
+
+
 def mover_alerts(ranking: DataFrame, symbols: DataFrame, relations: DataFrame, *, first: int = 1, last: int = 10) -> DataFrame:
     """One minute's movers to companion rows.
 

@@ -382,3 +382,20 @@ def post_window_verdicts(days: DataFrame, *, cost: float = COST, holdout: int =
                 state = stats.ESTABLISHED
         out.append((key, n_sig, n_cmp, s["b"], s["t"], fits["front"]["b"], fits["back"]["b"], fits["holdout"]["b"], state))
     return spark.createDataFrame(out, "question string, signal_days long, comparison_days long, b double, t double, front_b double, back_b double, holdout_b double, state string")
+
+
+def carried_on(verdicts: DataFrame, sets: dict[str, Sequence[str]], *, question: str = "question", state: str = "state") -> DataFrame:
+    """Whether a study's result is carried on: every question of some set is established.  One row per named set, with the questions that are missing.
+
+    Questions that were never judged count as not established; an empty table carries nothing on.
+    """
+    held = lambda q: F.coalesce(F.bool_or((F.col(question) == q) & (F.col(state) == "established")), F.lit(False))
+    wanted = sorted({q for qs in sets.values() for q in qs})
+    row = verdicts.agg(*[held(q).alias(f"_{q}") for q in wanted])
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("rule"), F.array_compact(F.array(*[F.when(~F.col(f"_{q}"), q) for q in qs])).alias("missing")) for name, qs in sets.items()])
+    return row.select(F.explode(rows).alias("_r")).select("_r.rule", (F.size("_r.missing") == 0).alias("carried_on"), "_r.missing")
+
+
+#: Sets of questions that carry a study on: the overnight sectors' next version, the pre-market entry and the post window as candidates.
+CARRIED_ON = {"overnight": ("O3", "O4"), "absolute entry": ("N1", "N2"), "entry over control": ("N3", "N4"), "post window": ("T2", "T3")}

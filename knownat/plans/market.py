@@ -186,6 +186,15 @@ def m13(spark, sf):
     return mk.ask_targets(part.where("p_size > 45"), part.where("p_brand = 'Brand#7'"), asked)
 
 
+@query("m13_minute_targets", "", """
+WITH a AS (SELECT l_suppkey AS l, l_partkey AS m, -l_extendedprice AS c FROM lineitem WHERE l_shipdate > TIMESTAMP '2001-06-01'),
+ e AS (SELECT l AS id, c, l, m, 0 AS k FROM a UNION ALL SELECT m, c, l, m, 1 FROM a), f AS (SELECT id, min(row(c, l, m, k)) AS spot FROM e GROUP BY 1)
+SELECT id AS instrument_id, row_number() OVER (ORDER BY spot) AS place FROM f ORDER BY spot LIMIT 30""")
+def m13b(spark, sf):
+    alerts = load(spark, sf, "lineitem").where("l_shipdate > TIMESTAMP '2001-06-01'").select(F.col("l_suppkey").alias("leader_id"), F.col("l_partkey").alias("companion_id"), F.col("l_extendedprice").alias("leader_change"))
+    return mk.minute_targets(alerts).select("instrument_id", F.col("place").cast("long").alias("place"))
+
+
 @query("m14_rolling_usage", "", """
 WITH b AS (SELECT event_type AS quota_group, date_trunc('minute', ts) AS m, CAST(sum(1 + user_id % 3) AS BIGINT) AS calls FROM events GROUP BY 1, 2)
 SELECT quota_group, strftime(m, '%Y-%m-%d %H:%M:%S') AS minute_start, calls, CAST(spent AS BIGINT) AS spent, CAST(greatest(0, 250 - spent) AS BIGINT) AS headroom FROM (

@@ -11,7 +11,7 @@ from knownat.operators import stats
 from knownat.operators import studies as st
 from knownat.plans import fixtures as fx
 from knownat.plans.news import PHRASES, TITLES, _list, _pick
-from knownat.plans.registry import cte, query
+from knownat.plans.registry import ORACLES, cte, query
 from knownat.plans.rules import judge_out, judge_sql, members
 from knownat.session import cut_lineage
 from knownat.sources.tables import load
@@ -355,3 +355,38 @@ def e24(spark, sf):
     days = day_values(spark, sf).join(urgent, "day", "left").select(
         "day", "g", "f", F.when(F.col("posts") >= 3, 1).otherwise(0).alias("signal"), (F.dayofmonth("day") % 5 == 0).cast("int").alias("long"), (F.weekday("day") == 0).cast("int").alias("monday"))
     return st.post_window_verdicts(days)
+
+
+def carried_sql(verdicts, sets):
+    """The rules over a verdict query's SQL, looser states included so that all branches occur."""
+    parts = []
+    for name, questions in sets.items():
+        found = ", ".join(f"CASE WHEN NOT EXISTS (SELECT 1 FROM v WHERE question = '{q}' AND {{state}}) THEN '{q}' END" for q in questions)
+        parts.append(f"SELECT '{name}' AS rule, list_filter([{found}], lambda x: x IS NOT NULL) AS missing")
+    body = " UNION ALL ".join(parts)
+    return "WITH v AS (" + verdicts + ") " + " UNION ALL ".join(
+        f"SELECT '{label}' AS reading, rule, len(missing) = 0 AS carried_on, array_to_string(missing, ',') AS missing FROM ({body.format(state=state)})" for label, state in (("established", "state = 'established'"), ("judged", "state IS NOT NULL")))
+
+
+def carried(verdicts, sets):
+    out = None
+    for label, rows in (("established", verdicts), ("judged", verdicts.where("state IS NOT NULL").withColumn("state", F.lit("established")))):
+        part = st.carried_on(rows, sets).select(F.lit(label).alias("reading"), "rule", "carried_on", F.array_join("missing", ",").alias("missing"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+OVERNIGHT_SETS = {"overnight": st.CARRIED_ON["overnight"]}
+ENTRY_SETS = {k: st.CARRIED_ON[k] for k in ("absolute entry", "entry over control")}
+
+
+@query("e16_build_rule", "", carried_sql(ORACLES["e16_verdicts"], OVERNIGHT_SETS))
+def e16d(spark, sf):
+    """Whether the overnight study's next version is built: both of its last questions established (and, as a second reading, judged at all)."""
+    return carried(cut_lineage(e16b(spark, sf)), OVERNIGHT_SETS)
+
+
+@query("e20_candidate_rule", "", carried_sql(ORACLES["e20_premarket_verdicts"], ENTRY_SETS))
+def e20b(spark, sf):
+    """Whether the pre-market entry becomes a candidate: absolute results or results over the control, each as a pair."""
+    return carried(cut_lineage(e20(spark, sf)), ENTRY_SETS)
