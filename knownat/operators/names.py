@@ -9,12 +9,15 @@ verdicts are aggregates over a (text, instrument).  The registry is a join side
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from knownat.session import shared_folder
+
 # Fixed values of the relevance rule.
 CONTEXT_WORDS = (
     "실적", "매출", "영업이익", "순이익", "수주", "공시", "주가", "주식", "대표이사", "상장", "코스피", "코스닥", "투자", "계약", "배당",
@@ -40,8 +43,6 @@ _BEFORE, _AFTER = 3, 3
 _CUTS = (1 << 12, 1 << 8, 1 << 4)
 #: Characters of a spelling that are its join key; shorter spellings are keyed whole.
 _KEY = 3
-#: Bytes of a registry up to which it is shipped to the texts' tasks, and what a row has besides its spellings; a larger one meets them in a shuffle.
-_SHIPPED, _ROW = 16 << 20, 128
 
 
 def squeezed(text: Column) -> Column:
@@ -83,10 +84,9 @@ def _cut(rows: DataFrame, size: int, after: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Facts:
-    """What is small about a registry: sizes of its spellings in letters, and bytes."""
+    """What is small about a registry: sizes of its spellings in letters."""
 
     sizes: tuple[int, ...]
-    held: int
 
     @property
     def longest(self) -> int:
@@ -98,8 +98,14 @@ class _Facts:
 
 
 def _facts(terms: DataFrame) -> _Facts:
-    sizes, held = terms.agg(F.collect_set("size"), F.sum(F.lit(_ROW) + 3 * F.octet_length("flat"))).first()
-    return _Facts(tuple(sorted(sizes)), held or 0)
+    return _Facts(tuple(sorted(terms.agg(F.collect_set("size")).first()[0])))
+
+
+def _stored(terms: DataFrame) -> DataFrame:
+    """The spellings written once to the shared folder: their size is then known, and Spark ships them to the texts' tasks only if it is small."""
+    path = f"{shared_folder(terms.sparkSession)}/spellings-{uuid.uuid4().hex}"
+    terms.write.parquet(path)
+    return terms.sparkSession.read.schema(terms.schema).parquet(path)
 
 
 def occurrences(texts: DataFrame, terms: DataFrame, keep: Sequence[str] = (), facts: _Facts | None = None, skip=None) -> DataFrame:
@@ -135,7 +141,7 @@ def occurrences(texts: DataFrame, terms: DataFrame, keep: Sequence[str] = (), fa
     if skip is not None:
         place = F.lit(_BEFORE + 1)
         same = same & ~skip(F.col("_t"), F.col("_flags").substr(place, F.lit(1)) == _FLAG, F.col("_letters").substr(place - 1, F.lit(1)), F.col("_letters").substr(place + size, F.lit(1)))
-    found = named.join(F.broadcast(coded) if facts.held <= _SHIPPED else coded, "_key").where(same)
+    found = named.join(coded, "_key").where(same)
 
     def around(place: Column, count: int, gap_last: bool) -> Column:
         """``count`` characters from ``place`` on, white space put back before each (and after the last one)."""
@@ -213,7 +219,7 @@ def judged(texts: DataFrame, registry: DataFrame, key: Sequence[str]) -> DataFra
         """A Latin spelling within a word, which swallows nothing and has no corporate mark, tells nothing."""
         return term["latin"] & ~term["covers"] & (term["kind"] != "SYMBOL") & ~gap & before.rlike("[A-Za-z0-9]") & ~after.isin("(", "㈜")
 
-    found = occurrences(told, terms, [*key, "context", "title_start", "title_end"], facts, inside_latin)
+    found = occurrences(told, _stored(terms), [*key, "context", "title_start", "title_end"], facts, inside_latin)
 
     name, latin = F.col("kind") == "NAME", F.col("latin")
     head, tail, size = F.col("head"), F.col("tail"), F.col("size")
