@@ -63,6 +63,29 @@ def test_a_shuffled_registry_gives_the_same_verdicts(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_only_places_that_may_begin_a_name_become_rows(spark):
+    articles = spark.createDataFrame([(1, "", "x" * 300 + " Naver " + "y" * 300)], "news_item_id long, title string, summary string")
+    plan = nw.judge_articles(articles, names_registry(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "MapInArrow" in plan
+
+
+def test_letters_are_the_same_in_both_places(spark):
+    rng = random.Random(4)
+    parts = ["가", "힣", "ᄀ", "ㄱ", "a", "É", "İ", "Σ", "😀", "\0", "\1", "\2", "\3", *"\t\n\v\f\r\x1c\x1f \x85\xa0\u1680\u180e\u2003\u200b\u2028\u202f\u205f\u3000\ufeff"]
+    texts = ["", " "] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    letters, flags = nm._letters(F.col("text"))
+    for text, want, flagged in spark.createDataFrame([(t,) for t in texts], "text string").select("text", letters, flags).collect():
+        codes, before = nm._lettered(text)
+        assert ("".join(map(chr, codes)), "".join("\3" if b else "0" for b in before)) == (want, flagged), repr(text)
+
+
+def test_letters_that_are_not_lowered_one_by_one(spark):
+    registry = names_registry(spark, [(1, "ΟΔΟΣ", [], None), (3, "𐐀𐐁𐐂𐐃", [], None), (4, "KELVIN", [], None), (5, "Éclat", [], None)])
+    rows = [(1, "", "a ΟΔΟΣ b"), (3, "", "a 𐐨𐐩𐐪𐐫 b"), (4, "", "a \u212aelvin b"), (5, "", "a éCLAT b")]
+    articles = spark.createDataFrame(rows, "news_item_id long, title string, summary string")
+    assert {(r.news_item_id, r.instrument_id) for r in nw.judge_articles(articles, registry).collect()} == {(k, k) for k in (1, 3, 4, 5)}
+
+
 def test_conflicts_know_names_and_aliases(spark):
     got = {(r.instrument_id, r.name, r.other) for r in nm.conflicts(names_registry(spark)).collect()}
     assert got == {(1, "삼성전자", "삼성전자우"), (7, "한화", "대한화섬"), (9, "네이버", "네이버웍스")}
