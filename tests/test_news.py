@@ -92,6 +92,16 @@ def test_conflicts_know_names_and_aliases(spark):
     assert nm.conflicts(names_registry(spark).limit(0)).collect() == []
 
 
+def test_conflicts_are_distinct_before_they_meet(spark):
+    rows = [(1, "ab", ["a b", "AB"], None), (1, "ab", None, None), (None, "ab", [], None), (None, "ab", [], None), (2, "xaby", ["İab", "i̇ab"], None), (3, None, ["abab"], None)]
+    out = nm.conflicts(names_registry(spark, rows))
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().index("Join") < plan.toString().index("Aggregate")
+    want = {(i, n, o) for i, n in ((1, "ab"), (1, "a b"), (1, "AB"), (None, "ab")) for o in ("xaby", "İab", "i̇ab", "abab")}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_every_stale_hit_is_judged_again(spark):
     hits = [
         (1, 3, "한섬, 신제품", "실적", "PENDING", 1, "RULE"), (2, 3, "다른 글", "없음", "CONFIRMED", 1, "RULE"), (3, 3, "한섬", None, "PENDING", 1, "RULE"),
