@@ -27,8 +27,12 @@ from knownat.llm.text import runs, signed, slices, utf8, words
 
 #: Buckets of the counting sketch that orders the shingles.
 SKETCH = 1 << 20
+#: Buckets that travel as one value.
+SKETCH_BLOCK = 1 << 12
 #: Bits of the filter on candidate document ids; false positives cost time, not results.
 FILTER_BITS = 1 << 24
+#: 64-bit words of a set's signature, in which every shingle flips one bit.
+SIGNATURE = 32
 #: Groups of a posting list, or classes of a group, that are paired in one block.
 BLOCK = 256
 
@@ -43,44 +47,66 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 def _sketch(width: int):
+    """Counts of a task by block of the sketch; first the low bytes of a block's counts, then the higher ones, which are mostly zero."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, "<i8")
         for batch in batches:
             for part in slices(batch, "text"):
-                for s in shingle_sets(part.column("text"), width):
-                    np.add.at(total, (s >> np.uint64(44)).astype(np.int64), 1)
-        seen = np.flatnonzero(total)
-        for lo in range(0, len(seen), 1 << 16):
-            at = seen[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+                hashes = np.concatenate(list(shingle_sets(part.column("text"), width)))
+                total += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
+        blocks = total.reshape(-1, SKETCH_BLOCK)
+        seen = np.flatnonzero(blocks.any(axis=1))
+        planes = (np.ascontiguousarray(b.view(np.uint8).reshape(-1, 8).T).tobytes() for b in blocks[seen])
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(list(planes), pa.binary())], ["block", "counts"])
 
     return count
 
 
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums the counts of every block: the order of magnitude of each, one byte a bucket."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+            n = np.ascontiguousarray(np.frombuffer(counts, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+            totals[block] = totals[block] + n if block in totals else n
+    ranks = [np.log2(np.maximum(n, 1)).astype(np.uint8).tobytes() for n in totals.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(ranks, pa.binary())], ["block", "ranks"])
+
+
 def _order(docs: DataFrame, width: int) -> np.ndarray:
     """One byte per sketch bucket: the order of magnitude of its count over all documents."""
-    counts = docs.select("text").mapInArrow(_sketch(width), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = counts.select("bucket", F.floor(F.log2("n")).cast("int").alias("rank")).toArrow()  # at most SKETCH rows
-    order = np.zeros(SKETCH, np.uint8)
-    order[rows["bucket"].to_numpy()] = rows["rank"].to_numpy()
-    return order
+    counts = docs.select("text").mapInArrow(_sketch(width), "block int, counts binary").repartition("block")
+    order = np.zeros((SKETCH // SKETCH_BLOCK, SKETCH_BLOCK), np.uint8)
+    for row in counts.mapInArrow(_ranks, "block int, ranks binary").collect():  # at most SKETCH / SKETCH_BLOCK rows
+        order[row.block] = np.frombuffer(row.ranks, np.uint8)
+    return order.ravel()
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles on each bit: two sets differ in at least as many shingles as their signatures do in bits."""
+    odd = np.bincount((s & np.uint64(64 * SIGNATURE - 1)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _describe(width: int, percent: int, order):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, names, prefixes = [], [], []
+                sizes, names, prefixes, signatures = [], [], [], []
                 for s in shingle_sets(part.column("text"), width):
                     keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                     ranked = np.lexsort((s, order.value[(s >> np.uint64(44)).astype(np.int64)]))[:keep]
                     sizes.append(len(s))
                     names.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     prefixes.append(signed(s[ranked]))
+                    signatures.append(signature(s))
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
+                whole = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * SIGNATURE), pa.array(np.concatenate(signatures)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), prefix], ["doc_id", "n_shingles", "set_hash", "prefix"]
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), prefix, whole],
+                    ["doc_id", "n_shingles", "set_hash", "prefix", "signature"],
                 )
 
     return describe
@@ -133,16 +159,17 @@ class JaccardJoin:
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
         self.docs = docs.select("doc_id", "text")
         order = self.spark.sparkContext.broadcast(_order(self.docs, width))
-        described = self.docs.mapInArrow(_describe(width, percent, order), "doc_id long, n_shingles long, set_hash binary, prefix array<long>")
+        described = self.docs.mapInArrow(_describe(width, percent, order), "doc_id long, n_shingles long, set_hash binary, prefix array<long>, signature array<long>")
         described = written(described.withColumn("row", F.monotonically_increasing_id()), "described")
         self.described = described.select("doc_id", "n_shingles", "set_hash")
+        self.signatures = described.where("set_hash is not null").select("row", "signature")
         # equal sets have equal sizes and prefixes; a prefix travels as its hashes, and as itself only for the one row that posts it
         same = F.struct("n_shingles", F.xxhash64("prefix"), F.hash("prefix"))
         rows = described.where("set_hash is not null").select("doc_id", "set_hash", F.col("n_shingles").alias("n"), same.alias("same"), "row")
         classes = rows.groupBy("set_hash").agg(*[F.min(c).alias(c) for c in ("doc_id", "n", "same", "row")])
         classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         heads = classes.groupBy("same").agg(F.min(F.struct("cid", "row")).alias("head")).select("same", F.col("head.cid").alias("gid"), F.col("head.row").alias("row"))
-        self.classes = written(classes.join(heads.drop("row"), "same").select("cid", "gid", "n", "doc_id", "set_hash"), "grouped")
+        self.classes = written(classes.join(heads.drop("row"), "same").select("cid", "gid", "n", "doc_id", "set_hash", "row"), "grouped")
         posted = described.select("row", F.col("n_shingles").alias("n"), "prefix").join(heads.select("row", "gid"), "row")
         postings = posted.select(F.explode("prefix").alias("token"), "gid", "n")
         # of all lists only those on which two groups stand are kept, with their leader
@@ -152,17 +179,35 @@ class JaccardJoin:
         self.listed = written(listed.select("token", "gid", "n", "first.lead", "first.lead_n"), "listed")
         self._solve()
 
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """Of the class pairs ``(a, b)``, those whose signatures do not rule out that the sets are similar enough."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        known = self.classes.select("cid", "n", "row").join(ends, "cid", "left_semi").join(self.signatures, "row").select("cid", "n", "signature")
+        both = pairs.join(known.toDF("a", "a_n", "of_a"), "a").join(known.toDF("b", "b_n", "of_b"), "b")
+        differ = sum((F.bit_count(F.col("of_a")[k].bitwiseXOR(F.col("of_b")[k])) for k in range(SIGNATURE)), F.lit(0))
+        total = F.col("a_n") + F.col("b_n")
+        return written(both.where((total - differ) * (100 + self.percent) >= 2 * self.percent * total).select("a", "b"), "possible")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Of the class pairs ``(a, b)``, those whose sets are similar enough."""
+        """Of the class pairs ``(a, b)``, those whose sets are similar enough.
+
+        Pairs that signatures rule out go first.  A set leaves its document once; as the first of a pair it goes on once, as the second once a pair, to where the first is.
+        """
+        pairs = self._possible(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         wanted = self.classes.join(ends, "cid", "left_semi").select("cid", "doc_id", "set_hash")
         bits = self.spark.sparkContext.broadcast(_filter_bits(wanted))
         near = self.docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bucket"), "text")
         sets = near.mapInArrow(_sets_of(self.width, bits), "set_hash binary, shingles array<long>")
-        sets = sets.where("set_hash is not null").join(wanted, "set_hash").groupBy("cid").agg(F.any_value("shingles").alias("shingles"))
-        sets = written(sets, "sets")
-        both = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
-        both = both.withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+        sets = sets.where("set_hash is not null").groupBy("set_hash").agg(F.any_value("shingles").alias("shingles"))
+        met = F.col("met").isNull()
+        # per class, where its set goes: to itself if others come to it, and to every class it is to be compared with
+        goes = pairs.select(F.col("b").alias("cid"), F.col("a").alias("met")).union(pairs.select(F.col("a").alias("cid"), F.lit(None).cast("long")).distinct())
+        goes = goes.join(wanted.select("cid", "set_hash"), "cid").select("set_hash", "cid", "met")
+        sets = sets.join(goes, "set_hash")
+        whole = sets.where(met).select(F.col("cid").alias("a"), F.col("shingles").alias("of_a"))
+        sent = sets.where(~met).select(F.col("met").alias("a"), F.col("cid").alias("b"), F.col("shingles").alias("of_b"))
+        both = whole.join(sent, "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
         return both.where(F.col("common") * 100 >= (F.size("of_a") + F.size("of_b") - F.col("common")) * self.percent).select("a", "b")
 
     def _solve(self) -> None:

@@ -66,6 +66,24 @@ def test_hot_lists_without_links(spark):
     assert sorted(map(tuple, JaccardJoin(frame(spark, rows)).members().collect()), key=str) == brute(rows)
 
 
+def test_sets_travel_only_for_pairs_that_signatures_allow(spark):
+    shared = " ".join(f"p{i}" for i in range(30))
+    rows = [(k, shared + " " + " ".join(f"q{k}x{i}" for i in range(60))) for k in range(20)] + [(100 + k, shared + " same" * 3 + f" end{k}") for k in range(5)]
+    join = JaccardJoin(frame(spark, rows))
+    ids = {r.doc_id: r.cid for r in join.classes.collect()}
+    pairs = [(ids[a], ids[b]) for a in ids for b in ids if a < b]
+    left = {tuple(r) for r in join._possible(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    near = {(ids[a], ids[b]) for a in ids for b in ids if 100 <= a < b}
+    assert near <= left and len(left) < 40
+
+
+def test_repeated_rows_send_their_set_once(spark):
+    rows = [(1, "a b c d e f g h i j k l m n o p q r s t u v w x y z")] * 30 + [(2, "a b c d e f g h i j k l m n o p q r s t u v w x y zz")] * 30
+    join = JaccardJoin(frame(spark, rows))
+    assert [set(r) for r in join.links().collect()] == [{1, 2}]
+    assert {tuple(r) for r in join.link_counts().collect()} == {(1, 1, 1), (2, 2, 1)}
+
+
 def test_empty_table(spark):
     assert JaccardJoin(frame(spark, [])).members().collect() == []
     assert JaccardJoin(frame(spark, [])).links().collect() == []
