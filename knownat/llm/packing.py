@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,9 +31,32 @@ GROUP = 4096
 #: Chunks whose ids a Python worker remembers, over all its tasks: about 200 MB.
 REMEMBERED = 1_000_000
 _CHUNK = regex.compile(public_tokenizers.PATTERN)
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+@functools.cache
+def _plane_chunk() -> re.Pattern:
+    """The pre-tokenizer's pattern for texts without characters above U+FFFF, its classes written out as ranges: ``re`` takes half the time of ``regex``."""
+    plane = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+    def ranges(kind: str) -> str:
+        codes = np.array([ord(c) for c in regex.findall(kind, plane)])
+        ends = np.flatnonzero(np.diff(codes) != 1)
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(codes[np.append(0, ends + 1)], codes[np.append(ends, len(codes) - 1)]))
+
+    pattern, kinds = public_tokenizers.PATTERN, {r"\p{L}": ranges(r"\p{L}"), r"\p{N}": ranges(r"\p{N}"), r"\s": ranges(r"\s")}
+    pattern = regex.sub(r"\[[^\]]*\]", lambda m: functools.reduce(lambda text, k: text.replace(k, kinds[k]), kinds, m[0]), pattern)
+    for kind, found in kinds.items():
+        pattern = pattern.replace(kind, f"[{found}]")
+    return re.compile(pattern.replace(r"\S", f"[^{kinds[r'\s']}]"))
+
+
+def chunks_of(text: str) -> list[str]:
+    """The chunks of the vocabulary's pre-tokenizer."""
+    return (_CHUNK if _ASTRAL.search(text) else _plane_chunk()).findall(text)
+
+
 class Tournament:
     """Free room of bins, open at first; every inner node holds the larger of its children."""
 
@@ -84,7 +108,7 @@ class Coder:
 
     def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text and the end id."""
-        cut = [_CHUNK.findall(t or "") for t in texts]
+        cut = [chunks_of(t or "") for t in texts]
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
         wanted = set().union(*cut).difference(self.young)

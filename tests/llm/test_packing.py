@@ -6,6 +6,7 @@ import public_tokenizers
 from cases import ODD, documents, frame
 from tokenizers import Tokenizer
 
+from knownat.llm import packing
 from knownat.llm.packing import Coder, Tournament, first_fit_decreasing, packed, sequences
 from knownat.llm.queries import QUERIES
 
@@ -72,6 +73,16 @@ def test_white_space_is_cut_like_the_vocabulary_does():
     assert [ids.tolist() for ids in own.ids(texts)] == [[*one.ids, 1] for one in coder.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_both_patterns_cut_alike():
+    rng = random.Random(6)
+    every = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every), " ".join(every), *(t for _, t in documents())]
+    texts += ["".join(rng.choice([" ", "  ", "'ll", "'s", "\n", rng.choice(every), "a", "1", "!"]) for _ in range(12)) for _ in range(4000)]
+    for text in texts:
+        assert packing.chunks_of(text) == packing._CHUNK.findall(text)
+    assert packing.chunks_of("a \U0001d400 \U0001f600") == ["a", " \U0001d400", " \U0001f600"]
+
+
 def test_registered_query_on_odd_rows(spark, tmp_path):
     frame(spark, ODD).selectExpr("doc_id", "text", "1 as start", "'x' as sequence_id").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["op1_packing"](spark, str(tmp_path)).collect()
