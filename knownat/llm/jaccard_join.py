@@ -6,7 +6,8 @@ per group is posted.  A prefix is the part of the set, in a global order, of whi
 Components are then found in two steps.  First every group on a posting list is compared with one leader of the list and every class with its
 group's head; that joins nearly all near copies without making pairs of a group.  Then, on the lists that still hold several components, every pair of
 classes from different components is verified.  Pairs inside one component cannot change the components.  ``links()`` has them too: it verifies every
-pair of classes that share a posted token, lists and groups split into blocks of ``BLOCK`` so that no task holds a long one whole.
+pair of classes that share a posted token.  Lists of the same groups are one list.  The classes of a list meet with their signatures, in cells of two blocks
+of about ``BLOCK`` so that no task holds a long list whole, and only the pairs that signatures allow leave a cell as rows.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ SKETCH = 1 << 20
 SKETCH_BLOCK = 1 << 12
 #: Bits of the filter on candidate document ids; false positives cost time, not results.
 FILTER_BITS = 1 << 24
-#: 64-bit words of a set's signature, in which every shingle flips one bit.
-SIGNATURE = 32
-#: Groups of a posting list, or classes of a group, that are paired in one block.
-BLOCK = 256
+#: Bits of a set's signature for each shingle, at least; every shingle flips one bit.
+SIGNATURE = 2
+#: 64-bit words of signatures that are compared at a time.
+AT_ONCE = 1 << 20
+#: Classes of a list in one block; two blocks meet in a cell.
+BLOCK = 1024
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -84,11 +87,50 @@ def _order(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles on each bit: two sets differ in at least as many shingles as their signatures do in bits."""
-    odd = np.bincount((s & np.uint64(64 * SIGNATURE - 1)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    """Parity of the number of shingles on each bit: two sets differ in at least as many shingles as their signatures do in bits.
+
+    The number of bits is a power of two; the halves of a signature, xored, are the signature of the same set with half the bits.
+    """
+    width = 64 << max(0, SIGNATURE * len(s) - 1 >> 6).bit_length()
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+class Signatures:
+    """A column of signatures, by number of words; longer ones are folded to be compared with shorter ones."""
+
+    def __init__(self, column: pa.ListArray):
+        flat, begins = column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+        self.words = np.diff(begins)
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        rows, table, above = np.zeros(0, np.int64), None, 0
+        for width in np.unique(self.words)[::-1].tolist():
+            while above > width:
+                above //= 2
+                table = table[:, :above] ^ table[:, above:]
+            own = np.flatnonzero(self.words == width)
+            fresh = flat[begins[own][:, None] + np.arange(width)]
+            rows, table, above = np.concatenate([rows, own]), fresh if table is None else np.concatenate([table, fresh]), width
+            place = np.full(len(self.words), -1)
+            place[rows] = np.arange(len(rows))
+            self.of[width] = place, table
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the signatures of rows ``x`` and ``y`` differ."""
+        out, least = np.zeros(len(x), np.int64), np.minimum(self.words[x], self.words[y])
+        for width in np.unique(least).tolist():
+            place, table = self.of[width]
+            which = np.flatnonzero(least == width)
+            for part in np.array_split(which, -(-len(which) * width // AT_ONCE)):
+                out[part] = np.bitwise_count(table[place[x[part]]] ^ table[place[y[part]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes ``n`` and ``m`` that differ in so many shingles at least can be similar enough."""
+    return (n + m - differ) * (100 + percent) >= 2 * percent * (n + m)
+
+
 def _describe(width: int, percent: int, order):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +145,8 @@ def _describe(width: int, percent: int, order):
                     signatures.append(signature(s))
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-                whole = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * SIGNATURE), pa.array(np.concatenate(signatures)))
+                ends = np.concatenate([[0], np.cumsum([len(p) for p in signatures])]).astype(np.int32)
+                whole = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signatures)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), prefix, whole],
                     ["doc_id", "n_shingles", "set_hash", "prefix", "signature"],
@@ -146,6 +189,63 @@ def _fits(percent: int, a: str, b: str):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
+def _close(cells: pa.Table, percent: int) -> np.ndarray:
+    """Of rows in order of their cells, the pairs ``(a, b)``, a < b, of classes of different components that sizes and signatures allow."""
+    at, lo, hi, own, cid, n, comp = (cells.column(k).to_numpy() for k in ("list", "lo", "hi", "own", "cid", "n", "comp"))
+    signatures = Signatures(cells.column("signature").combine_chunks())
+    fresh = np.flatnonzero((at[1:] != at[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+    ends = np.append(fresh, len(at))
+    end = np.repeat(ends, np.diff(ends, prepend=0))
+    x, step, found = np.arange(len(at)), 1, [np.zeros((0, 2), np.int64)]
+    while len(x := x[x + step < end[x]]):  # each row with the row so many steps on in its cell
+        y = x + step
+        apart = (comp[x] != comp[y]) & ((own[x] != own[y]) | (lo[x] == hi[x])) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        a, b = x[apart], y[apart]
+        near = _may_link(n[a], n[b], signatures.differ(a, b), percent)
+        found.append(np.sort(np.stack([cid[a[near]], cid[b[near]]], 1), axis=1))
+        step += 1
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _pairs_allowed(percent: int):
+    """Of pairs with both sizes and signatures, those that signatures allow."""
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.arange(batch.num_rows)
+                differ = Signatures(pa.concat_arrays([batch.column("of_a"), batch.column("of_b")])).differ(x, x + batch.num_rows)
+                near = _may_link(batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy(), differ, percent)
+                yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return allowed
+
+
+def _allowed(percent: int):
+    """``_close`` of whole cells; the last cell of a batch may go on in the next."""
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: pa.Table) -> pa.RecordBatch:
+            found = _close(rows, percent)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        open_cell: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, lo, hi = (batch.column(k).to_numpy() for k in ("list", "lo", "hi"))
+            last = int(np.argmax((at == at[-1]) & (lo == lo[-1]) & (hi == hi[-1])))
+            same = open_cell and all(open_cell[0].column(k)[0] == batch.column(k)[0] for k in ("list", "lo", "hi"))
+            if last or open_cell and not same:
+                yield pairs(pa.Table.from_batches([*open_cell, batch.slice(0, last)]))
+                open_cell = []
+            open_cell.append(batch.slice(last))
+        if open_cell:
+            yield pairs(pa.Table.from_batches(open_cell))
+
+    return allowed
+
+
 class JaccardJoin:
     """The join over one table of documents ``(doc_id, text)``; other columns are ignored.
 
@@ -175,8 +275,10 @@ class JaccardJoin:
         # of all lists only those on which two groups stand are kept, with their leader
         per_token = Window.partitionBy("token")
         lead = F.min(F.struct(F.hash("gid").alias("at"), F.col("gid").alias("lead"), F.col("n").alias("lead_n"))).over(per_token)
-        listed = postings.withColumn("first", lead).withColumn("size", F.count(F.lit(1)).over(per_token)).where("size > 1")
-        self.listed = written(listed.select("token", "gid", "n", "first.lead", "first.lead_n"), "listed")
+        # a list is named by its groups, so tokens of the same groups make one list; names that collide only make a list longer
+        name = F.bit_xor(F.xxhash64("gid")).over(per_token)
+        listed = postings.withColumn("first", lead).withColumn("size", F.count(F.lit(1)).over(per_token)).withColumn("list", name).where("size > 1")
+        self.listed = written(listed.select("list", "gid", "n", "first.lead", "first.lead_n").distinct(), "listed")
         self._solve()
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
@@ -184,30 +286,23 @@ class JaccardJoin:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         known = self.classes.select("cid", "n", "row").join(ends, "cid", "left_semi").join(self.signatures, "row").select("cid", "n", "signature")
         both = pairs.join(known.toDF("a", "a_n", "of_a"), "a").join(known.toDF("b", "b_n", "of_b"), "b")
-        differ = sum((F.bit_count(F.col("of_a")[k].bitwiseXOR(F.col("of_b")[k])) for k in range(SIGNATURE)), F.lit(0))
-        total = F.col("a_n") + F.col("b_n")
-        return written(both.where((total - differ) * (100 + self.percent) >= 2 * self.percent * total).select("a", "b"), "possible")
+        return written(both.mapInArrow(_pairs_allowed(self.percent), "a long, b long"), "possible")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """Of the class pairs ``(a, b)``, those whose sets are similar enough.
 
-        Pairs that signatures rule out go first.  A set leaves its document once; as the first of a pair it goes on once, as the second once a pair, to where the first is.
+        A set leaves its document once; as the first of a pair it stays where it came to, as the second it goes on once a pair, to where the first is.
         """
-        pairs = self._possible(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         wanted = self.classes.join(ends, "cid", "left_semi").select("cid", "doc_id", "set_hash")
         bits = self.spark.sparkContext.broadcast(_filter_bits(wanted))
         near = self.docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bucket"), "text")
         sets = near.mapInArrow(_sets_of(self.width, bits), "set_hash binary, shingles array<long>")
         sets = sets.where("set_hash is not null").groupBy("set_hash").agg(F.any_value("shingles").alias("shingles"))
-        met = F.col("met").isNull()
-        # per class, where its set goes: to itself if others come to it, and to every class it is to be compared with
-        goes = pairs.select(F.col("b").alias("cid"), F.col("a").alias("met")).union(pairs.select(F.col("a").alias("cid"), F.lit(None).cast("long")).distinct())
-        goes = goes.join(wanted.select("cid", "set_hash"), "cid").select("set_hash", "cid", "met")
-        sets = sets.join(goes, "set_hash")
-        whole = sets.where(met).select(F.col("cid").alias("a"), F.col("shingles").alias("of_a"))
-        sent = sets.where(~met).select(F.col("met").alias("a"), F.col("cid").alias("b"), F.col("shingles").alias("of_b"))
-        both = whole.join(sent, "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+        names = wanted.select("cid", "set_hash")
+        goes = pairs.join(names.toDF("a", "to"), "a").join(names.toDF("b", "set_hash"), "b")
+        sent = sets.join(goes, "set_hash").select("to", "a", "b", F.col("shingles").alias("of_b"))
+        both = sets.toDF("to", "of_a").join(sent, "to").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
         return both.where(F.col("common") * 100 >= (F.size("of_a") + F.size("of_b") - F.col("common")) * self.percent).select("a", "b")
 
     def _solve(self) -> None:
@@ -216,20 +311,11 @@ class JaccardJoin:
         star = group_pairs.join(self.classes.select("gid", "cid"), "gid").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
         inner = self.classes.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
         tried = written(star.union(inner).distinct(), "tried")
-        links = written(self._verified(tried), "links")
+        links = written(self._verified(self._possible(tried)), "links")
         labels = self._labels(links)
 
         classes = self.classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid"))
-        # lists on which more than one group stands, as classes with their components; a group of several classes is a list of its own
-        shared = self.listed.select("token", "gid")
-        rows = shared.join(classes.select("gid", "cid", "n", "comp"), "gid").select(F.struct(F.lit(0).alias("kind"), F.col("token").alias("at")).alias("list"), "cid", "n", "comp")
-        own = classes.join(classes.where("cid <> gid").select("gid").distinct(), "gid", "left_semi")
-        rows = rows.union(own.select(F.struct(F.lit(1).alias("kind"), F.col("gid").alias("at")).alias("list"), "cid", "n", "comp"))
-        mixed = rows.groupBy("list", "comp").agg(F.count("*").alias("size")).groupBy("list").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
-        rows = written(rows.join(mixed.where("comps > 1"), "list").select("list", "cid", "n", "comp", "main"), "mixed")
-        minor = rows.where("comp <> main").select("list", F.col("cid").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
-        rest = minor.join(rows, "list").where((F.col("comp") != F.col("x_comp")) & _fits(self.percent, "x_n", "n"))
-        rest = rest.select(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).distinct()
+        rest = self._candidates(classes.select("gid", "cid", "n", "comp"))
         done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         rest = written(rest.join(done, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
@@ -237,32 +323,33 @@ class JaccardJoin:
             labels = self._labels(links)
         self._final = labels
 
+    def _candidates(self, classes: DataFrame) -> DataFrame:
+        """Pairs ``(a, b)``, a < b, of classes ``(gid, cid, n, comp)`` of different components that share a list, less those that signatures rule out."""
+        rows = self.listed.select("list", "gid").join(classes, "gid")
+        # a group of several classes is a list of its own
+        own = classes.join(classes.where("cid <> gid").select("gid").distinct(), "gid", "left_semi")
+        rows = rows.select("list", "cid", "n", "comp").union(own.select(F.xxhash64(F.lit("group"), "gid"), "cid", "n", "comp")).distinct()
+        # the largest component of a list meets the others, but not itself
+        parts = rows.groupBy("list", "comp").agg(F.count("*").alias("size")).groupBy("list")
+        parts = parts.agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size"))
+        parts = parts.where("comps > 1").select("list", "main", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("minor"), F.ceil(F.col("most") / BLOCK).cast("int").alias("major"))
+        rows = rows.join(parts, "list").withColumn("main", F.col("comp") == F.col("main"))
+        rows = rows.withColumn("own", F.when(F.col("main"), F.col("minor") + F.pmod(F.hash("cid"), "major")).otherwise(F.pmod(F.hash("cid"), "minor")))
+        rows = rows.withColumn("blocks", F.col("minor") + F.when(F.col("main"), 0).otherwise(F.col("major"))).select("list", "cid", "n", "comp", "own", "blocks")
+        signatures = self.classes.select("cid", "row").join(self.signatures, "row").select("cid", "signature")
+        cells = rows.join(signatures, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("list", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "n", "comp", "signature")
+        cells = cells.repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi")
+        return cells.mapInArrow(_allowed(self.percent), "a long, b long").distinct()
+
     def _labels(self, links: DataFrame) -> DataFrame:
         return components(links)
 
     @cached_property
     def _pairs(self) -> DataFrame:
         """All verified class pairs ``(a, b)``, a < b."""
-        posted = self.listed.select("token", "gid", "n")
-        blocks = posted.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
-        rows = posted.join(blocks.drop("size"), "token").withColumn("own", F.pmod(F.hash("gid"), "blocks"))
-        # a row meets the rows of each block in the cell of both blocks, the lower one first
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "gid", "n")
-        left = rows.where("own = lo").select("token", "lo", "hi", F.col("gid").alias("a"), F.col("n").alias("a_n"))
-        right = rows.where("own = hi").select("token", "lo", "hi", F.col("gid").alias("b"), F.col("n").alias("b_n"))
-        met = left.join(right, ["token", "lo", "hi"]).where(((F.col("lo") != F.col("hi")) | (F.col("a") < F.col("b"))) & _fits(self.percent, "a_n", "b_n"))
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-        sizes = self.classes.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size"))
-        met = met.union(sizes.where("size > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b")))
-        for end in ("a", "b"):
-            parts = sizes.select(F.col("gid").alias(end), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"{end}_part"))
-            met = met.join(parts, end)
-        held = self.classes.join(sizes, "gid").select("gid", "cid", F.pmod(F.hash("cid"), "blocks").alias("part"))
-        met = met.join(held.toDF("a", "x", "a_part"), ["a", "a_part"]).join(held.toDF("b", "y", "b_part"), ["b", "b_part"])
-        met = met.where("a <> b or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        return written(self._verified(written(met, "met")), "all_links")
+        candidates = self._candidates(self.classes.select("gid", "cid", "n", F.col("cid").alias("comp")))
+        return written(self._verified(written(candidates, "met")), "all_links")
 
     def links(self) -> DataFrame:
         """Every link between classes, once, each class named by its smallest doc_id: doc_a, doc_b."""

@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 from cases import ODD, documents, frame
 
 from knownat.llm import jaccard_join
@@ -116,3 +118,51 @@ def test_links_are_all_there(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
     counts = [(d, v[0], sum(v[0] in p for p in want)) for v in sets.values() for d in v] + [(2, 2, 0)]
     assert sorted(counts) == sorted(map(tuple, join.link_counts().collect()))
+
+
+def test_signatures_of_all_sizes():
+    """Sets differ in at least as many shingles as their signatures do in bits, whatever their sizes, and large sets are told apart."""
+    rng = np.random.default_rng(1)
+    whole = np.unique(rng.integers(0, 2**63, 20000).astype(np.uint64))
+    sets = [whole[:k] for k in (1, 40, 300, 5000, 9000)] + [whole[3000:12000], whole[-40:]]
+    column = pa.array([jaccard_join.signature(s) for s in sets], pa.list_(pa.int64()))
+    x, y = np.divmod(np.arange(len(sets) ** 2), len(sets))
+    differ = jaccard_join.Signatures(column).differ(x, y).reshape(len(sets), -1)
+    true = np.array([[len(np.setxor1d(a, b)) for b in sets] for a in sets])
+    assert (differ <= true).all() and (differ == differ.T).all() and not differ.diagonal().any()
+    # two of 9,000 with 6,000 in common, Jaccard 0.5, cannot link
+    assert not jaccard_join._may_link(np.array([9000]), np.array([9000]), differ[4, 5:6], 75)[0]
+
+
+def test_cells_cut_by_batches():
+    rng = np.random.default_rng(2)
+    names = ["list", "lo", "hi", "own", "cid", "n", "comp"]
+    rows = [(cell, 0, cell % 2, int(rng.integers(0, 1 + cell % 2)), 100 * cell + k, 60, k % 3) for cell in range(9) for k in range(1 + 3 * cell)]
+    table = {n: [r[i] for r in rows] for i, n in enumerate(names)}
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    table["signature"] = [jaccard_join.signature(np.concatenate([base[: 60 - 5 * (i % 4)], rng.integers(0, 2**63, 5 * (i % 4)).astype(np.uint64)])) for i in range(len(rows))]
+    whole = pa.RecordBatch.from_pydict(table)
+    pairs = lambda size: sorted(
+        (p["a"], p["b"]) for b in jaccard_join._allowed(75)(whole.slice(k, size) for k in range(0, len(rows), size)) for p in b.to_pylist()
+    )
+    want = [
+        (x[4], y[4]) for i, x in enumerate(rows) for y in rows[i + 1 :]
+        if x[:3] == y[:3] and x[6] != y[6] and (x[3] != y[3] or x[1] == x[2])
+        and jaccard_join.Signatures(pa.array([table["signature"][rows.index(x)], table["signature"][rows.index(y)]])).differ(np.array([0]), np.array([1]))[0] * 175 <= 25 * 120
+    ]
+    assert len(want) > 50 and all(pairs(size) == sorted(want) for size in (1, 2, 7, 1000))
+
+
+def test_unlinked_texts_with_a_common_passage_make_no_pairs(spark):
+    """Tokens that stand on the same groups are one list, and of a list's classes only pairs that may link become rows."""
+    shared = " ".join(f"p{i}" for i in range(68))
+    rows = [(k, shared + " " + " ".join(f"q{k}x{i}" for i in range(20))) for k in range(60)] + [(100, shared + " r" * 9), (101, shared + " r" * 9 + " s")]
+    join = JaccardJoin(frame(spark, rows))
+    lists = defaultdict(set)
+    for r in join.listed.collect():
+        lists[r.list].add(r.gid)
+    held_by = [frozenset(v) for v in lists.values()]
+    assert len(held_by) == len(set(held_by)) and max(map(len, held_by)) >= 30
+    candidates = join._candidates(join.classes.selectExpr("gid", "cid", "n", "cid as comp"))
+    assert candidates.count() < 200  # of 1,891 pairs
+    assert sorted(map(tuple, join.members().collect()), key=str) == brute(rows)
