@@ -4,10 +4,11 @@ Grouped prefix join.  Documents with the same set are one class; classes with th
 per group is posted.  A prefix is the part of the set, in a global order, of which two linked sets must share an element.  The order is
 (how often a counting sketch over all documents saw the shingle's bucket, hash): common passages come last and so rarely into a prefix.
 Components are then found in two steps.  First every group on a posting list is compared with one leader of the list and every class with its
-group's head; that joins nearly all near copies without making pairs of a group.  Then, on the lists that still hold several components, every pair of
-classes from different components is verified.  Pairs inside one component cannot change the components.  ``links()`` has them too: it verifies every
-pair of classes that share a posted token.  Lists of the same groups are one list.  The classes of a list meet with their signatures, in cells of two blocks
-of about ``BLOCK`` so that no task holds a long list whole, and only the pairs that signatures allow leave a cell as rows.
+group's head; that joins nearly all near copies without making pairs of a group.  Then, on the lists that still hold several components, the classes
+meet with their signatures, in cells of two blocks of about ``BLOCK`` so that no task holds a long list whole.  A first sweep takes from each cell only the
+closest pairs that would join its components, fewer than the cell has rows; a second one takes every pair of classes from different components that
+signatures allow, on the lists where the first left some out.  Pairs inside one component cannot change the components.  ``links()`` has them too: it verifies every pair of classes that share a
+posted token.  All lists of one leader are one list, so a class travels once for each leader it meets and not for each token.
 """
 
 from __future__ import annotations
@@ -189,22 +190,54 @@ def _fits(percent: int, a: str, b: str):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def _close(cells: pa.Table, percent: int) -> np.ndarray:
-    """Of rows in order of their cells, the pairs ``(a, b)``, a < b, of classes of different components that sizes and signatures allow."""
+def _forest(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Places of the edges ``(a, b)`` of a cheapest spanning forest (Boruvka's rounds; of equal costs the earlier edge is cheaper)."""
+    order = np.argsort(cost, kind="stable")
+    ends = np.stack([a, b])[:, order]
+    root, live, kept = np.arange(ends.max(initial=-1) + 1), np.arange(len(order)), [np.zeros(0, np.int64)]
+    while len(live := live[(apart := root[ends[:, live]])[0] != apart[1]]):
+        u, v = root[ends[:, live]]
+        best = np.full(len(root), len(order))
+        np.minimum.at(best, u, live)
+        np.minimum.at(best, v, live)
+        tree = np.flatnonzero(best < len(order))
+        kept.append(np.unique(best[tree]))
+        to, (u, v) = np.arange(len(root)), root[ends[:, best[tree]]]
+        to[tree] = np.where(u == tree, v, u)
+        to[tree] = np.where((to[to[tree]] == tree) & (tree < to[tree]), tree, to[tree])  # of two that chose the same edge one stays
+        while (far := to[to]).tolist() != to.tolist():
+            to = far
+        root = to[root]
+    return order[np.concatenate(kept)]
+
+
+def _close(cells: pa.Table, percent: int, forest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of their cells, the pairs ``(a, b)``, a < b, of classes of different components that sizes and signatures allow.
+
+    With ``forest`` only the closest that join the same components of a cell.  Also the lists of cells from which pairs are left out.
+    """
     at, lo, hi, own, cid, n, comp = (cells.column(k).to_numpy() for k in ("list", "lo", "hi", "own", "cid", "n", "comp"))
     signatures = Signatures(cells.column("signature").combine_chunks())
     fresh = np.flatnonzero((at[1:] != at[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
     ends = np.append(fresh, len(at))
     end = np.repeat(ends, np.diff(ends, prepend=0))
-    x, step, found = np.arange(len(at)), 1, [np.zeros((0, 2), np.int64)]
+    x, step, found, far = np.arange(len(at)), 1, [np.zeros((0, 2), np.int64)], [np.zeros(0)]
     while len(x := x[x + step < end[x]]):  # each row with the row so many steps on in its cell
         y = x + step
         apart = (comp[x] != comp[y]) & ((own[x] != own[y]) | (lo[x] == hi[x])) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
         a, b = x[apart], y[apart]
-        near = _may_link(n[a], n[b], signatures.differ(a, b), percent)
-        found.append(np.sort(np.stack([cid[a[near]], cid[b[near]]], 1), axis=1))
+        differ = signatures.differ(a, b)
+        near = _may_link(n[a], n[b], differ, percent)
+        a, b = a[near], b[near]
+        found.append(np.stack([a, b], 1))
+        far.append(differ[near] / (n[a] + n[b]))
         step += 1
-    return np.unique(np.concatenate(found), axis=0)
+    pairs, more = np.concatenate(found), np.zeros(0, np.int64)
+    if forest:
+        node = np.unique(np.stack([end, comp], 1), axis=0, return_inverse=True)[1].ravel()
+        tree = _forest(node[pairs[:, 0]], node[pairs[:, 1]], np.concatenate(far))
+        more, pairs = np.unique(at[np.delete(pairs[:, 0], tree)]), pairs[tree]
+    return np.unique(np.sort(cid[pairs], axis=1), axis=0), more
 
 
 def _pairs_allowed(percent: int):
@@ -221,13 +254,17 @@ def _pairs_allowed(percent: int):
     return allowed
 
 
-def _allowed(percent: int):
-    """``_close`` of whole cells; the last cell of a batch may go on in the next."""
+def _allowed(percent: int, forest: bool = False):
+    """``_close`` of whole cells; the last cell of a batch may go on in the next.  With ``forest`` a row without a pair names a list with more."""
 
     def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> pa.RecordBatch:
-            found = _close(rows, percent)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            found, more = _close(rows, percent, forest)
+            out = pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            if not forest:
+                return out
+            named = pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64()), pa.nulls(len(more), pa.int64()), pa.array(more)], ["a", "b", "list"])
+            return pa.concat_batches([out.append_column("list", pa.nulls(len(found), pa.int64())), named])
 
         open_cell: list[pa.RecordBatch] = []
         for batch in batches:
@@ -275,10 +312,9 @@ class JaccardJoin:
         # of all lists only those on which two groups stand are kept, with their leader
         per_token = Window.partitionBy("token")
         lead = F.min(F.struct(F.hash("gid").alias("at"), F.col("gid").alias("lead"), F.col("n").alias("lead_n"))).over(per_token)
-        # a list is named by its groups, so tokens of the same groups make one list; names that collide only make a list longer
-        name = F.bit_xor(F.xxhash64("gid")).over(per_token)
-        listed = postings.withColumn("first", lead).withColumn("size", F.count(F.lit(1)).over(per_token)).withColumn("list", name).where("size > 1")
-        self.listed = written(listed.select("list", "gid", "n", "first.lead", "first.lead_n").distinct(), "listed")
+        # a list is named by its leader, so tokens of about the same groups make one list; that more groups meet on it costs time, not results
+        listed = postings.withColumn("first", lead).withColumn("size", F.count(F.lit(1)).over(per_token)).where("size > 1")
+        self.listed = written(listed.select(F.col("first.lead").alias("list"), "gid", "n", "first.lead_n").distinct(), "listed")
         self._solve()
 
     def _possible(self, pairs: DataFrame) -> DataFrame:
@@ -306,41 +342,59 @@ class JaccardJoin:
         return both.where(F.col("common") * 100 >= (F.size("of_a") + F.size("of_b") - F.col("common")) * self.percent).select("a", "b")
 
     def _solve(self) -> None:
-        led = self.listed.where((F.col("lead") != F.col("gid")) & _fits(self.percent, "lead_n", "n"))
-        group_pairs = led.select("lead", "gid").distinct()
-        star = group_pairs.join(self.classes.select("gid", "cid"), "gid").select(F.col("lead").alias("a"), F.col("cid").alias("b"))
+        led = self.listed.where((F.col("list") != F.col("gid")) & _fits(self.percent, "lead_n", "n"))
+        star = led.join(self.classes.select("gid", "cid"), "gid").select(F.col("list").alias("a"), F.col("cid").alias("b"))
         inner = self.classes.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
         tried = written(star.union(inner).distinct(), "tried")
         links = written(self._verified(self._possible(tried)), "links")
         labels = self._labels(links)
 
-        classes = self.classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid"))
-        rest = self._candidates(classes.select("gid", "cid", "n", "comp"))
         done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = written(rest.join(done, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            links = written(links.union(self._verified(rest)), "links")
-            labels = self._labels(links)
+        lists = None
+        for forest in (True, False):
+            classes = self.classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid"))
+            rest = self._candidates(classes.select("gid", "cid", "n", "comp"), forest, lists)
+            if forest:
+                swept = written(rest, "swept")
+                lists, rest = swept.where("a is null").select("list").distinct(), swept.where("a is not null").select("a", "b")
+                if lists.isEmpty() and rest.isEmpty():
+                    break
+            rest = written(rest.join(done, ["a", "b"], "left_anti"), "rest")
+            if not rest.isEmpty():
+                links = written(links.union(self._verified(rest)), "links")
+                labels = self._labels(links)
+                done = done.union(rest)
         self._final = labels
 
-    def _candidates(self, classes: DataFrame) -> DataFrame:
-        """Pairs ``(a, b)``, a < b, of classes ``(gid, cid, n, comp)`` of different components that share a list, less those that signatures rule out."""
+    def _candidates(self, classes: DataFrame, forest: bool = False, lists: DataFrame | None = None) -> DataFrame:
+        """Pairs ``(a, b)``, a < b, of classes ``(gid, cid, n, comp)`` of different components that share a list, less those that signatures rule out.
+
+        With ``forest`` a cell gives only the closest that join the same components, and its list's name if that leaves pairs out.
+        ``lists`` names the lists to look at, if not all.
+        """
         rows = self.listed.select("list", "gid").join(classes, "gid")
-        # a group of several classes is a list of its own
+        # a group of several classes is a list, too, the one that its head leads
         own = classes.join(classes.where("cid <> gid").select("gid").distinct(), "gid", "left_semi")
-        rows = rows.select("list", "cid", "n", "comp").union(own.select(F.xxhash64(F.lit("group"), "gid"), "cid", "n", "comp")).distinct()
-        # the largest component of a list meets the others, but not itself
+        rows = rows.select("list", "cid", "n", "comp").union(own.select("gid", "cid", "n", "comp")).distinct()
+        if lists is not None:
+            rows = rows.join(lists, "list", "left_semi")
+        # the largest component of a long list meets the others, but not itself; a short list is one cell
         parts = rows.groupBy("list", "comp").agg(F.count("*").alias("size")).groupBy("list")
         parts = parts.agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("size"))
-        parts = parts.where("comps > 1").select("list", "main", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("minor"), F.ceil(F.col("most") / BLOCK).cast("int").alias("major"))
-        rows = rows.join(parts, "list").withColumn("main", F.col("comp") == F.col("main"))
+        short = F.col("size") <= BLOCK
+        minor, major = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("others", "most"))
+        parts = parts.where("comps > 1").withColumn("others", F.col("size") - F.col("most"))
+        parts = parts.select("list", "main", short.alias("short"), F.when(short, 1).otherwise(minor).alias("minor"), F.when(short, 0).otherwise(major).alias("major"))
+        rows = rows.join(parts, "list").withColumn("main", ~F.col("short") & (F.col("comp") == F.col("main")))
         rows = rows.withColumn("own", F.when(F.col("main"), F.col("minor") + F.pmod(F.hash("cid"), "major")).otherwise(F.pmod(F.hash("cid"), "minor")))
         rows = rows.withColumn("blocks", F.col("minor") + F.when(F.col("main"), 0).otherwise(F.col("major"))).select("list", "cid", "n", "comp", "own", "blocks")
-        signatures = self.classes.select("cid", "row").join(self.signatures, "row").select("cid", "signature")
+        rows = written(rows, "rows")
+        met = self.classes.select("cid", "row").join(rows.select("cid").distinct(), "cid", "left_semi")
+        signatures = met.join(self.signatures, "row").select("cid", "signature")
         cells = rows.join(signatures, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select("list", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "n", "comp", "signature")
         cells = cells.repartition("list", "lo", "hi").sortWithinPartitions("list", "lo", "hi")
-        return cells.mapInArrow(_allowed(self.percent), "a long, b long").distinct()
+        return cells.mapInArrow(_allowed(self.percent, forest), "a long, b long" + ", list long" * forest).distinct()
 
     def _labels(self, links: DataFrame) -> DataFrame:
         return components(links)

@@ -166,3 +166,35 @@ def test_unlinked_texts_with_a_common_passage_make_no_pairs(spark):
     candidates = join._candidates(join.classes.selectExpr("gid", "cid", "n", "cid as comp"))
     assert candidates.count() < 200  # of 1,891 pairs
     assert sorted(map(tuple, join.members().collect()), key=str) == brute(rows)
+
+
+def test_forest_is_the_cheapest():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        n, m = int(rng.integers(2, 30)), int(rng.integers(0, 80))
+        a, b, cost = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 6, m)
+        root, want = np.arange(n), []
+        for e in np.argsort(cost, kind="stable").tolist():
+            if root[a[e]] != root[b[e]]:
+                root[root == root[a[e]]] = root[b[e]]
+                want.append(e)
+        assert sorted(jaccard_join._forest(a, b, cost).tolist()) == sorted(want)
+
+
+def test_near_copies_of_one_passage_make_few_pairs(spark):
+    """Classes that link with each other but not with their list's leader are joined by a forest: their pairs do not become rows."""
+    rng = np.random.default_rng(4)
+    rows = [(500, " ".join(f"v{i}" for i in range(14)) + " " + " ".join(f"x{i}" for i in range(90)))]
+    for k in range(90):
+        w = [f"v{i}" for i in range(100)]
+        for at in rng.choice(np.arange(12, 100), 2, replace=False):
+            w[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(w)))
+    join = JaccardJoin(frame(spark, rows))
+    classes = join.classes.selectExpr("gid", "cid", "n", "cid as comp")
+    pairs = join._candidates(classes, forest=True).where("a is not null").count()
+    assert 0 < pairs < join.listed.count() + join.classes.count() < join._candidates(classes).count()
+    assert sorted(map(tuple, join.members().collect()), key=str) == brute(rows)
+    # a class is on a list once for each leader
+    assert join.listed.count() == join.listed.select("list", "gid").distinct().count()
+    assert {r.list for r in join.listed.collect()} <= {r.gid for r in join.classes.collect()}
