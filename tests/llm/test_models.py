@@ -112,3 +112,50 @@ def test_suffix_tree_grows_with_the_corpus(spark):
         tokens, first = suffix_tree.tokens_of(suffix_tree.pa.array(["x3 y z q3", "x3 y z q4"]))
         assert np.allclose([gain[1], gain[2]], np.add.reduceat(model.gains(tokens, first), first[:-1]))
     assert sizes[1] > sizes[0]
+
+
+def test_suffix_tree_reads_texts_once_a_level(spark):
+    """Counting takes one pass for words, one for each level, scoring one more; only their bytes are summed besides.  There were eleven passes."""
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = frame(spark, [(i, f"a b c{i % 3} d") for i in range(30)]).select("doc_id", seen.asNondeterministic()("text").alias("text"))
+    assert len(suffix_tree.scored(docs, suffix_tree.learn(docs)).collect()) == 30
+    assert read.value <= 30 * (suffix_tree.DEPTH + 4)
+
+
+def test_suffix_tree_by_other_ways(spark, monkeypatch):
+    """Scores are the same whether terms are rare or contexts too large for one task; no kept context is seen less than the least size that can pass."""
+    rows = [(i, " ".join(f"w{(i * i * 31 + k * k * (i % 5 + 1)) % 23}" for k in range(40))) for i in range(150)] + documents()[:40] + ODD
+    docs = frame(spark, rows)
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6))
+    model = suffix_tree.learn(docs)
+    want = sorted(map(key, suffix_tree.scored(docs, model).collect()))
+    sizes = [r.n for r in model.terms.where("kind = 'node'").collect()]
+    assert sizes and min(sizes) >= suffix_tree.least_size(model.tokens, model.distinct) > suffix_tree.LEAST
+    monkeypatch.setattr(suffix_tree, "least_size", lambda *_: suffix_tree.LEAST)
+    monkeypatch.setattr(suffix_tree, "FREQUENT", 20)
+    monkeypatch.setattr(suffix_tree, "HEAVY", 60)
+    other = suffix_tree.learn(docs)
+    assert sorted((r.kind, r.key, r.n) for r in other.terms.collect()) == sorted((r.kind, r.key, r.n) for r in model.terms.collect())
+    assert sorted(map(key, suffix_tree.scored(docs, other).collect())) == want
+
+
+def test_word_hashes():
+    """Words have the same hash if they are the same words, A-Z lower-cased, however long."""
+    import pyarrow as pa
+
+    from knownat.llm.text import bounds, utf8, word_hashes
+
+    texts = [f"{'x' * n} {'X' * n}\t{'x' * (n - 1)}y é{'é' * n}" for n in (1, 7, 8, 9, 16, 63, 64, 65, 300)] + ["a\x00 a", "", None]
+    raw, at = utf8(pa.array(texts))
+    start, end, _ = bounds(raw, at)
+    words = [w.lower() for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    hashes = word_hashes(raw, start, end).tolist()
+    assert len(words) == len(hashes) and len(set(words)) == len(set(hashes)) == len(set(zip(words, hashes)))
